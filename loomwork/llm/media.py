@@ -1,8 +1,9 @@
 """Media columns: bytes as 8-bit WAV, read back with the wave module, and spectral-peak pair fingerprints.
 
 A frame of FRAME samples starts at each multiple of HOP. In each band of its spectrum the strongest bin is a peak
-(ties: the lowest). A peak pairs with the peaks of its band in the next REACH frames; each pair is one 64-bit code
-with its time (the frame) in the high bits, so a sorted array of codes is in time order.
+(ties: the lowest). A peak pairs with the peak of the next band in its frame and with the peaks of its band in the
+next REACH frames; each pair is one 64-bit code with its time (the frame) in the high bits, so a sorted array of codes
+is in time order.
 """
 
 from __future__ import annotations
@@ -65,7 +66,8 @@ def peaks(samples: np.ndarray) -> np.ndarray:
 def fingerprint(samples: np.ndarray) -> np.ndarray:
     """Codes of all peak pairs, ascending, so by time first."""
     found = peaks(samples)
-    n, parts = len(found), [np.empty(0, np.int64)]
+    n = len(found)
+    parts = [(np.arange(n)[:, None] << TIME_BIT | found[:, :-1] << FIRST_BIT | found[:, 1:] << SECOND_BIT).ravel()]
     for ahead in range(1, min(REACH, n - 1) + 1):
         times = np.arange(n - ahead)[:, None]
         parts.append((times << TIME_BIT | found[:-ahead] << FIRST_BIT | found[ahead:] << SECOND_BIT | ahead).ravel())
