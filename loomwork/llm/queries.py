@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, licenses, media, mixing, urls
-from loomwork.llm.common import table
+from loomwork.llm import bpe, licenses, media, mixing, quality, toxicity, urls
+from loomwork.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,20 @@ def tokenizer() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+#: Scores from which a document counts as of good quality, and as toxic.
+GOOD_FROM, TOXIC_FROM = 0.3, 0.5
+
+
+def _predicted(scores: DataFrame, at_least: float) -> DataFrame:
+    predicted = (F.col("score") >= at_least).cast("int").alias("predicted")
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lines_too=False)
+    return _predicted(scores, GOOD_FROM)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -39,6 +54,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), spans_too=False)
+    return _predicted(scores, TOXIC_FROM)
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -48,4 +68,4 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_url_filters, op4_source_mixing, op5_byte_bpe, op8_license_scan, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_url_filters, op4_source_mixing, op5_byte_bpe, op7_toxicity, op8_license_scan, op10_media_columns)}
