@@ -153,3 +153,109 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     both = F.size(F.array_intersect("ga", "gb"))
     found = pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.size("ga") + F.size("gb") - both) * PERCENT)
     return found.select("a", "b").distinct()
+
+
+#: Members of a band that meet in one task, on either side.
+CHUNK = 1024
+
+
+def _linked(keys: np.ndarray, left: dict, right: dict) -> tuple[list, list]:
+    """Pairs of components that a confirmed link between left and right rows joins; one link for each is enough.
+
+    A pair of rows is looked at in the first band that it shares only.
+    """
+    lowest = int(np.ceil((PERCENT / 100 - SLACK) * HASHES * (1 - 2.0**-BITS) + HASHES * 2.0**-BITS))
+    group: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := group.get(x, x)) != x:
+            x = up
+        return x
+
+    a, b = [], []
+    for i in range(len(left["component"])):
+        x = left["signature"][i] ^ right["signature"]
+        x |= x >> U64(2)
+        x |= x >> U64(1)
+        equal = HASHES - np.bitwise_count(x & U64(MARKS)).sum(axis=1, dtype=np.int64)
+        n, m = left["n"][i], right["n"]
+        may = (equal >= lowest) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT) & (right["component"] != left["component"][i])
+        may &= right["settled"] | (right["node"] > left["node"][i])
+        at = np.flatnonzero(may)
+        shared = left["bands"][i] == right["bands"][at]
+        at = at[left["bands"][i][shared.argmax(axis=1)] == keys]
+        for j in at[np.argsort(-equal[at], kind="stable")]:
+            one, two = root(int(left["component"][i])), root(int(right["component"][j]))
+            if one == two:
+                continue
+            both = len(np.intersect1d(left["grams"][i], right["grams"][j], assume_unique=True))
+            if both * 100 >= (n + m[j] - both) * PERCENT:
+                group[max(one, two)] = min(one, two)
+                a.append(int(left["component"][i]))
+                b.append(int(right["component"][j]))
+    return a, b
+
+
+def closing_links(members: DataFrame, components: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of components that links inside of bands join, beyond those with a band's least member.
+
+    members: key, node. In each band with three members or more of several components, the members outside its most
+    frequent component (left) meet all members (right), CHUNK by CHUNK, so no task holds more than two chunks and
+    no pair becomes a row.
+    """
+    of = members.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    counts = of.groupBy("key", "component").agg(F.count("*").alias("c"))
+    mixed = counts.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1 and m > 2")
+    parts = lambda n: F.ceil(n / CHUNK).cast("int")
+    mixed = mixed.select("key", "main", parts(F.col("m")).alias("rights"), parts(F.col("m") - F.col("most")).alias("lefts"))
+    rows = stored(of.join(mixed, "key"), "near-mixed")
+    sets = stored(shingle_sets(docs.select("doc_id", "text").join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "near-mixed-sets")
+    own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    settled = F.col("component") == F.col("main")
+    left = rows.where(~settled).select("key", "node", "component", settled.alias("settled"), F.lit(True).alias("is_left"), own(F.col("lefts")).alias("l"), each(F.col("rights")).alias("r"))
+    right = rows.select("key", "node", "component", settled.alias("settled"), F.lit(False).alias("is_left"), each(F.col("lefts")).alias("l"), own(F.col("rights")).alias("r"))
+    full = left.unionByName(right).join(nodes.select("node", "n", "signature", "bands"), "node").join(sets.select(F.col("doc_id").alias("node"), "grams"), "node")
+
+    def links(key: tuple, part: pa.Table) -> pa.Table:
+        wide = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+
+        def side(is_left: bool) -> dict:
+            t = part.filter(pa.array(part.column("is_left").to_numpy() == is_left))
+            out = {c: t.column(c).to_numpy() for c in ("node", "component", "n", "settled")}
+            grams = t.column("grams").combine_chunks()
+            cuts, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(U64)
+            return out | {"signature": wide(t, "signature").view(U64), "bands": wide(t, "bands"), "grams": [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]}
+
+        a, b = _linked(key[0].as_py(), side(True), side(False))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return full.groupBy("key", "l", "r").applyInArrow(links, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
+
+    A text of fewer words than a shingle is one shingle; null, empty and wordless texts have none and stay alone.
+    Each row goes by its own text, so repeated rows share a component. A row without a doc_id gets a null component
+    and kept false unless another row with its words has one. Other columns are left out; an empty table gives none.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    made = stored(sketches(docs), "near-sketches")
+    classes = made.where("n > 0").groupBy("print0", "print1", "n").agg(F.min("doc_id").alias("node")).where("node is not null")
+    classes = stored(classes, "near-classes")
+    prints = ["print0", "print1", "n"]
+    nodes = made.join(classes, prints).where("doc_id = node").select("node", "n", "signature", "bands").dropDuplicates(["node", "n"])
+    nodes = stored(nodes, "near-nodes")
+    banded = nodes.select("node", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1")
+    members = stored(banded.join(shared, "key").select("key", "node", "least"), "near-members")
+    pairs = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    components = stored(connected_components(confirmed(likely(pairs, nodes), docs)), "near-components")
+    joined = connected_components(closing_links(members.select("key", "node"), components, nodes, docs))
+    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
+    every = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    every = every.join(joined, "component", "left").select(*prints, F.coalesce("final", "component").alias("component"))
+    rows = made.select("doc_id", *prints).join(every, prints, "left")
+    component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
