@@ -17,20 +17,26 @@ def _lowest(directed: DataFrame) -> DataFrame:
     return directed.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
 
 
+def _once(edges: DataFrame) -> DataFrame:
+    """Distinct edges; one shuffle, by a."""
+    return edges.where("a != b").repartition("a").distinct()
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number and checksum of the edges."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of each node of edges(a long, b long); loops and repeats do no harm."""
-    edges = stored(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    while True:
+    edges = stored(_once(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))), "edges")
+    before, state = None, _state(edges)
+    while state != before and state[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        lowest = _lowest(both)
-        large = both.where("b > a").join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a != b").distinct()
+        large = both.where("b > a").join(_lowest(both), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         lowest = _lowest(large)
         small = large.join(lowest, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(lowest.select("a", F.col("low").alias("b")))
-        after = stored(small.where("a != b").distinct(), "edges")
-        # done when every edge leads from a node of one edge to a node without a smaller neighbour
-        state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state(after) == state(edges):
-            break
-        edges = after
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        edges = stored(_once(small), "edges")
+        before, state = state, _state(edges)
+    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -143,16 +143,13 @@ def likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return sized.where(estimate(F.col("sa"), F.col("sb")) >= PERCENT / 100 - SLACK).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets meet the threshold. Sets are made again, of the documents in pairs only."""
-    pairs = stored(pairs, "near-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi")), "near-sets")
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose full sets (doc_id, grams) meet the threshold."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("grams").alias("ga"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("grams").alias("gb"))
     both = F.size(F.array_intersect("ga", "gb"))
     found = pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.size("ga") + F.size("gb") - both) * PERCENT)
-    return found.select("a", "b").distinct()
+    return found.select("a", "b")
 
 
 #: Members of a band that meet in one task, on either side.
@@ -196,7 +193,7 @@ def _linked(keys: np.ndarray, left: dict, right: dict) -> tuple[list, list]:
     return a, b
 
 
-def closing_links(members: DataFrame, components: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def closing_links(members: DataFrame, components: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of components that links inside of bands join, beyond those with a band's least member.
 
     members: key, node. In each band with three members or more of several components, the members outside its most
@@ -209,7 +206,6 @@ def closing_links(members: DataFrame, components: DataFrame, nodes: DataFrame, d
     parts = lambda n: F.ceil(n / CHUNK).cast("int")
     mixed = mixed.select("key", "main", parts(F.col("m")).alias("rights"), parts(F.col("m") - F.col("most")).alias("lefts"))
     rows = stored(of.join(mixed, "key"), "near-mixed")
-    sets = stored(shingle_sets(docs.select("doc_id", "text").join(rows.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")), "near-mixed-sets")
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     settled = F.col("component") == F.col("main")
@@ -230,14 +226,15 @@ def closing_links(members: DataFrame, components: DataFrame, nodes: DataFrame, d
         a, b = _linked(key[0].as_py(), side(True), side(False))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return full.groupBy("key", "l", "r").applyInArrow(links, "a long, b long").distinct()
+    return full.groupBy("key", "l", "r").applyInArrow(links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text).
 
     A text of fewer words than a shingle is one shingle; null, empty and wordless texts have none and stay alone.
-    Each row goes by its own text, so repeated rows share a component. A row without a doc_id gets a null component
+    Each row goes by its own text, so repeated rows share a component; different texts with one doc_id are one node
+    where that doc_id stands for both. A row without a doc_id gets a null component
     and kept false unless another row with its words has one. Other columns are left out; an empty table gives none.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -245,14 +242,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = made.where("n > 0").groupBy("print0", "print1", "n").agg(F.min("doc_id").alias("node")).where("node is not null")
     classes = stored(classes, "near-classes")
     prints = ["print0", "print1", "n"]
-    nodes = made.join(classes, prints).where("doc_id = node").select("node", "n", "signature", "bands").dropDuplicates(["node", "n"])
-    nodes = stored(nodes, "near-nodes")
+    nodes = stored(made.join(classes, prints).where("doc_id = node").select("node", "n", "signature", "bands"), "near-nodes")
     banded = nodes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1")
     members = stored(banded.join(shared, "key").select("key", "node", "least"), "near-members")
+    wanted = members.select(F.col("node").alias("doc_id")).distinct()
+    sets = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi")), "near-sets")
     pairs = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    components = stored(connected_components(confirmed(likely(pairs, nodes), docs)), "near-components")
-    joined = connected_components(closing_links(members.select("key", "node"), components, nodes, docs))
+    components = stored(connected_components(confirmed(likely(pairs, nodes), sets)), "near-components")
+    joined = connected_components(closing_links(members.select("key", "node"), components, nodes, sets))
     joined = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
     every = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     every = every.join(joined, "component", "left").select(*prints, F.coalesce("final", "component").alias("component"))

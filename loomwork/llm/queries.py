@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import bpe, licenses, media, minhash, mixing, quality, toxicity, urls
+from loomwork.llm import ann, bpe, licenses, media, minhash, mixing, quality, toxicity, urls
 from loomwork.llm.common import held_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(scores, GOOD_FROM)
 
 
+#: Neighbours of each query, and which rows are queries.
+NEIGHBOURS, QUERY_EVERY = 20, 20
+
+
+def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS)
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
@@ -72,4 +80,4 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_url_filters, op4_source_mixing, op5_byte_bpe, op6_minhash_near_dedup, op7_toxicity, op8_license_scan, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_vector_search, op3_url_filters, op4_source_mixing, op5_byte_bpe, op6_minhash_near_dedup, op7_toxicity, op8_license_scan, op10_media_columns)}
