@@ -2,8 +2,8 @@
 
 Coarse centroids and codebooks are fitted on a bounded sample. Every vector is indexed: its nearest centroid's list
 and a code of SUBSPACES bytes for the residual. A query looks into the lists of its best centroids; tables of its
-inner products with all codewords score their codes, and the best RERANK of each piece are scored again on the
-original vectors, in double precision. Small lists are packed and large ones cut into pieces of bounded size, and
+inner products with all codewords score their codes, and the best of each piece are scored again on the original
+vectors, in double precision. Small lists are packed and large ones cut into pieces of bounded size, and
 queries are dealt into blocks, so a list that holds a third of all rows, or is wanted by a third of all queries,
 spreads over many tasks.
 """
@@ -27,8 +27,10 @@ SUBSPACES, CODES = 16, 256
 #: Lists: LISTS_ROOT times the root of the number of vectors, within bounds; a query probes this part of them. The part
 #: is large as vectors without much of a cluster structure have their neighbours in many lists.
 LISTS_ROOT, LEAST_LISTS, MOST_LISTS = 1.2, 64, 4096
-PROBED = 0.6
-RERANK = 100
+PROBED = 0.66
+#: Reranked are the RERANK best codes of a piece and all that its k-th best may hide by MARGIN deviations of their
+#: quantisation error in one direction, which is all of a cluster too tight for the codes to tell apart.
+RERANK, MARGIN = 100, 2.0
 #: Vectors of a piece, about, and queries of a block: what meets in one task.
 PIECE, BLOCK = 4096, 1024
 ROUNDS = 8
@@ -79,14 +81,16 @@ def fit(sample: np.ndarray, lists: int) -> Index:
     return Index(centroids, books)
 
 
-def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(list, codes) of each row."""
+def encode(index: Index, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(list, codes, length of the quantisation error) of each row."""
     lists = nearest(x, index.centroids)
     residuals = x - index.centroids[lists]
-    codes = np.empty((len(x), len(index.codebooks)), np.uint8)
+    codes, error = np.empty((len(x), len(index.codebooks)), np.uint8), np.zeros(len(x))
     for i, cut in enumerate(index.cuts):
-        codes[:, i] = nearest(residuals[:, cut], index.codebooks[i][:, : len(cut)])
-    return lists, codes
+        book = index.codebooks[i][:, : len(cut)]
+        codes[:, i] = nearest(residuals[:, cut], book)
+        error += ((residuals[:, cut] - book[codes[:, i]]) ** 2).sum(axis=1)
+    return lists, codes, np.sqrt(error)
 
 
 def tables(index: Index, q: np.ndarray) -> np.ndarray:
@@ -140,11 +144,11 @@ def search(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
 
     def place(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            lists, codes = encode(index, _matrix(part.column(1)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), part.column(1)], ["vec_id", "list", "code", "embedding"])
+            lists, codes, error = encode(index, _matrix(part.column(1)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lists.astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), part.column(1)], ["vec_id", "list", "code", "error", "embedding"])
 
     kind = dict(rows.dtypes)["embedding"]
-    placed = stored(rows.select("vec_id", "embedding").mapInArrow(place, f"vec_id long, list int, code binary, embedding {kind}"), "ann-index")
+    placed = stored(rows.select("vec_id", "embedding").mapInArrow(place, f"vec_id long, list int, code binary, error double, embedding {kind}"), "ann-index")
     pack = packed(dict(placed.groupBy("list").count().collect()))  # MOST_LISTS rows at most
     group_of = np.zeros(len(index.centroids), np.int32)
     for number, group, _ in pack:
@@ -166,7 +170,7 @@ def search(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
     asked = asked.select("query_id", F.explode("groups").alias("group"), "probed", "query")
     own = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    right = placed.join(plan, "list").select("group", own("vec_id", F.col("pieces")).alias("piece"), each(F.lit(blocks)).alias("block"), "vec_id", "list", "code", "embedding")
+    right = placed.join(plan, "list").select("group", own("vec_id", F.col("pieces")).alias("piece"), each(F.lit(blocks)).alias("block"), "vec_id", "list", "code", "error", "embedding")
     left = asked.join(F.broadcast(sizes), "group").select("group", each(F.col("pieces")).alias("piece"), own("query_id", F.lit(blocks)).alias("block"), "query_id", "probed", "query")
 
     def meet(key: tuple, some: pa.Table, others: pa.Table) -> pa.Table:
@@ -176,12 +180,15 @@ def search(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
             ids, x = ids[order], _matrix(others.column("embedding"))[order]
             codes = np.frombuffer(b"".join(others.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)[order]
             at, lists = codes + np.arange(codes.shape[1]) * CODES, others.column("list").to_numpy()[order]
-            coarse = index.centroids
+            coarse, slack = index.centroids, others.column("error").to_numpy()[order] * (MARGIN / math.sqrt(x.shape[1]))
             for query, q, bits in zip(some.column("query_id").to_numpy(), _matrix(some.column("query")), some.column("probed").to_pylist(), strict=True):
                 probed = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(coarse)).view(bool)
                 mine = np.flatnonzero(probed[lists] & (ids != query))
                 near = (coarse @ q)[lists[mine]] + tables(index, q).ravel()[at[mine]].sum(axis=1)
-                top = mine[np.argsort(-near, kind="stable")[:RERANK]]
+                best = np.argsort(-near, kind="stable")
+                may = near + slack[mine] * np.sqrt(q @ q) >= near[best[min(k, len(best)) - 1]] if len(best) else near > 0
+                may[best[:RERANK]] = True
+                top = mine[may]
                 score = (x[top] * q).sum(axis=1)
                 best = np.lexsort((ids[top], -score))[:k]
                 found[0].append(np.full(len(best), query))
