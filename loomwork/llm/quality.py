@@ -144,3 +144,17 @@ def score_quality(docs: DataFrame, labels: DataFrame, lines_too: bool = True) ->
 
     schema = "doc_id long, score double" + ", bad_lines array<int>" * lines_too
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, schema)
+
+
+def with_quality(docs: DataFrame, labels: DataFrame, good_from: float) -> DataFrame:
+    """Rows of docs, with all their columns, whose score is good_from or more; scores as in score_quality."""
+    model = train(training_rows(docs, labels, "quality"))
+    text_at = docs.columns.index("text")
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, end, data, offsets in text_slices(part.column(text_at)):
+                score = document_scores(*line_marginals(model, data, offsets), end - first)
+                yield part.slice(first, end - first).filter(pa.array(score >= good_from))
+
+    return docs.mapInArrow(batches, docs.schema)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import ann, bpe, licenses, media, minhash, mixing, quality, toxicity, urls
-from loomwork.llm.common import held_out, table
+from loomwork.llm import ann, bpe, licenses, media, minhash, mixing, quality, tokenstore, toxicity, urls
+from loomwork.llm.common import held_out, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,9 +76,21 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
+#: Ids of a sequence in the token shards.
+SEQUENCE = 256
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all sequences written, with a checksum of each one's bytes as read back."""
+    layout = tokenstore.Layout(*tokenizer(), seq_len=SEQUENCE)
+    path = f"{shared_dir(spark).rstrip('/')}/token-shards-{uuid.uuid4().hex}"
+    index = tokenstore.write_tokens(table(spark, sf_dir, "documents"), path, layout)
+    return tokenstore.read_back(index, path, layout).drop("ids")
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_vector_search, op3_url_filters, op4_source_mixing, op5_byte_bpe, op6_minhash_near_dedup, op7_toxicity, op8_license_scan, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_vector_search, op3_url_filters, op4_source_mixing, op5_byte_bpe, op6_minhash_near_dedup, op7_toxicity, op8_license_scan, op9_token_output, op10_media_columns)}

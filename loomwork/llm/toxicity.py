@@ -149,3 +149,17 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, spans_too: bool = True) -
 
     schema = "doc_id long, score double" + ", offenders array<struct<start:long,end:long,p:double>>" * spans_too
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, schema)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float) -> DataFrame:
+    """Rows of docs, with all their columns, whose score is below toxic_from; scores as in score_toxicity."""
+    tagger = train(training_rows(docs, labels, "toxic"))
+    text_at = docs.columns.index("text")
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for first, end, data, offsets in text_slices(part.column(text_at)):
+                p, _, _, text = tag(tagger, data, offsets)
+                yield part.slice(first, end - first).filter(pa.array(document_scores(p, text, end - first) < toxic_from))
+
+    return docs.mapInArrow(batches, docs.schema)
