@@ -3,7 +3,8 @@
 A pre-token's symbols are a linked list. A pair that merges waits in the bucket of its rank, as the position of its
 left symbol; a bitmap over ranks in three levels of 64-bit words marks the buckets in use, so the next rank is three
 find-first-set steps away. A position whose pair has changed since it was put there is stale and skipped. A pre-token
-of n bytes takes O(n log n) steps at most, which is what very long ones need.
+of n bytes takes O(n log n) steps at most, which is what very long ones need. Short ones take the same steps with two
+levels of wider words and with buckets that are bit sets, which Python's integers make cheap while they are small.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pre-tokens whose encodings a worker keeps; beyond that it forgets them all and goes on.
-CACHED = 400_000
+CACHED = 800_000
 #: Longer pre-tokens are not kept.
 CACHED_CHARS = 64
+#: Bytes up to which a pre-token is a short one.
+SHORT = 128
 
 
 class RankQueue:
@@ -70,58 +73,114 @@ class Encoder:
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.byte_ids = [self.ranks[bytes([b])] for b in range(256)]
         self.split = regex.compile(pattern).findall
-        self.pairs: dict[tuple[int, int], int] = {}
+        nothing: dict[int, int] = {}
+        #: By left id: the rank of each right id that merges with it.
+        self.pairs = [nothing] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
                 left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left, right] = rank
+                    if self.pairs[left] is nothing:
+                        self.pairs[left] = {}
+                    self.pairs[left][right] = rank
         self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.kept: dict[str, tuple[list[int], str]] = {}
+        self.low: dict[int, int] = {}
+        self.kept: dict[str, tuple[int, str, bytes]] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
         whole = self.ranks.get(data)
         if whole is not None:
             return [whole]
+        return self._merge_short(data) if len(data) <= SHORT else self._merge_long(data)
+
+    def _merge_short(self, data: bytes) -> list[int]:
+        """merge() with the queue's steps in line: top has a bit for each 256 ranks, low[h] a bit for each of them."""
+        pairs, low, buckets, top = self.pairs, self.low, {}, 0
+        ids = [*map(self.byte_ids.__getitem__, data)]
+        n = len(ids)
+        before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
+        new = [(r, i) for i in range(n - 1) if (r := pairs[ids[i]].get(ids[i + 1])) is not None]
+        while True:
+            for r, i in new:
+                if r in buckets:
+                    buckets[r] |= 1 << i
+                else:
+                    buckets[r] = 1 << i
+                    h = r >> 8
+                    if top >> h & 1:
+                        low[h] |= 1 << (r & 255)
+                    else:
+                        top |= 1 << h
+                        low[h] = 1 << (r & 255)
+            if not top:
+                break
+            h = (top & -top).bit_length() - 1
+            word = low[h]
+            rank = h << 8 | (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            i = (bucket & -bucket).bit_length() - 1
+            bucket &= bucket - 1
+            if bucket:
+                buckets[rank] = bucket
+            else:
+                del buckets[rank]
+                low[h] = word = word & word - 1
+                if not word:
+                    top &= top - 1
+            new = []
+            j = after[i]
+            if (x := ids[i]) < 0 or j >= n or pairs[x].get(ids[j]) != rank:
+                continue  # stale
+            ids[i], ids[j] = rank, -1
+            after[i] = k = after[j]
+            if k < n:
+                before[k] = i
+                if (r := pairs[rank].get(ids[k])) is not None:
+                    new.append((r, i))
+            if (h := before[i]) >= 0 and (r := pairs[ids[h]].get(rank)) is not None:
+                new.append((r, h))
+        return [x for x in ids if x >= 0]
+
+    def _merge_long(self, data: bytes) -> list[int]:
         pairs, queue = self.pairs, self.queue
         ids = [self.byte_ids[b] for b in data]
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
         for i in range(n - 1):
-            rank = pairs.get((ids[i], ids[i + 1]))
+            rank = pairs[ids[i]].get(ids[i + 1])
             if rank is not None:
                 queue.push(rank, i)
         while queue.top:
             rank, i = queue.pop()
-            if ids[i] < 0 or (j := after[i]) >= n or pairs.get((ids[i], ids[j])) != rank:
+            if ids[i] < 0 or (j := after[i]) >= n or pairs[ids[i]].get(ids[j]) != rank:
                 continue  # stale
             ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (r := pairs.get((rank, ids[k]))) is not None:
+                if (r := pairs[rank].get(ids[k])) is not None:
                     queue.push(r, i)
-            if (h := before[i]) >= 0 and (r := pairs.get((ids[h], rank))) is not None:
+            if (h := before[i]) >= 0 and (r := pairs[ids[h]].get(rank)) is not None:
                 queue.push(r, h)
         return [x for x in ids if x >= 0]
 
-    def _new(self, piece: str) -> tuple[list[int], str]:
+    def _new(self, piece: str) -> tuple[int, str, bytes]:
         ids = self.merge(piece.encode())
-        found = ids, " ".join(map(str, ids))
+        found = len(ids), " ".join(map(str, ids)), self.decode(ids)
         if len(piece) <= CACHED_CHARS:
             if len(self.kept) >= CACHED:
                 self.kept.clear()
             self.kept[piece] = found
         return found
 
-    def pieces(self, text: str) -> list[tuple[list[int], str]]:
-        """Ids, and the same as decimals joined by spaces, of each pre-token of text."""
+    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
+        """Of each pre-token of text: number of ids, the ids as decimals joined by blanks, what they decode to."""
         get, new = self.kept.get, self._new
         return [get(piece) or new(piece) for piece in self.split(text)]
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids, _ in self.pieces(text) for i in ids]
+        return [int(i) for piece in self.pieces(text) for i in piece[1].split()]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -159,11 +218,10 @@ def digest_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
             for rows in slices(part):
                 counts, ids_hex, decoded_hex = [], [], []
                 for text in rows.column(1).to_pylist():
-                    found = own.pieces(text or "")
-                    ids = [i for piece, _ in found for i in piece]
-                    counts.append(len(ids))
-                    ids_hex.append(hashlib.sha256(" ".join([s for _, s in found]).encode()).hexdigest())
-                    decoded_hex.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                    sizes, names, decoded = zip(*own.pieces(text), strict=True) if text else ((), (), ())
+                    counts.append(sum(sizes))
+                    ids_hex.append(hashlib.sha256(" ".join(names).encode()).hexdigest())
+                    decoded_hex.append(hashlib.sha256(b"".join(decoded)).hexdigest())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
