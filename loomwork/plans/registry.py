@@ -11,7 +11,7 @@ from loomwork.plans.star import Star, with_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules of this package that register queries.
-AREAS = ("coverage",)
+AREAS = ("coverage", "access", "progression", "program_map")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
