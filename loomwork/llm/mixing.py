@@ -19,8 +19,8 @@ from loomwork.llm.feistel import permute
 
 #: Uniform numbers are integers below this; the table that finds their source has BINS rows or a little more.
 UNIT, BINS = 1 << 40, 4096
-#: Rows of one source and bucket, about.
-BUCKET_ROWS = 1000
+#: Rows of one source and bucket, and slots that one task places, about.
+BUCKET_ROWS, TASK_SLOTS = 1000, 50_000
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,8 @@ def _slots(sources: DataFrame, mix: Mix) -> DataFrame:
     last = draws.agg((F.coalesce(F.max("shard"), F.lit(-1)) + 1).alias("shard")).first()[0]
     missing = sources.join(drawn, "sid", "left").withColumn("first", F.coalesce("first", F.lit(0))).where("slots > first")
     missing = missing.select(F.lit(last).cast("long").alias("shard"), "sid", (F.col("slots") - F.col("first")).alias("n"), "first", "blocks", "slots")
-    runs = placed.select(missing.columns).unionByName(missing)
+    tasks = (sources.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS + 1
+    runs = placed.select(missing.columns).unionByName(missing).repartition(tasks, "shard", "sid")
     each = runs.select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
     passes = F.call_function("div", "k", F.col("blocks"))
     key = F.xxhash64("sid", passes, F.lit(mix.seed))
