@@ -13,9 +13,13 @@ _EDGE = r"[\p{L}\p{M}\p{N}_]"
 REVIEW_LEVELS = 3
 
 
-def term_pattern(term: str) -> str:
-    """A whole term, in any case, as literal text between Unicode word edges."""
-    return rf"(?iu)(?<!{_EDGE}){re.escape(term)}(?!{_EDGE})"
+def holds_term(lowered: Column, term: str) -> Column:
+    """Whether lower-case text holds a lower-case term whole, as literal text between Unicode word edges.
+
+    The literal stands first in the pattern and is looked for on its own before, which spares most texts the edges.
+    """
+    literal = re.escape(term)
+    return lowered.contains(term) & lowered.rlike(f"{literal}(?<!{_EDGE}{literal})(?!{_EDGE})")
 
 
 def clean_verbs(verbs: DataFrame) -> DataFrame:
@@ -27,17 +31,15 @@ def clean_verbs(verbs: DataFrame) -> DataFrame:
 def classify(clos: DataFrame, verbs: DataFrame) -> DataFrame:
     """clos with matches array<struct<level_id, verb>>, by level and term; null if the reference is empty.
 
-    The vocabulary is small, so it becomes literals: a first test for any term, then one for each. No row is
-    multiplied by the terms.
+    The vocabulary is small, so it becomes literals, and no row is multiplied by the terms.
     """
-    terms = [(r.level_id, r.verb) for r in clean_verbs(verbs).orderBy("level_id", F.lower("verb")).collect()]
+    terms = clean_verbs(verbs).select("level_id", "verb", F.lower("verb").alias("low")).orderBy("level_id", "low").collect()
     kind = "array<struct<level_id:bigint,verb:string>>"
     if not terms:
         return clos.withColumn("matches", F.lit(None).cast(kind))
-    one = lambda level, verb: F.when(F.col("l_outcome").rlike(term_pattern(verb)), F.struct(F.lit(level).cast("long").alias("level_id"), F.lit(verb).alias("verb")))
-    some = F.filter(F.array(*[one(*t) for t in terms]), lambda m: m.isNotNull())
-    any_term = rf"(?iu)(?<!{_EDGE})(?:{'|'.join(re.escape(v) for _, v in terms)})"
-    return clos.withColumn("matches", F.when(F.col("l_outcome").rlike(any_term), some).otherwise(F.array().cast(kind)))
+    one = lambda t: F.when(holds_term(F.col("_low"), t.low), F.struct(F.lit(t.level_id).cast("long").alias("level_id"), F.lit(t.verb).alias("verb")))
+    some = F.filter(F.array(*map(one, terms)), lambda m: m.isNotNull())
+    return clos.withColumn("_low", F.lower("l_outcome")).withColumn("matches", F.coalesce(F.when(F.col("_low").isNotNull(), some), F.array().cast(kind))).drop("_low")
 
 
 def course_level(course_num: Column) -> Column:
