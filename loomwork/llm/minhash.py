@@ -66,7 +66,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.argsort(text, kind="stable")
     h, text = h[order], text[order]
     begins = np.flatnonzero(np.diff(text, prepend=-1))
-    for a, b in zip(begins, np.append(begins[1:], len(text)), strict=True):
+    for a, b in zip(begins, np.append(begins, len(text))[1:], strict=True):
         h[a:b].sort()
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
