@@ -14,6 +14,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,25 @@ class Layout:
         return f"<u{self.id_bytes}"
 
 
+@lru_cache(maxsize=1)
+def fast_encoding(rank_file: str, pattern: str):
+    """The library's encoding by a rank file, one a worker process."""
+    import base64
+
+    import tiktoken
+
+    with open(rank_file, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def tokenized(docs: DataFrame, layout: Layout) -> DataFrame:
     """doc_id, n_tokens (with the end mark), ids (packed), source (the partition), first (its first sequence there)."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
         from pyspark import TaskContext
 
-        from loomwork.llm.bpe import encoder
-
-        own = tiktoken.Encoding("own", pat_str=layout.pattern, mergeable_ranks=encoder(layout.rank_file, layout.pattern).ranks, special_tokens={})
+        own = fast_encoding(layout.rank_file, layout.pattern)
         source, at = TaskContext.get().partitionId(), 0
         for part in parts:
             for row in range(0, part.num_rows, 256):
@@ -88,7 +98,7 @@ def write_tokens(docs: DataFrame, path: str, layout: Layout) -> DataFrame:
     like others. Other columns are left out. An empty table gives no shards. A shard becomes visible by a rename when it is whole, so a task that runs again, or a job that resumes
     with the same docs and layout, leaves whole shards as they are.
     """
-    made = stored(tokenized(docs, layout), "tokens", compression="zstd")
+    made = stored(tokenized(docs, layout), "tokens", **{"compression": "zstd", "parquet.compression.codec.zstd.level": "9"})
     parts = F.call_function("div", F.col("n_tokens") + (layout.seq_len - 1), F.lit(layout.seq_len))
     held = made.groupBy("source").agg(F.sum(parts).alias("held"))
     bases = stored(held.select("source", (F.sum("held").over(Window.orderBy("source")) - F.col("held")).alias("base"), "held"), "token-bases")
