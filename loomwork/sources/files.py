@@ -109,7 +109,7 @@ def repaired(name: str) -> Column:
 def line_fields(text: Column) -> Column:
     """The fields of an answer written as 'name: value' lines instead of JSON."""
     of = lambda name: F.nullif(F.trim(F.regexp_extract(text, rf"(?im)^\W*{name}\W*:\s*\"?(.*?)\"?,?\s*$", 1)), F.lit(""))
-    labels = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(of("mapLabels"), F.lit("")), r"[\[\]\"']", ""), ","), F.trim), lambda x: x != "")
+    labels = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce(of("mapLabels"), F.lit("")), r"[\[\]\"']", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.struct(of("id").alias("id"), of("clo").alias("CLO"), of("accreditation_standard").alias("Accreditation_Standard"), (F.lower(of("is_mapped")) == "true").alias("is_mapped"), labels.alias("mapLabels"), of("explanation").alias("explanation"))
 
 
