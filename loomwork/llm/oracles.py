@@ -1,7 +1,44 @@
-"""DuckDB SQL for the queries of this folder that SQL can express."""
+"""DuckDB SQL for the queries of this folder that SQL can express: by brute force, over the same rows."""
 
 from __future__ import annotations
 
+from loomwork.llm import licenses, minhash
+
+_LOWER = "TRANSLATE(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def near_dedup() -> str:
+    """All pairs that share a shingle, then all documents that each one reaches."""
+    k = minhash.WORDS
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, REGEXP_EXTRACT_ALL({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN LEN(w) >= {k} THEN LIST_DISTINCT(LIST_TRANSFORM(RANGE(1, LEN(w) - {k - 2}), LAMBDA i: ARRAY_TO_STRING(w[i:i + {k - 1}], ' '))) WHEN LEN(w) > 0 THEN [ARRAY_TO_STRING(w, ' ')] ELSE [] END AS g FROM d),
+    sh AS (SELECT doc_id, LEN(g) AS n, UNNEST(g) AS g FROM s),
+    links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * COUNT(*) >= {minhash.PERCENT} * (a.n + b.n - COUNT(*))),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b),
+    c AS (SELECT a AS doc_id, MIN(b) AS component_id FROM reach GROUP BY 1)
+    SELECT s.doc_id, CAST(LEN(g) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept FROM s JOIN c ON c.doc_id = s.doc_id"""
+
+
+def license_scan() -> str:
+    """Every window against every template."""
+    half = licenses.BLOCK_WORDS // 2
+    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(t.split())))}])" for label, t in licenses.TEMPLATES)
+    finds = []
+    for phrase, label in licenses.PHRASES.items():
+        same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))
+        finds.append(f"LIST_TRANSFORM(LIST_FILTER(RANGE(1, LEN(w) + 1), LAMBDA i: {same}), LAMBDA i: {{'first': i - 1, 'label': '{label}'}})")
+    places = " || ".join(finds)
+    return f"""WITH d AS (SELECT doc_id, REGEXP_EXTRACT_ALL({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+    p AS (SELECT doc_id, w, {places} AS places FROM d),
+    b AS (SELECT doc_id, LIST_DISTINCT(w[i:i + {licenses.BLOCK_WORDS - 1}]) AS block FROM (SELECT doc_id, w, UNNEST(RANGE(1, GREATEST(1, LEN(w) - {half}) + 1, {half})) AS i FROM d) AS x),
+    m AS (SELECT doc_id, label, LEN(LIST_INTERSECT(block, t)) / LEN(t) AS containment FROM b, (VALUES {templates}) AS v(label, t) WHERE LEN(LIST_INTERSECT(block, t)) >= {licenses.THRESHOLD} * LEN(t) - 1e-9),
+    f AS (SELECT doc_id, LIST(DISTINCT label) AS more, MAX(containment) AS best FROM m GROUP BY 1)
+    SELECT p.doc_id, CAST(LEN(w) AS BIGINT) AS n_words, CAST(LEN(places) AS BIGINT) AS n_base, CAST(LIST_MIN(LIST_TRANSFORM(places, LAMBDA x: x.first)) AS BIGINT) AS first_word, CAST(LIST_MAX(LIST_TRANSFORM(places, LAMBDA x: x.first)) AS BIGINT) AS last_word,
+        ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(LIST_TRANSFORM(places, LAMBDA x: x.label))), ',') AS base_labels,
+        ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(LIST_TRANSFORM(places, LAMBDA x: x.label) || COALESCE(more, []))), ',') AS labels,
+        CASE WHEN LEN(places) > 0 THEN 1.0::DOUBLE ELSE COALESCE(best, 0.0)::DOUBLE END AS score FROM p LEFT JOIN f ON f.doc_id = p.doc_id"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_minhash_near_dedup": near_dedup(), "op8_license_scan": license_scan()}
