@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pre-tokens whose encodings a worker keeps; beyond that it forgets them all and goes on.
-CACHED = 800_000
+CACHED = 400_000
 #: Longer pre-tokens are not kept.
 CACHED_CHARS = 64
 #: Bytes up to which a pre-token is a short one.
@@ -84,8 +84,11 @@ class Encoder:
                         self.pairs[left] = {}
                     self.pairs[left][right] = rank
         self.queue = RankQueue(max(self.ranks.values()) + 1)
-        self.low: dict[int, int] = {}
-        self.kept: dict[str, tuple[int, str, bytes]] = {}
+        self.low = [0] * (len(self.pairs) // 256 + 1)
+        #: Of pre-tokens: the ids as decimals joined by blanks.
+        self.kept: dict[str, str] = {}
+        #: What the ids of a pre-token decode to, where that isn't the pre-token.
+        self.decoded: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -100,37 +103,29 @@ class Encoder:
         ids = [*map(self.byte_ids.__getitem__, data)]
         n = len(ids)
         before, after = [*range(-1, n - 1)], [*range(1, n + 1)]
-        new = [(r, i) for i in range(n - 1) if (r := pairs[ids[i]].get(ids[i + 1])) is not None]
+        new = [(r, i) for i, r in enumerate([pairs[x].get(y) for x, y in zip(ids, ids[1:])]) if r is not None]  # noqa: B905
         while True:
             for r, i in new:
-                if r in buckets:
-                    buckets[r] |= 1 << i
+                if bucket := buckets.get(r):
+                    buckets[r] = bucket | 1 << i
                 else:
                     buckets[r] = 1 << i
-                    h = r >> 8
-                    if top >> h & 1:
-                        low[h] |= 1 << (r & 255)
-                    else:
-                        top |= 1 << h
-                        low[h] = 1 << (r & 255)
+                    low[r >> 8] |= 1 << (r & 255)
+                    top |= 1 << (r >> 8)
             if not top:
-                break
+                return [x for x in ids if x >= 0]
             h = (top & -top).bit_length() - 1
             word = low[h]
             rank = h << 8 | (word & -word).bit_length() - 1
             bucket = buckets[rank]
             i = (bucket & -bucket).bit_length() - 1
-            bucket &= bucket - 1
-            if bucket:
-                buckets[rank] = bucket
-            else:
-                del buckets[rank]
+            buckets[rank] = bucket = bucket & bucket - 1
+            if not bucket:
                 low[h] = word = word & word - 1
                 if not word:
                     top &= top - 1
             new = []
-            j = after[i]
-            if (x := ids[i]) < 0 or j >= n or pairs[x].get(ids[j]) != rank:
+            if (x := ids[i]) < 0 or (j := after[i]) >= n or pairs[x].get(ids[j]) != rank:
                 continue  # stale
             ids[i], ids[j] = rank, -1
             after[i] = k = after[j]
@@ -140,7 +135,6 @@ class Encoder:
                     new.append((r, i))
             if (h := before[i]) >= 0 and (r := pairs[ids[h]].get(rank)) is not None:
                 new.append((r, h))
-        return [x for x in ids if x >= 0]
 
     def _merge_long(self, data: bytes) -> list[int]:
         pairs, queue = self.pairs, self.queue
@@ -165,22 +159,28 @@ class Encoder:
                 queue.push(r, h)
         return [x for x in ids if x >= 0]
 
-    def _new(self, piece: str) -> tuple[int, str, bytes]:
-        ids = self.merge(piece.encode())
-        found = len(ids), " ".join(map(str, ids)), self.decode(ids)
+    def _new(self, piece: str) -> str:
+        data = piece.encode()
+        ids = self.merge(data)
+        found = " ".join(map(str, ids))
+        if (back := self.decode(ids)) != data:
+            self.decoded[piece] = back
         if len(piece) <= CACHED_CHARS:
             if len(self.kept) >= CACHED:
                 self.kept.clear()
             self.kept[piece] = found
         return found
 
-    def pieces(self, text: str) -> list[tuple[int, str, bytes]]:
-        """Of each pre-token of text: number of ids, the ids as decimals joined by blanks, what they decode to."""
+    def names(self, text: str) -> tuple[str, bytes]:
+        """The ids of text as decimals joined by blanks, and what they decode to; each pre-token's are decoded once."""
         get, new = self.kept.get, self._new
-        return [get(piece) or new(piece) for piece in self.split(text)]
+        pieces = self.split(text)
+        found = " ".join([get(piece) or new(piece) for piece in pieces])
+        other = self.decoded
+        return found, b"".join([other.get(p) or p.encode() for p in pieces]) if other else "".join(pieces).encode()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for piece in self.pieces(text) for i in piece[1].split()]
+        return [*map(int, self.names(text)[0].split())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -218,10 +218,10 @@ def digest_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
             for rows in slices(part):
                 counts, ids_hex, decoded_hex = [], [], []
                 for text in rows.column(1).to_pylist():
-                    sizes, names, decoded = zip(*own.pieces(text), strict=True) if text else ((), (), ())
-                    counts.append(sum(sizes))
-                    ids_hex.append(hashlib.sha256(" ".join(names).encode()).hexdigest())
-                    decoded_hex.append(hashlib.sha256(b"".join(decoded)).hexdigest())
+                    names, decoded = own.names(text or "")
+                    counts.append(names.count(" ") + 1 if names else 0)
+                    ids_hex.append(hashlib.sha256(names.encode()).hexdigest())
+                    decoded_hex.append(hashlib.sha256(decoded).hexdigest())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
