@@ -11,7 +11,7 @@ from loomwork.plans.star import Star, with_star
 
 Query = Callable[[SparkSession, str], DataFrame]
 #: Modules of this package that register queries.
-AREAS = ("coverage", "access", "progression", "program_map", "searching", "progress", "course_reports", "etl", "documents", "texts", "extensions")
+AREAS = ("coverage", "access", "progression", "program_map", "searching", "progress", "course_reports", "etl", "documents", "texts", "sheets", "extensions")
 
 _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
