@@ -14,7 +14,7 @@ def outcome_list(plos: DataFrame, programs: DataFrame, categories: DataFrame) ->
 
 def standards_list(courses: DataFrame, standards: DataFrame, maps: DataFrame, scales: DataFrame) -> DataFrame:
     """course_id, standard_id, s_shortphrase, abbreviation of every standard of the course's category; 'N/A' if none."""
-    rows = courses.select("course_id", "standard_category_id").join(F.broadcast(standards), "standard_category_id").join(maps, ["course_id", "standard_id"], "left").join(F.broadcast(scales.select("standard_scale_id", "abbreviation")), "standard_scale_id", "left")
+    rows = courses.select("course_id", "standard_category_id").join(standards, "standard_category_id").join(maps, ["course_id", "standard_id"], "left").join(scales.select("standard_scale_id", "abbreviation"), "standard_scale_id", "left")
     return rows.select("course_id", "standard_id", "s_shortphrase", F.coalesce("abbreviation", F.lit("N/A")).alias("abbreviation"))
 
 
@@ -25,7 +25,7 @@ def alignment_pivot(bridge: DataFrame, items: DataFrame, key: str, label: str, l
 
 def course_map(clos: DataFrame, maps: DataFrame, plos: DataFrame, course_programs: DataFrame, scales: DataFrame) -> DataFrame:
     """course_id, program_id, pl_outcome_id, l_outcome_id, levels ('I / D', by id) over all programs of the course."""
-    rows = maps.join(clos.select("l_outcome_id", "course_id"), "l_outcome_id").join(plos.select("pl_outcome_id", "program_id"), "pl_outcome_id").join(course_programs.select("course_id", "program_id"), ["course_id", "program_id"]).join(F.broadcast(scales.select("map_scale_id", "abbreviation")), "map_scale_id")
+    rows = maps.join(clos.select("l_outcome_id", "course_id"), "l_outcome_id").join(plos.select("pl_outcome_id", "program_id"), "pl_outcome_id").join(course_programs.select("course_id", "program_id"), ["course_id", "program_id"]).join(scales.select("map_scale_id", "abbreviation"), "map_scale_id")
     levels = F.array_sort(F.collect_set(F.struct("map_scale_id", "abbreviation")))
     return rows.groupBy("course_id", "program_id", "pl_outcome_id", "l_outcome_id").agg(F.array_join(F.transform(levels, lambda x: x["abbreviation"]), " / ").alias("levels"))
 
@@ -50,7 +50,7 @@ def course_summary(courses: DataFrame, clos: DataFrame, methods: DataFrame, acti
 
 def scale_sheet(levels: DataFrame, scales: DataFrame) -> DataFrame:
     """program_id, position, title, abbreviation, colour of configured levels."""
-    return levels.join(F.broadcast(scales), "map_scale_id").select("program_id", "position", "title", "abbreviation", "colour")
+    return levels.join(scales, "map_scale_id").select("program_id", "position", "title", "abbreviation", "colour")
 
 
 def mapping_payload(clos: DataFrame, plos: DataFrame, levels: DataFrame, scales: DataFrame, course_programs: DataFrame) -> DataFrame:

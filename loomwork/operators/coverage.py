@@ -55,7 +55,7 @@ def mapping_facts(plos: DataFrame, maps: DataFrame, clos: DataFrame, course_prog
     in_program = course_programs.select("program_id", "course_id", F.lit(True).alias("current"), "course_required")
     configured = levels.where("map_scale_id <> 0").select("program_id", "map_scale_id", F.lit(True).alias("configured"))
     rows = plos.select("program_id", "pl_outcome_id").join(maps, "pl_outcome_id", "left").join(clos.select("l_outcome_id", "course_id"), "l_outcome_id", "left")
-    rows = rows.join(in_program, ["program_id", "course_id"], "left").join(F.broadcast(configured), ["program_id", "map_scale_id"], "left")
+    rows = rows.join(in_program, ["program_id", "course_id"], "left").join(configured, ["program_id", "map_scale_id"], "left")
     return rows.withColumn("current", F.coalesce("current", F.lit(False))).withColumn("covered", F.col("current") & F.coalesce("configured", F.lit(False)))
 
 
@@ -83,7 +83,7 @@ def multi_level(facts: DataFrame) -> DataFrame:
 
 def histogram(plos: DataFrame, levels: DataFrame, facts: DataFrame) -> DataFrame:
     """METRICS of each PLO and configured level of its program, zeros too, with the level's position."""
-    grid = plos.select("program_id", "pl_outcome_id").join(F.broadcast(levels.where("map_scale_id <> 0").select("program_id", "map_scale_id", "position")), "program_id")
+    grid = plos.select("program_id", "pl_outcome_id").join(levels.where("map_scale_id <> 0").select("program_id", "map_scale_id", "position"), "program_id")
     counts = facts.where("covered").groupBy("program_id", "pl_outcome_id", "map_scale_id").agg(*_counts(F.lit(True)))
     return grid.join(counts, ["program_id", "pl_outcome_id", "map_scale_id"], "left").na.fill(0, list(METRICS))
 
@@ -130,7 +130,7 @@ def evaluate(hist: DataFrame, totals: DataFrame, bounds: DataFrame, *, gaps: boo
     courses. Percentages are compared as 100 * count against bound * denominator, never rounded.
     """
     long = hist.unpivot(["program_id", "pl_outcome_id", "map_scale_id"], list(METRICS), "metric", "count")
-    rows = long.join(F.broadcast(totals), "program_id").join(F.broadcast(bounds), ["metric", "map_scale_id"], "left")
+    rows = long.join(totals, "program_id").join(bounds, ["metric", "map_scale_id"], "left")
     denominator = F.when(F.col("metric") == METRICS[0], F.col("clo_count")).otherwise(F.col("course_count"))
     rows = rows.withColumn("denominator", denominator)
     low = F.coalesce(F.lit(gaps) & (100 * F.col("count") < F.col("least") * F.col("denominator")), F.lit(False))

@@ -16,7 +16,7 @@ def suggestions(results: DataFrame, clos: DataFrame, plos: DataFrame, scales: Da
     """
     live = results.join(clos.select("l_outcome_id"), "l_outcome_id", "left_semi").join(plos.select("pl_outcome_id"), "pl_outcome_id", "left_semi")
     none = live.where(~F.coalesce("is_mapped", F.lit(False))).select(*PAIR, F.lit(0).cast("long").alias("map_scale_id"))
-    labelled = live.where("is_mapped").select(*PAIR, F.explode("labels").alias("abbreviation")).join(F.broadcast(scales.select("map_scale_id", "abbreviation")), "abbreviation")
+    labelled = live.where("is_mapped").select(*PAIR, F.explode("labels").alias("abbreviation")).join(scales.select("map_scale_id", "abbreviation"), "abbreviation")
     return none.unionByName(labelled.select(*MAP_KEY)).distinct()
 
 

@@ -36,7 +36,7 @@ def frequency(pairs: DataFrame) -> DataFrame:
 
 def by_abbreviation(freq: DataFrame, scales: DataFrame) -> DataFrame:
     """Frequency by abbreviation; levels that share one merge."""
-    rows = freq.join(F.broadcast(scales.select("map_scale_id", "abbreviation")), "map_scale_id")
+    rows = freq.join(scales.select("map_scale_id", "abbreviation"), "map_scale_id")
     return rows.groupBy("program_id", "pl_outcome_id", "course_id", "abbreviation").agg(F.sum("n").alias("n"))
 
 
@@ -44,7 +44,7 @@ def modes(freq: DataFrame, scales: DataFrame) -> DataFrame:
     """Most frequent level of each PLO and course; ties joined by ' / ' in first-seen order, with TIE_COLOUR."""
     cell = ["program_id", "pl_outcome_id", "course_id"]
     ranked = freq.withColumn("r", F.rank().over(Window.partitionBy(*cell).orderBy(F.desc("n")))).where("r = 1")
-    rows = ranked.join(F.broadcast(scales.select("map_scale_id", "abbreviation", "colour")), "map_scale_id")
+    rows = ranked.join(scales.select("map_scale_id", "abbreviation", "colour"), "map_scale_id")
     tied = F.array_sort(F.collect_list(F.struct("first", "map_scale_id", "abbreviation")))
     out = rows.groupBy(*cell).agg(tied.alias("tied"), F.max("colour").alias("colour"), F.max("n").alias("n"))
     label = F.array_join(F.transform("tied", lambda x: x["abbreviation"]), " / ")
@@ -68,7 +68,7 @@ def dominant(pairs: DataFrame, scales: DataFrame) -> DataFrame:
     kinds = F.lit("custom")
     for name, order in HIERARCHIES.items():
         kinds = F.when(F.col("abbreviation").isin(order), name).otherwise(kinds)
-    rows = pairs.where("map_scale_id <> 0").join(F.broadcast(scales.select("map_scale_id", "abbreviation")), "map_scale_id").withColumn("kind", kinds)
+    rows = pairs.where("map_scale_id <> 0").join(scales.select("map_scale_id", "abbreviation"), "map_scale_id").withColumn("kind", kinds)
     cell = ["program_id", "pl_outcome_id", "course_id"]
     first = rows.groupBy(*cell).agg(F.min_by("kind", F.struct("l_outcome_id", "map_scale_id")).alias("first_kind"))
     strength = _strength(F.col("first_kind"), F.col("abbreviation"), F.col("map_scale_id"))
@@ -116,7 +116,7 @@ def activity_frequency(activities: DataFrame, course_programs: DataFrame) -> Dat
 
 def priority_frequency(chosen: DataFrame, priorities: DataFrame, courses: DataFrame, course_programs: DataFrame) -> DataFrame:
     """program_id, op_id, optional_priority, n, courses ('CODE NUM' by course_id)."""
-    rows = course_programs.select("program_id", "course_id").join(chosen, "course_id").join(F.broadcast(priorities), "op_id").join(courses.select("course_id", F.concat_ws(" ", "course_code", "course_num").alias("name")), "course_id")
+    rows = course_programs.select("program_id", "course_id").join(chosen, "course_id").join(priorities, "op_id").join(courses.select("course_id", F.concat_ws(" ", "course_code", "course_num").alias("name")), "course_id")
     named = F.array_sort(F.collect_list(F.struct("course_id", "name")))
     return rows.groupBy("program_id", "op_id", "optional_priority").agg(F.count("*").alias("n"), F.map_from_entries(named).alias("courses"))
 

@@ -68,7 +68,7 @@ def scope(courses: DataFrame, course_programs: DataFrame, clos: DataFrame) -> Da
 def narrowed(rows: DataFrame, maps: DataFrame, levels: DataFrame, pl_outcome_id: int, program_id: int) -> DataFrame:
     """Rows of one program whose CLO maps to the outcome at a configured level; courses left empty are gone."""
     configured = levels.where((F.col("program_id") == program_id) & (F.col("map_scale_id") != 0)).select("map_scale_id")
-    chosen = maps.where(F.col("pl_outcome_id") == pl_outcome_id).join(F.broadcast(configured), "map_scale_id", "left_semi").select("l_outcome_id").distinct()
+    chosen = maps.where(F.col("pl_outcome_id") == pl_outcome_id).join(configured, "map_scale_id", "left_semi").select("l_outcome_id").distinct()
     return rows.where(F.col("program_id") == program_id).join(chosen, "l_outcome_id", "left_semi")
 
 

@@ -46,7 +46,7 @@ def cloud_ocr_pages(t: Star):
 @query("SELECT pl_outcome_id, program_id, plo_category, ROW_NUMBER() OVER (PARTITION BY program_id ORDER BY p.plo_category_id NULLS LAST, pl_outcome_id) AS place FROM {program_learning_outcomes} p LEFT JOIN {p_l_o_categories} c ON c.plo_category_id = p.plo_category_id")
 def outcome_sheet(t: Star):
     order = Window.partitionBy("program_id").orderBy(F.col("plo_category_id").asc_nulls_last(), "pl_outcome_id")
-    rows = t.program_learning_outcomes.join(F.broadcast(t.p_l_o_categories), "plo_category_id", "left")
+    rows = t.program_learning_outcomes.join(t.p_l_o_categories, "plo_category_id", "left")
     return rows.select("pl_outcome_id", "program_id", "plo_category", F.row_number().over(order).cast("long").alias("place"))
 
 
