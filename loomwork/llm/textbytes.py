@@ -15,7 +15,7 @@ import pyarrow as pa
 U64 = np.uint64
 P = 0x9E3779B97F4A7C15
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -65,7 +65,7 @@ class Hashes:
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        power, self.inverse = _powers(max(22, (n + 1).bit_length()))
+        power, self.inverse = _powers(max(20, (n + 1).bit_length()))
         self.sums = np.zeros(n + 1, U64)
         np.cumsum(TABLE[data] * power[:n], out=self.sums[1:])
 
