@@ -8,7 +8,6 @@ values: unknown counts as neither required nor not.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,7 +143,3 @@ def summary(evaluated: DataFrame) -> DataFrame:
     """PLOs of each program with any gap, any redundancy; each counts once a concern."""
     each = evaluated.groupBy("program_id", "pl_outcome_id").agg(*[F.bool_or(F.col("status") == s).alias(s) for s in ("gap", "redundancy")])
     return each.groupBy("program_id").agg(F.count("*").alias("plos"), F.count_if("gap").alias("gap_plos"), F.count_if("redundancy").alias("redundancy_plos"))
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

@@ -6,13 +6,14 @@ where reading all texts for each query would not do.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions import english
+from loomwork.operators import access
 
 #: What a match of each property adds to its course's score (fixed values).
 WEIGHTS = {"course": 70, "topic": 50, "learning outcome": 40, "assessment": 30, "description": 20, "material content": 15, "material": 10}
@@ -33,7 +34,6 @@ class Request:
     course_levels: tuple[int, ...] = ()
     program_ids: tuple[int, ...] = ()
     stemmed: bool = False
-    applied: frozenset = field(default_factory=frozenset)
 
     def __post_init__(self):
         object.__setattr__(self, "query", english.normalized(self.query))
@@ -49,6 +49,41 @@ class Request:
             raise ValueError("course levels are 100 to 600")
 
 
+def chosen(values: list | None, applied: bool, default: list) -> list:
+    """The list that a form sent if its filter was applied, else the default; an applied filter may be empty."""
+    return list(values or []) if applied else list(default)
+
+
+def allowed_courses(tables: dict[str, DataFrame], request: Request, user_id: int, administrator: bool = False) -> DataFrame:
+    """course_id of the courses that the user sees and that the request's codes, levels and programs let through."""
+    courses = tables["courses"]
+    if request.course_codes:
+        courses = courses.where(F.col("course_code").isin(list(request.course_codes)))
+    courses = courses.where(access.level_filter(F.col("course_num"), list(request.course_levels)))
+    courses = access.courses_in_programs(courses, tables["course_programs"], list(request.program_ids))
+    return access.visible(courses, tables["course_users"], tables["course_user_role"], user_id, "course_id", administrator).select("course_id")
+
+
+def scoped(matches: DataFrame, allowed: DataFrame) -> DataFrame:
+    return matches.join(allowed, "course_id", "left_semi")
+
+
+def with_programs(ranked_rows: DataFrame, course_programs: DataFrame, programs: DataFrame) -> DataFrame:
+    """ranked_rows with programs, a sorted array of (program_id, program); empty for courses in none."""
+    named = course_programs.select("course_id", "program_id").distinct().join(programs.select("program_id", "program"), "program_id")
+    listed = named.groupBy("course_id").agg(F.array_sort(F.collect_list(F.struct("program_id", "program"))).alias("programs"))
+    none = F.array().cast("array<struct<program_id:bigint,program:string>>")
+    return ranked_rows.join(listed, "course_id", "left").withColumn("programs", F.coalesce("programs", none))
+
+
+def program_matches(programs: DataFrame, course_programs: DataFrame, allowed: DataFrame, query: str, stemmed: bool = False) -> DataFrame:
+    """program_id, program whose name meets the query and that have a course which is allowed."""
+    tokens = english.words(F.col("program"))
+    tokens = english.stems(tokens) if stemmed else tokens
+    held = course_programs.join(allowed, "course_id", "left_semi")
+    return programs.where(english.matches(tokens, query, stemmed)).join(held, "program_id", "left_semi").select("program_id", "program")
+
+
 def property_rows(property_name: str, rows: DataFrame, text: Column, query: str, stemmed: bool) -> DataFrame:
     """course_id, property, matched_text of the rows whose text meets the query. rows has course_id."""
     tokens = english.words(text)

@@ -71,6 +71,30 @@ def search_shared_cap(t: Star):
     return out.withColumns({"rank": F.col("rank").cast("long"), "spent": F.col("spent").cast("long")})
 
 
+_ALLOWED = "allowed AS (SELECT course_id FROM {courses} c WHERE course_code IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6', 'Brand#7', 'Brand#8') AND course_id IN (SELECT course_id FROM {course_programs} WHERE program_id < 20))"
+_REQUEST = S.Request(QUERY, course_codes=tuple(f"Brand#{i}" for i in range(1, 9)), program_ids=tuple(range(1, 20)))
+
+
+def _allowed(t: Star):
+    return S.allowed_courses({n: t[n] for n in ("courses", "course_programs", "course_users", "course_user_role")}, _REQUEST, 0, administrator=True)
+
+
+@query(f"WITH {_MATCHES}, {_ALLOWED} SELECT * FROM matches WHERE course_id IN (SELECT course_id FROM allowed)")
+def search_scoped(t: Star):
+    return S.scoped(_matches(t), _allowed(t))
+
+
+@query(f"WITH {_RANKED} SELECT r.course_id, rank, COALESCE(p.programs, '') AS programs FROM ranked r LEFT JOIN (SELECT course_id, STRING_AGG(CAST(cp.program_id AS STRING), ',' ORDER BY cp.program_id) AS programs FROM {{course_programs}} cp JOIN {{programs}} g ON g.program_id = cp.program_id GROUP BY 1) AS p ON p.course_id = r.course_id")
+def search_with_programs(t: Star):
+    out = S.with_programs(S.ranked(_matches(t)), t.course_programs, t.programs)
+    return out.select("course_id", F.col("rank").cast("long").alias("rank"), F.array_join(F.col("programs.program_id").cast("array<string>"), ",").alias("programs"))
+
+
+@query(f"WITH {_ALLOWED} SELECT program_id, program FROM {{programs}} WHERE program LIKE 'NATION_7' AND program_id IN (SELECT program_id FROM {{course_programs}} WHERE course_id IN (SELECT course_id FROM allowed))")
+def search_program_names(t: Star):
+    return S.program_matches(t.programs, t.course_programs, _allowed(t), '"nation 7"')
+
+
 @query(f"SELECT l_outcome_id FROM {{learning_outcomes}} WHERE ({_tokens('l_outcome')}) LIKE '% license %' AND ({_tokens('l_outcome')}) LIKE '% under %'")
 def search_by_index(t: Star):
     return S.lookup(S.inverted_index(t.learning_outcomes, "l_outcome_id", "l_outcome"), "l_outcome_id", ["license", "under"])
