@@ -19,8 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Pre-tokens whose encodings a worker keeps; beyond that it forgets them all and goes on.
-CACHED = 400_000
+#: A worker keeps the encodings of so many pre-tokens, and of as many before those; what is used again stays.
+CACHED = 300_000
 #: Longer pre-tokens are not kept.
 CACHED_CHARS = 64
 #: Bytes up to which a pre-token is a short one.
@@ -85,8 +85,9 @@ class Encoder:
                     self.pairs[left][right] = rank
         self.queue = RankQueue(max(self.ranks.values()) + 1)
         self.low = [0] * (len(self.pairs) // 256 + 1)
-        #: Of pre-tokens: the ids as decimals joined by blanks.
+        #: Of pre-tokens: the ids as decimals joined by blanks; older is the generation before kept.
         self.kept: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         #: What the ids of a pre-token decode to, where that isn't the pre-token.
         self.decoded: dict[str, bytes] = {}
 
@@ -160,14 +161,15 @@ class Encoder:
         return [x for x in ids if x >= 0]
 
     def _new(self, piece: str) -> str:
-        data = piece.encode()
-        ids = self.merge(data)
-        found = " ".join(map(str, ids))
-        if (back := self.decode(ids)) != data:
-            self.decoded[piece] = back
+        if not (found := self.older.get(piece)):
+            data = piece.encode()
+            ids = self.merge(data)
+            found = " ".join(map(str, ids))
+            if (back := self.decode(ids)) != data:
+                self.decoded[piece] = back
         if len(piece) <= CACHED_CHARS:
             if len(self.kept) >= CACHED:
-                self.kept.clear()
+                self.older, self.kept = self.kept, {}
             self.kept[piece] = found
         return found
 
