@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir); all but the last return the columns of d
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomwork.llm import bpe, minhash, mixing, quality, toxicity
 from loomwork.llm.common import stored, table
@@ -34,12 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes its words, rounded; one that the mix hardly takes goes."""
-    taken = mixing.words_taken(mixing.mix_sources(docs, mixing.Mix()))
-    times = taken.select("doc_id", mixing.copies(F.col("size"), F.col("taken")).alias("times")).where("times > 0")
-    times = times.groupBy(F.col("doc_id").alias("id")).agg(F.max("times").alias("times"))
-    mixed = docs.join(times, docs["doc_id"].eqNullSafe(times["id"])).withColumn("_copy", F.explode(F.sequence(F.lit(1), "times")))
-    return mixed.select(docs.columns)
+    """The words that the mix takes of each document, a row for each pass; one of which it takes none goes."""
+    return mixing.passes_of(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

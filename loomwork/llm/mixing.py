@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.llm.common import WORD, stored
@@ -21,6 +21,9 @@ from loomwork.llm.feistel import permute
 UNIT, BINS = 1 << 40, 4096
 #: Rows of one source and bucket, and slots that one task places, about.
 BUCKET_ROWS, TASK_SLOTS = 1000, 50_000
+#: White space, and words each with the white space after it, repeated as a count in braces says.
+SPACE = r"[\x20\x09-\x0D]"
+SPACED_WORDS = f"(?:{WORD}+{SPACE}*+)"
 
 
 @dataclass(frozen=True)
@@ -151,6 +154,27 @@ def block_texts(docs: DataFrame, mixture: Mixture) -> DataFrame:
     return mixture.slots.join(texts, ["sid", "block"])
 
 
-def copies(size: Column, taken: Column) -> Column:
-    """How often a whole document stands in the mix: taken words over size, rounded half up."""
-    return F.when(size > 0, F.floor(taken / size + 0.5)).otherwise(0).cast("int")
+def passes_of(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """The mix as documents: a row of docs for each pass that takes words of it, its text cut to the words taken.
+
+    All of a row's words in a pass leave its text as it is; else each piece keeps the white space after its words.
+    Other columns stay as they are. Null doc_ids and repeated rows count as rows of their own.
+    """
+    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
+    mixture = mix_sources(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), mix)
+    length = mix.block_words
+    block = lambda word: F.call_function("div", word, F.lit(length))
+    end = F.col("start") + F.col("size")
+    rows = mixture.documents.where("size > 0").withColumnRenamed("doc_id", "_key")
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("sid", "start")))
+    parts = rows.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(end - 1)))).join(mixture.slots, ["sid", "block"])
+    n = F.least(end, (F.col("block") + 1) * length) - F.greatest("start", F.col("block") * length)
+    head, place = F.lit(length) - F.col("start") % length, (F.col("block") - block(F.col("start"))).cast("int")
+    parts = parts.select("_key", "_nth", F.col("pass").alias("_pass"), F.col("size").alias("_size"), head.alias("_head"), n.alias("n"), place.alias("place"))
+    passes = parts.groupBy("_key", "_nth", "_pass", "_size", "_head").agg(F.sum("n").alias("_taken"), F.array_sort(F.collect_list("place")).alias("_places"))
+    numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
+    pattern = F.concat(F.lit(f"^{SPACE}*+{SPACED_WORDS}{{1,"), F.col("_head").cast("string"), F.lit(f"}}+|{SPACED_WORDS}{{1,{length}}}+"))
+    pieces = F.regexp_extract_all("text", pattern, F.lit(0))  # by block: the first is what is left of the block it starts in
+    cut = F.transform(F.array(pieces), lambda w: F.array_join(F.transform("_places", lambda i: F.get(w, i)), ""))  # found once
+    taken = numbered.join(passes, ["_key", "_nth"]).withColumn("text", F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(cut[0]))
+    return taken.select(docs.columns)
