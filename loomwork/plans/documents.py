@@ -56,7 +56,7 @@ def syllabus_terms(t: Star):
 @query()
 def syllabus_sections(t: Star):
     """Sections of made-up syllabi around each document."""
-    text = F.concat(F.lit("COURSE DESCRIPTION\n"), F.substring("text", 1, 200), F.lit("\nLearning Outcomes\n1. Name things\n2. Weigh them\nTopics\n- Water\n- Fire\nUniversity Policies\nBe kind."))
+    text = F.concat(F.lit("COURSE DESCRIPTION\n"), "text", F.lit("\nLearning Outcomes\n1. Name things\n2. Weigh them\nTopics\n- Water\n- Fire\nUniversity Policies\nBe kind."))
     return Y.sections(t.documents.select(F.col("doc_id").alias("document_id"), text.alias("text")))
 
 
