@@ -69,7 +69,7 @@ def faculty_courses(courses: DataFrame, campus: str, faculty: str, codes: list[s
 def role_grants(role_users: DataFrame, courses: DataFrame, on: list[str], role_id: int) -> DataFrame:
     """user_id, course_id, role_id: every course that shares the scope columns with a role holder; no columns, all."""
     holders = role_users.select("user_id", *on).distinct()
-    rows = holders.join(courses.select("course_id", *on), on) if on else courses.select("course_id").crossJoin(F.broadcast(holders))
+    rows = holders.join(courses.select("course_id", *on), on) if on else courses.select("course_id").crossJoin(holders)
     return rows.select("user_id", "course_id", F.lit(role_id).cast("long").alias("role_id")).distinct()
 
 

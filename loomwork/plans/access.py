@@ -86,6 +86,11 @@ def role_grants_administrators(t: Star):
     return A.role_grants(t.program_users.where("user_id < 40"), t.courses, [], 1)
 
 
+@query("SELECT u.user_id, c.course_id, CAST(1 AS BIGINT) AS role_id FROM (SELECT DISTINCT user_id FROM {program_users} WHERE permission = 1) AS u CROSS JOIN {courses} c")
+def role_grants_all_administrators(t: Star):
+    return A.role_grants(t.program_users.where("permission = 1"), t.courses, [], 1)
+
+
 @query("SELECT user_id, name FROM {users} WHERE user_id IN (SELECT user_id FROM {course_user_role} WHERE role_id = 2)")
 def role_recipients(t: Star):
     return t.users.join(t.course_user_role.where("role_id = 2"), "user_id", "left_semi").select("user_id", "name")
@@ -136,3 +141,10 @@ def programs_by_name_or_course(t: Star):
     named = t.programs.where("program like 'NATION_2%'").select("program_id", F.lit(True).alias("named"))
     held = t.course_programs.where("course_id % 50 = 3").groupBy("program_id").agg(F.count("*").alias("courses"))
     return named.join(held, "program_id", "full").select("program_id", F.coalesce("named", F.lit(False)).alias("name_match"), F.coalesce("courses", F.lit(0)).alias("courses"))
+
+
+@query("SELECT COALESCE(a.program_id, b.program_id) AS program_id, a.program_id IS NOT NULL AS name_match, COALESCE(courses, 0) AS courses FROM (SELECT program_id FROM {programs} WHERE program LIKE 'NATION_2%') AS a FULL JOIN (SELECT program_id, COUNT(*) AS courses FROM {course_programs} GROUP BY 1) AS b ON a.program_id = b.program_id")
+def programs_by_name_or_any_course(t: Star):
+    named = t.programs.where("program like 'NATION_2%'").select("program_id", F.lit(True).alias("named"))
+    held = t.course_programs.groupBy("program_id").agg(F.count("*").alias("courses"))
+    return named.join(held, "program_id", "full").select("program_id", F.coalesce("named", F.lit(False)).alias("name_match"), F.coalesce("courses", F.lit(0)).alias("courses"))
