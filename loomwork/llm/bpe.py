@@ -88,8 +88,8 @@ class Encoder:
         #: Of pre-tokens: the ids as decimals joined by blanks; older is the generation before kept.
         self.kept: dict[str, str] = {}
         self.older: dict[str, str] = {}
-        #: What the ids of a pre-token decode to, where that isn't the pre-token.
-        self.decoded: dict[str, bytes] = {}
+        #: The bytes of each id, by its decimal.
+        self.named = {str(rank): token for token, rank in self.ranks.items()}
 
     def merge(self, data: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -162,27 +162,24 @@ class Encoder:
 
     def _new(self, piece: str) -> str:
         if not (found := self.older.get(piece)):
-            data = piece.encode()
-            ids = self.merge(data)
-            found = " ".join(map(str, ids))
-            if (back := self.decode(ids)) != data:
-                self.decoded[piece] = back
+            found = " ".join(map(str, self.merge(piece.encode())))
         if len(piece) <= CACHED_CHARS:
             if len(self.kept) >= CACHED:
                 self.older, self.kept = self.kept, {}
             self.kept[piece] = found
         return found
 
-    def names(self, text: str) -> tuple[str, bytes]:
-        """The ids of text as decimals joined by blanks, and what they decode to; each pre-token's are decoded once."""
+    def names(self, text: str) -> str:
+        """The ids of text as decimals joined by blanks."""
         get, new = self.kept.get, self._new
-        pieces = self.split(text)
-        found = " ".join([get(piece) or new(piece) for piece in pieces])
-        other = self.decoded
-        return found, b"".join([other.get(p) or p.encode() for p in pieces]) if other else "".join(pieces).encode()
+        return " ".join([get(piece) or new(piece) for piece in self.split(text)])
+
+    def decode_names(self, names: str) -> bytes:
+        """What ids decode to, given as decimals joined by blanks."""
+        return b"".join(map(self.named.__getitem__, names.split()))
 
     def encode(self, text: str) -> list[int]:
-        return [*map(int, self.names(text)[0].split())]
+        return [*map(int, self.names(text).split())]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -212,7 +209,10 @@ def encode_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
 
 
 def digest_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, as encode_documents; the ids never leave the worker."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, as encode_documents; the ids never leave the worker.
+
+    decoded_sha256 is of the bytes that the row's ids, the very ones that ids_sha256 is of, decode to.
+    """
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(rank_file, pattern)
@@ -220,10 +220,10 @@ def digest_documents(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame
             for rows in slices(part):
                 counts, ids_hex, decoded_hex = [], [], []
                 for text in rows.column(1).to_pylist():
-                    names, decoded = own.names(text or "")
+                    names = own.names(text or "")
                     counts.append(names.count(" ") + 1 if names else 0)
                     ids_hex.append(hashlib.sha256(names.encode()).hexdigest())
-                    decoded_hex.append(hashlib.sha256(decoded).hexdigest())
+                    decoded_hex.append(hashlib.sha256(own.decode_names(names)).hexdigest())
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(decoded_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
