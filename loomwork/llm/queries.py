@@ -76,13 +76,13 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(table(spark, sf_dir, "documents"))
 
 
-#: Ids of a sequence in the token shards.
-SEQUENCE = 256
+#: Ids of a sequence in the token shards, and sequences of a shard.
+SEQUENCE, SHARD_SLOTS = 256, 65_536
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The index of all sequences written, with a checksum of each one's bytes as read back."""
-    layout = tokenstore.Layout(*tokenizer(), seq_len=SEQUENCE)
+    """The index of all documents' pieces of sequences, with a checksum of each one's bytes as read back."""
+    layout = tokenstore.Layout(*tokenizer(), seq_len=SEQUENCE, shard_slots=SHARD_SLOTS)
     path = f"{shared_dir(spark).rstrip('/')}/token-shards-{uuid.uuid4().hex}"
     index = tokenstore.write_tokens(table(spark, sf_dir, "documents"), path, layout)
     return tokenstore.read_back(index, path, layout).drop("ids")
