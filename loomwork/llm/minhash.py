@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import stored
+from loomwork.llm.common import release, stored
 from loomwork.llm.components import connected_components
 from loomwork.llm.textbytes import LOWER, NOT_SPACE, U64, Hashes, mix, spans, text_slices
 
@@ -74,8 +74,8 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n, print0, print1, signature, bands; the last four are null for a text without words."""
-    schema = "doc_id long, n long, print0 long, print1 long, signature array<long>, bands array<long>"
+    """doc_id, h (of the text), n, print0, print1, signature, bands; the last four are null for a text without words."""
+    schema = "doc_id long, h long, n long, print0 long, print1 long, signature array<long>, bands array<long>"
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -104,9 +104,9 @@ def sketches(docs: DataFrame) -> DataFrame:
                     flat = np.ascontiguousarray(x.T).view(np.int64).ravel()
                     return pa.ListArray.from_arrays(pa.array((upto * len(x)).astype(np.int32), mask=np.append(~full, False)), pa.array(flat))
 
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(first, end - first), pa.array(count), take(prints[0]), take(prints[1]), lists(signature), lists(bands)], ["doc_id", "n", "print0", "print1", "signature", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(first, end - first), part.column(2).slice(first, end - first), pa.array(count), take(prints[0]), take(prints[1]), lists(signature), lists(bands)], ["doc_id", "h", "n", "print0", "print1", "signature", "bands"])
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, schema)
+    return docs.select(docs["doc_id"].cast("long"), "text", F.xxhash64("text")).mapInArrow(batches, schema)
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
@@ -152,24 +152,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.select("a", "b")
 
 
-#: Members of a band that meet in one task, on either side.
-CHUNK = 1024
+#: What meets in one task, on either side: members of a band, and shingles of their sets (a set of more is alone).
+CHUNK, CHUNK_GRAMS = 1024, 2_000_000
 
 
-def _linked(keys: np.ndarray, left: dict, right: dict) -> tuple[list, list]:
-    """Pairs of components that a confirmed link between left and right rows joins; one link for each is enough.
+def _alike(left: dict, right: dict, keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows of right, most alike first, that may link with each row of left and are of another component.
 
     A pair of rows is looked at in the first band that it shares only.
     """
     lowest = int(np.ceil((PERCENT / 100 - SLACK) * HASHES * (1 - 2.0**-BITS) + HASHES * 2.0**-BITS))
-    group: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (up := group.get(x, x)) != x:
-            x = up
-        return x
-
-    a, b = [], []
     for i in range(len(left["component"])):
         x = left["signature"][i] ^ right["signature"]
         x |= x >> U64(2)
@@ -179,54 +171,101 @@ def _linked(keys: np.ndarray, left: dict, right: dict) -> tuple[list, list]:
         may = (equal >= lowest) & (np.minimum(n, m) * 100 >= np.maximum(n, m) * PERCENT) & (right["component"] != left["component"][i])
         may &= right["settled"] | (right["node"] > left["node"][i])
         at = np.flatnonzero(may)
-        shared = left["bands"][i] == right["bands"][at]
-        at = at[left["bands"][i][shared.argmax(axis=1)] == keys]
-        for j in at[np.argsort(-equal[at], kind="stable")]:
+        if len(at):
+            shared = left["bands"][i] == right["bands"][at]
+            at = at[left["bands"][i][shared.argmax(axis=1)] == keys]
+            if len(at):
+                yield i, at[np.argsort(-equal[at], kind="stable")]
+
+
+def _linked(keys: np.ndarray, left: dict, right: dict) -> tuple[list, list]:
+    """Pairs of components that a confirmed link between left and right rows joins; one link for each is enough."""
+    group: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := group.get(x, x)) != x:
+            x = up
+        return x
+
+    a, b = [], []
+    for i, at in _alike(left, right, keys):
+        for j in at:
             one, two = root(int(left["component"][i])), root(int(right["component"][j]))
             if one == two:
                 continue
+            n, m = left["n"][i], right["n"][j]
             both = len(np.intersect1d(left["grams"][i], right["grams"][j], assume_unique=True))
-            if both * 100 >= (n + m[j] - both) * PERCENT:
+            if both * 100 >= (n + m - both) * PERCENT:
                 group[max(one, two)] = min(one, two)
                 a.append(int(left["component"][i]))
                 b.append(int(right["component"][j]))
     return a, b
 
 
+def _side(part: pa.Table, is_left: bool) -> dict:
+    """The columns of one side as arrays; grams only where the table has them."""
+    t = part.filter(pa.array(part.column("is_left").to_numpy() == is_left))
+    wide = lambda name, n: t.column(name).combine_chunks().flatten().to_numpy().reshape(t.num_rows, n)
+    out = {c: t.column(c).to_numpy() for c in ("node", "component", "n", "settled")}
+    out |= {"signature": wide("signature", PACKED).view(U64), "bands": wide("bands", BANDS)}
+    if "grams" in t.column_names:
+        grams = t.column("grams").combine_chunks()
+        cuts, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(U64)
+        out["grams"] = [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+    return out
+
+
 def closing_links(members: DataFrame, components: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) of components that links inside of bands join, beyond those with a band's least member.
 
     members: key, node. In each band with three members or more of several components, the members outside its most
-    frequent component (left) meet all members (right), CHUNK by CHUNK, so no task holds more than two chunks and
-    no pair becomes a row.
+    frequent component (left) meet all members (right), chunk by chunk, so no task holds more than two chunks and
+    no pair becomes a row. Sizes and signatures meet first; full sets follow only for the rows, and to the chunks,
+    where a pair is left to decide.
     """
     of = members.join(components, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    counts = of.groupBy("key", "component").agg(F.count("*").alias("c"))
-    mixed = counts.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1 and m > 2")
-    parts = lambda n: F.ceil(n / CHUNK).cast("int")
-    mixed = mixed.select("key", "main", parts(F.col("m")).alias("rights"), parts(F.col("m") - F.col("most")).alias("lefts"))
-    rows = stored(of.join(mixed, "key"), "near-mixed")
+    of = of.join(nodes.select("node", "n"), "node")
+    counts = of.groupBy("key", "component").agg(F.count("*").alias("c"), F.sum("n").alias("g"))
+    mixed = counts.groupBy("key").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.sum("g").alias("g"), F.max_by("g", F.struct("c", "component")).alias("main_g"), F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("k")).where("k > 1 and m > 2")
+    parts = lambda n, g: F.greatest(F.ceil(n / CHUNK), F.ceil(g / CHUNK_GRAMS)).cast("int")
+    mixed = mixed.select("key", "main", parts(F.col("m"), F.col("g")).alias("rights"), parts(F.col("m") - F.col("most"), F.col("g") - F.col("main_g")).alias("lefts"))
+    rows = stored(of.drop("n").join(mixed, "key"), "near-mixed")
     own = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     settled = F.col("component") == F.col("main")
     left = rows.where(~settled).select("key", "node", "component", settled.alias("settled"), F.lit(True).alias("is_left"), own(F.col("lefts")).alias("l"), each(F.col("rights")).alias("r"))
     right = rows.select("key", "node", "component", settled.alias("settled"), F.lit(False).alias("is_left"), each(F.col("lefts")).alias("l"), own(F.col("rights")).alias("r"))
-    full = left.unionByName(right).join(nodes.select("node", "n", "signature", "bands"), "node").join(sets.select(F.col("doc_id").alias("node"), "grams"), "node")
+    light = left.unionByName(right).join(nodes.select("node", "n", "signature", "bands"), "node")
 
-    def links(key: tuple, part: pa.Table) -> pa.Table:
-        wide = lambda t, name: t.column(name).combine_chunks().flatten().to_numpy().reshape(t.num_rows, -1)
+    def wanted(key: tuple, part: pa.Table) -> pa.Table:
+        one, two = _side(part, True), _side(part, False)
+        found = [(i, at) for i, at in _alike(one, two, key[0].as_py())]
+        rows_of = lambda side, at, is_left: part.filter(pa.array(part.column("is_left").to_numpy() == is_left)).take(pa.array(at))
+        lefts = rows_of(one, np.array([i for i, _ in found], np.int64), True)
+        rights = rows_of(two, np.unique(np.concatenate([np.empty(0, np.int64), *(at for _, at in found)])), False)
+        return pa.concat_tables([lefts, rights])
 
-        def side(is_left: bool) -> dict:
-            t = part.filter(pa.array(part.column("is_left").to_numpy() == is_left))
-            out = {c: t.column(c).to_numpy() for c in ("node", "component", "n", "settled")}
-            grams = t.column("grams").combine_chunks()
-            cuts, flat = grams.offsets.to_numpy(), grams.values.to_numpy().view(U64)
-            return out | {"signature": wide(t, "signature").view(U64), "bands": wide(t, "bands"), "grams": [flat[i:j] for i, j in zip(cuts[:-1], cuts[1:], strict=True)]}
+    schema = "node long, key long, component long, settled boolean, is_left boolean, l int, r int, n long, signature array<long>, bands array<long>"
+    names = [c.split()[0] for c in schema.split(", ")]
+    some = stored(light.select(names).groupBy("key", "l", "r").applyInArrow(wanted, schema), "near-wanted")
+    full = some.join(sets.select(F.col("doc_id").alias("node"), "grams"), "node")
 
-        a, b = _linked(key[0].as_py(), side(True), side(False))
+    def links(key: tuple, part: pa.Table) -> pa.Table:
+        a, b = _linked(key[0].as_py(), _side(part, True), _side(part, False))
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return full.groupBy("key", "l", "r").applyInArrow(links, "a long, b long")
+    found = stored(full.groupBy("key", "l", "r").applyInArrow(links, "a long, b long"), "near-closing")
+    release(rows, some)
+    return found
+
+
+def _once(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key; only rows of keys that are repeated move."""
+    counts = rows.groupBy(*keys).count()
+    repeated = counts.where("count > 1").drop("count")
+    if repeated.isEmpty():
+        return rows
+    return rows.join(repeated, keys, "left_anti").unionByName(rows.join(repeated, keys, "left_semi").dropDuplicates(keys))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -237,23 +276,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     where that doc_id stands for both. A row without a doc_id gets a null component
     and kept false unless another row with its words has one. Other columns are left out; an empty table gives none.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     made = stored(sketches(docs), "near-sketches")
-    classes = made.where("n > 0").groupBy("print0", "print1", "n").agg(F.min("doc_id").alias("node")).where("node is not null")
-    classes = stored(classes, "near-classes")
     prints = ["print0", "print1", "n"]
-    nodes = stored(made.join(classes, prints).where("doc_id = node").select("node", "n", "signature", "bands"), "near-nodes")
-    banded = nodes.select("node", F.explode("bands").alias("key"))
+    every = stored(made.where("n > 0").groupBy(*prints).agg(F.min("doc_id").alias("node")).where("node is not null"), "near-classes")
+    named = made.join(every, prints).where("doc_id = node")
+    nodes = named.groupBy("node", *prints).agg(F.min("h").alias("h"))  # one text of each class stands for it
+    nodes = stored(_once(named.join(nodes, ["node", *prints, "h"], "left_semi").select("node", "h", "n", "signature", "bands"), ["node", "h"]), "near-nodes")
+    banded = nodes.select("node", F.explode("bands").alias("key")).distinct()
     shared = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("least")).where("m > 1")
     members = stored(banded.join(shared, "key").select("key", "node", "least"), "near-members")
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = stored(shingle_sets(docs.join(wanted, "doc_id", "left_semi")), "near-sets")
+    used = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("doc_id"), "h")
+    sets = stored(shingle_sets(_once(docs.join(used, ["doc_id", "h"], "left_semi"), ["doc_id", "h"])), "near-sets")
     pairs = members.where("node != least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
-    components = stored(connected_components(confirmed(likely(pairs, nodes), sets)), "near-components")
-    joined = connected_components(closing_links(members.select("key", "node"), components, nodes, sets))
-    joined = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
-    every = classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    every = every.join(joined, "component", "left").select(*prints, F.coalesce("final", "component").alias("component"))
-    rows = made.select("doc_id", *prints).join(every, prints, "left")
+    components = connected_components(confirmed(likely(pairs, nodes), sets))
+    closing = closing_links(members.select("key", "node"), components, nodes, sets)
+    ends = connected_components(closing)
+    joined = ends.select(F.col("node").alias("component"), F.col("component").alias("final"))
+    of = every.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    of = of.join(joined, "component", "left").select(*prints, F.coalesce("final", "component").alias("component"))
+    rows = made.select("doc_id", *prints).join(of, prints, "left")
     component = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    out = stored(rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept")), "near-result")
+    release(made, every, nodes, members, sets, components, closing, ends)
+    return out

@@ -6,7 +6,7 @@ import re
 
 import pytest
 
-from loomwork.llm import minhash
+from loomwork.llm import common, minhash
 from loomwork.llm.components import connected_components
 from tests.conftest import SMALL
 
@@ -105,3 +105,35 @@ def test_components(spark, edges):
             x, y = root(a), root(b)
             parent[max(x, y)] = min(x, y)
     assert {r.node: r.component for r in frame.collect()} == {x: root(x) for x in parent}
+
+
+def test_repeated_rows_do_not_multiply(spark, monkeypatch):
+    """Fifty rows of each text: as many nodes, candidates and confirmed pairs as with one row of each."""
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: 60 - i])) for i in range(4)] + [(9, " ".join(base[::-1]))]
+    counts = []
+    confirmed = minhash.confirmed
+
+    def counted(pairs, sets):
+        found = confirmed(pairs, sets)
+        counts.append((pairs.count(), sets.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(minhash, "confirmed", counted)
+    for times in (1, 50):
+        frame = spark.createDataFrame(rows * times, "doc_id long, text string")
+        assert got(frame) == brute(rows)
+    assert counts[0] == counts[1]
+
+
+@pytest.mark.parametrize("chunk, grams", [(3, 10**6), (1024, 300)])
+def test_small_chunks_lose_no_link(spark, monkeypatch, chunk, grams):
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
+    monkeypatch.setattr(minhash, "CHUNK_GRAMS", grams)
+    test_chains_of_copies_that_the_least_member_does_not_link(spark)
+
+
+def test_tables_on_the_way_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "LOCAL_CHECKPOINTS", f"file://{tmp_path}")
+    rows = minhash.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")).collect()
+    assert len(rows) == 2 and [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["near", "result"]]
