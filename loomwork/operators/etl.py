@@ -65,6 +65,45 @@ def confirm_topics(topics: DataFrame, decided: DataFrame) -> DataFrame:
     return topics.select("course_id", "topic", "position").unionByName(new)
 
 
+REJECTED = 2
+
+
+def decided(suggested: DataFrame, decisions: DataFrame, confirmed: int = 1) -> DataFrame:
+    """Suggestions (course_id, topic, source, score, status) after decisions (course_id, topic, confirm) by topic.
+
+    A confirmed one has status `confirmed`, a rejected one REJECTED, in any case of the topic; others stay as they are.
+    Several decisions on a topic: it is confirmed if one says so.
+    """
+    said = decisions.groupBy(F.col("course_id").alias("_c"), F.lower(F.trim("topic")).alias("_k")).agg(F.bool_or("confirm").alias("_yes"))
+    same = (F.col("course_id") == F.col("_c")) & (F.lower(F.trim("topic")) == F.col("_k"))
+    status = F.when(F.col("_yes"), confirmed).when(~F.col("_yes"), REJECTED).otherwise(F.col("status"))
+    return suggested.join(said, same, "left").withColumn("status", status).drop("_c", "_k", "_yes")
+
+
+#: Sources whose suggestions an extraction makes anew (fixed values).
+REFRESHED = ("keyword", "match")
+
+
+def refreshable(suggested: DataFrame) -> DataFrame:
+    """Suggestions that an extraction makes anew: not rejected, of a REFRESHED source."""
+    return suggested.where((F.coalesce(F.col("status"), F.lit(0)) != REJECTED) & F.col("source").isin(*REFRESHED))
+
+
+def extracted_topics(suggested: DataFrame, found: DataFrame, material: str = "course_material_id") -> DataFrame:
+    """Suggestions of materials after an extraction found topics (material, topic, source, score).
+
+    Refreshable ones of the materials in found go; of the found, blanks and those that are there already are skipped,
+    in any case; of equal ones the best score stays.
+    """
+    again = found.select(material).distinct()
+    held = suggested.join(again, material, "left_anti").unionByName(suggested.join(again, material, "left_semi").exceptAll(refreshable(suggested).join(again, material, "left_semi")))
+    key = F.lower(F.trim("topic"))
+    new = found.withColumn("_k", key).where("_k <> ''").groupBy(material, "_k").agg(F.max(F.struct("score", "topic", "source")).alias("m"))
+    new = new.join(held.select(material, key.alias("_k")).distinct(), [material, "_k"], "left_anti")
+    rows = new.select(material, F.trim("m.topic").alias("topic"), "m.source", "m.score", F.lit(0).alias("status"))
+    return held.unionByName(rows.select(held.columns))
+
+
 def pending_topics(suggested: DataFrame, topics: DataFrame, dropped: Column) -> DataFrame:
     """Suggestions still open: not rejected, of a source that lasts, not a topic of the course, best score first."""
     keys = topics.select("course_id", F.lower("topic").alias("k")).distinct()
@@ -73,10 +112,20 @@ def pending_topics(suggested: DataFrame, topics: DataFrame, dropped: Column) ->
     return rows.drop("k").withColumn("place", F.row_number().over(Window.partitionBy("course_id").orderBy(F.desc_nulls_last("score"), "topic")))
 
 
+#: Ids that one task of an id map numbers, about.
+ID_STEP = 65_536
+
+
 def duplicate(rows: DataFrame, id_column: str, first_new: int, references: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(copies with new ids, map of old to new). references: maps for other columns, as this returns them."""
-    ids = rows.select(F.col(id_column).alias("old")).distinct()
-    ids = ids.withColumn("new", F.row_number().over(Window.orderBy("old")) + (first_new - 1))
+    """(copies with new ids, map of old to new). references: maps for other columns, as this returns them.
+
+    New ids follow the old ones from first_new on. Ids are counted by ranges first and numbered within a range.
+    """
+    ids = rows.select(F.col(id_column).alias("old")).where("old is not null").distinct().withColumn("_range", F.call_function("div", "old", F.lit(ID_STEP)))
+    counts = ids.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("old"))
+    ids = ids.withColumn("_within", within).join(before, "_range").select("old", (F.col("_before") + F.col("_within") + (first_new - 1)).alias("new"))
     copied = rows.join(ids, rows[id_column] == ids["old"]).withColumn(id_column, F.col("new")).drop("old", "new")
     return remapped(copied, references or {}), ids
 
@@ -93,8 +142,28 @@ def scale_change(levels: DataFrame, maps: DataFrame, plos: DataFrame, program_id
     """(levels, maps) after a program takes other scales: its maps go, the new scales follow each other from position 1."""
     spark = levels.sparkSession
     new = spark.createDataFrame([(s, program_id, i) for i, s in enumerate(scale_ids, 1)], "map_scale_id long, program_id long, position long")
+    return levels.where(F.col("program_id") != program_id).unionByName(new.select(levels.columns)), without_program(maps, plos, program_id)
+
+
+def without_program(maps: DataFrame, plos: DataFrame, program_id: int) -> DataFrame:
+    """Maps, or suggestions, without those to outcomes of a program whose scales change."""
     gone = plos.where(F.col("program_id") == program_id).select("pl_outcome_id")
-    return levels.where(F.col("program_id") != program_id).unionByName(new.select(levels.columns)), maps.join(gone, "pl_outcome_id", "left_anti")
+    return maps.join(gone, "pl_outcome_id", "left_anti")
+
+
+def flags_reset(course_programs: DataFrame, program_id: int, flags: list[str]) -> DataFrame:
+    """course_programs with a program's flags (how far its maps are) back at 0."""
+    return course_programs.withColumns({f: F.when(F.col("program_id") == program_id, F.lit(0)).otherwise(F.col(f)) for f in flags})
+
+
+def scales_appended(levels: DataFrame, program_id: int, scale_ids: list[int]) -> DataFrame:
+    """levels with further scales of a program at its next positions; those it has stay where they are."""
+    new = levels.sparkSession.createDataFrame([(s, program_id, i) for i, s in enumerate(scale_ids, 1)], "map_scale_id long, program_id long, place long")
+    new = new.join(levels.select("map_scale_id", "program_id"), ["map_scale_id", "program_id"], "left_anti")
+    last = levels.groupBy("program_id").agg(F.max("position").alias("last"))
+    place = F.row_number().over(Window.partitionBy("program_id").orderBy("place"))
+    new = new.withColumn("place", place).join(last, "program_id", "left").withColumn("position", F.coalesce("last", F.lit(0)) + F.col("place"))
+    return levels.unionByName(new.select(levels.columns))
 
 
 def reordered(rows: DataFrame, id_column: str, order: DataFrame) -> DataFrame:
@@ -136,3 +205,50 @@ def program_duplicate_ids(plos: DataFrame, program_id: int, new_program_id: int,
     """Outcomes of a program copied into another."""
     copied, _ = duplicate(plos.where(F.col("program_id") == program_id), "pl_outcome_id", first_new)
     return copied.withColumn("program_id", F.lit(new_program_id).cast("long"))
+
+
+def program_copied(program_id: int, new_program_id: int, plos: DataFrame, categories: DataFrame, levels: DataFrame, scales: DataFrame, *, custom: Column, first: dict[str, int]) -> dict[str, DataFrame]:
+    """The rows that a copy of a program adds: outcomes, their categories, configured levels, and its custom scales.
+
+    Categories (those its outcomes use) and scales for which `custom` is true get new ids from first["plo_category_id"]
+    and first["map_scale_id"] on, outcomes from first["pl_outcome_id"]; shared scales are only linked to the copy. Maps
+    are not copied.
+    """
+    own = plos.where(F.col("program_id") == program_id)
+    used = categories.join(own.select("plo_category_id"), "plo_category_id", "left_semi")
+    new_categories, category_ids = duplicate(used, "plo_category_id", first["plo_category_id"])
+    new_plos, _ = duplicate(own, "pl_outcome_id", first["pl_outcome_id"], {"plo_category_id": category_ids})
+    linked = levels.where(F.col("program_id") == program_id)
+    new_scales, scale_ids = duplicate(scales.where(custom).join(linked.select("map_scale_id"), "map_scale_id", "left_semi"), "map_scale_id", first["map_scale_id"])
+    to_copy = lambda df: df.withColumn("program_id", F.lit(new_program_id).cast("long"))
+    return {"p_l_o_categories": new_categories, "program_learning_outcomes": to_copy(new_plos), "mapping_scales": new_scales, "mapping_scale_programs": to_copy(remapped(linked, {"map_scale_id": scale_ids}))}
+
+
+def course_copied(course_id: int, new_course_id: int, tables: dict[str, DataFrame], first: dict[str, int]) -> dict[str, DataFrame]:
+    """The rows that a copy of a course adds: outcomes, methods, activities and the alignment between them.
+
+    tables and first by name: learning_outcomes, assessment_methods, learning_activities; tables also
+    outcome_assessments and outcome_activities, whose ids on both sides become the copies'.
+    """
+    keys = {"learning_outcomes": "l_outcome_id", "assessment_methods": "a_method_id", "learning_activities": "l_activity_id"}
+    out, ids = {}, {}
+    for name, key in keys.items():
+        copied, ids[key] = duplicate(tables[name].where(F.col("course_id") == course_id), key, first[name])
+        out[name] = copied.withColumn("course_id", F.lit(new_course_id).cast("long"))
+    for name, key in (("outcome_assessments", "a_method_id"), ("outcome_activities", "l_activity_id")):
+        own = tables[name].join(ids["l_outcome_id"].select(F.col("old").alias("l_outcome_id")), "l_outcome_id", "left_semi")
+        out[name] = remapped(own, {"l_outcome_id": ids["l_outcome_id"], key: ids[key]})
+    return out
+
+
+def job_of(jobs: DataFrame, names: DataFrame) -> DataFrame:
+    """jobs with their end (job_name, job_status) in names, found by job_name; jobs without an end have none."""
+    return jobs.join(names.select("job_name", "job_status"), "job_name", "left")
+
+
+def next_started(jobs: DataFrame, before: Column) -> DataFrame:
+    """jobs, the oldest pending one of which runs now, if none does."""
+    free = jobs.where("status = 'RUNNING'").limit(1).agg(F.count("*").alias("_busy"))
+    first = oldest_pending(jobs, before).select(F.col("request_id").alias("_first")).join(free, F.lit(True)).where("_busy = 0")
+    out = jobs.join(first.select("_first"), F.col("request_id") == F.col("_first"), "left")
+    return out.withColumn("status", F.when(F.col("_first").isNotNull(), "RUNNING").otherwise(F.col("status"))).drop("_first")

@@ -22,10 +22,24 @@ def accuracy(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def match_class(truth: Column, guess: Column) -> Column:
-    """full, partial, new (labels beyond the true ones only besides all or some of them), or mismatch."""
+    """full if all true labels are guessed (more or not), partial if some are, else mismatch; so where one has none."""
+    one_empty = (F.size(truth) == 0) != (F.size(guess) == 0)
     shared = F.size(F.array_intersect(truth, guess))
-    extra = F.size(F.array_except(guess, truth))
-    return F.when((shared == F.size(truth)) & (extra == 0), "full").when((shared > 0) & (extra > 0), "new").when(shared > 0, "partial").otherwise("mismatch")
+    return F.when(one_empty, "mismatch").when(shared == F.size(truth), "full").when(shared > 0, "partial").otherwise("mismatch")
+
+
+def new_label(truth: Column, guess: Column) -> Column:
+    """Whether a label is guessed that is not a true one."""
+    return F.size(F.array_except(guess, truth)) > 0
+
+
+def label_summary(rows: DataFrame, truth: str, guess: str) -> DataFrame:
+    """One row: matches by class; accuracy, the share that is full or partial; share with a new label (four places)."""
+    kind, n = match_class(F.col(truth), F.col(guess)), F.count("*")
+    counts = [F.count_if(kind == c) for c in ("full", "partial", "mismatch")]
+    share = lambda c: F.round(c / F.when(n > 0, n), 4)
+    news = F.count_if(new_label(F.col(truth), F.col(guess)))
+    return rows.agg(*[c.alias(name) for c, name in zip(counts, ("full", "partial", "mismatch"), strict=True)], news.alias("new_labels"), share(counts[0] + counts[1]).alias("accuracy"), share(news).alias("new_share"))
 
 
 def hamming_loss(rows: DataFrame, truth: str, guess: str) -> DataFrame:

@@ -136,11 +136,25 @@ def mapping_accuracy(t: Star):
     return V.accuracy(t.orders.select(truth.alias("truth"), F.when(F.col("o_custkey") % 5 == 0, 1).otherwise(truth).alias("guess")), "truth", "guess")
 
 
-@query(f"SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 0 THEN CASE o_custkey % 3 WHEN 0 THEN 'full' WHEN 1 THEN 'partial' ELSE 'mismatch' END WHEN 1 THEN 'mismatch' WHEN 2 THEN CASE o_custkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'mismatch' ELSE 'mismatch' END ELSE CASE o_custkey % 3 WHEN 0 THEN 'new' WHEN 1 THEN 'partial' ELSE 'mismatch' END END AS class FROM {{orders}}")
+_LABELLED = "x AS (SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN ['I', 'R'] WHEN 1 THEN ['E'] WHEN 2 THEN ['R'] WHEN 3 THEN ['I', 'E'] ELSE [] END AS t, CASE o_custkey % 4 WHEN 0 THEN ['R', 'I'] WHEN 1 THEN ['I'] WHEN 2 THEN ['E', 'R', 'I'] ELSE [] END AS g FROM {orders})"
+_CLASS = "CASE WHEN (LEN(t) = 0) <> (LEN(g) = 0) THEN 'mismatch' WHEN LIST_HAS_ALL(g, t) THEN 'full' WHEN LIST_HAS_ANY(g, t) THEN 'partial' ELSE 'mismatch' END"
+
+
+def _labelled(t: Star):
+    pick = lambda key, texts: F.get(F.array(*map(F.lit, texts)), (F.col(key) % len(texts)).cast("int"))
+    truth, guess = pick("o_orderkey", ["i, R", "E", "R,x", "I,E,i", ""]), pick("o_custkey", ["R, I", "I", "e,R,i", "x"])
+    return t.orders.select(F.col("o_orderkey").alias("id"), V.labels_of(truth).alias("truth"), V.labels_of(guess).alias("guess"))
+
+
+@query(f"WITH {_LABELLED} SELECT id, {_CLASS} AS class, NOT LIST_HAS_ALL(t, g) AS new_label FROM x")
 def label_matches(t: Star):
-    truth = F.when(F.col("o_orderkey") % 4 == 0, "i, R").when(F.col("o_orderkey") % 4 == 1, "E").when(F.col("o_orderkey") % 4 == 2, "R,x").otherwise("I,E,i")
-    guess = F.when(F.col("o_custkey") % 3 == 0, "R, I").when(F.col("o_custkey") % 3 == 1, "I").otherwise("")
-    return t.orders.select(F.col("o_orderkey").alias("id"), V.match_class(V.labels_of(truth), V.labels_of(guess)).alias("class"))
+    truth, guess = F.col("truth"), F.col("guess")
+    return _labelled(t).select("id", V.match_class(truth, guess).alias("class"), V.new_label(truth, guess).alias("new_label"))
+
+
+@query(f"WITH {_LABELLED}, c AS (SELECT {_CLASS} AS class, NOT LIST_HAS_ALL(t, g) AS fresh FROM x) SELECT COUNT(*) FILTER (WHERE class = 'full') AS full, COUNT(*) FILTER (WHERE class = 'partial') AS partial, COUNT(*) FILTER (WHERE class = 'mismatch') AS mismatch, COUNT(*) FILTER (WHERE fresh) AS new_labels, ROUND(COUNT(*) FILTER (WHERE class <> 'mismatch') / COUNT(*), 4) AS accuracy, ROUND(COUNT(*) FILTER (WHERE fresh) / COUNT(*), 4) AS new_share FROM c")
+def label_summary(t: Star):
+    return V.label_summary(_labelled(t), "truth", "guess")
 
 
 @query("SELECT AVG(CASE o_orderkey % 4 WHEN 0 THEN CASE o_custkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END WHEN 1 THEN CASE o_custkey % 3 WHEN 0 THEN 3 WHEN 1 THEN 2 ELSE 1 END WHEN 2 THEN CASE o_custkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 1 END ELSE CASE o_custkey % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 2 END END / 3.0) AS hamming_loss FROM {orders}")
@@ -171,3 +185,87 @@ def result_lines(t: Star):
     value = F.when(kind == 0, F.to_json(F.array(F.struct(inner.alias("generated_text"))))).when(kind == 1, inner).when(kind == 2, F.to_json(F.array(F.struct(F.concat(F.lit("<think>hm {</think>"), inner).alias("generated_text"))))).when(kind == 3, F.regexp_replace(inner, r'"\}$', "")).otherwise("no json {")
     rows = t.orders.select(F.col("o_orderkey").alias("id"), value.alias("value"))
     return files.parse_result_lines(rows).select("id", files.pair_ids(F.col("object.id")).alias("p"), "bad").select("id", "p.clo", "p.plo", "bad")
+
+
+_SUGGESTED = "sug AS (SELECT course_topic_id AS id, course_id, topic, CASE course_topic_id % 3 WHEN 0 THEN 'keyword' WHEN 1 THEN 'match' ELSE 'font' END AS source, CAST(course_topic_id % 10 AS DOUBLE) / 10 AS score, CAST(course_topic_id % 4 AS INT) AS status FROM {course_topics})"
+
+
+def _suggested(t: Star):
+    c = F.col("course_topic_id")
+    return t.course_topics.select(c.alias("id"), "course_id", "topic", F.when(c % 3 == 0, "keyword").when(c % 3 == 1, "match").otherwise("font").alias("source"), ((c % 10).cast("double") / 10).alias("score"), (c % 4).cast("int").alias("status"))
+
+
+@query(f"WITH {_SUGGESTED} SELECT id, source, status FROM sug WHERE status <> 2 AND source IN ('keyword', 'match')")
+def topics_refreshable(t: Star):
+    return E.refreshable(_suggested(t)).select("id", "source", "status")
+
+
+@query(f"WITH {_SUGGESTED} SELECT id, CASE WHEN course_id % 7 = 1 THEN 1 WHEN course_id % 7 = 2 THEN 2 ELSE status END AS status FROM sug")
+def topics_decided(t: Star):
+    said = t.course_topics.where("course_id % 7 in (1, 2)").select("course_id", F.upper("topic").alias("topic"), (F.col("course_id") % 7 == 1).alias("confirm"))
+    return E.decided(_suggested(t), said).select("id", "status")
+
+
+@query(f"WITH {_SUGGESTED}, found AS (SELECT DISTINCT course_id, LOWER(topic) || CASE WHEN course_id % 2 = 0 THEN '' ELSE ' new' END AS topic FROM {{course_topics}} WHERE course_id % 5 < 3), held AS (SELECT course_id, topic, source, score, status FROM sug WHERE course_id % 5 >= 3 OR status = 2 OR source = 'font') SELECT * FROM held UNION ALL SELECT course_id, topic, 'keyword', 0.5, 0 FROM found f WHERE NOT EXISTS (SELECT 1 FROM held h WHERE h.course_id = f.course_id AND LOWER(TRIM(h.topic)) = f.topic)")
+def topics_extracted_again(t: Star):
+    new = F.concat(F.lower("topic"), F.when(F.col("course_id") % 2 == 0, "").otherwise(" new"))
+    found = t.course_topics.where("course_id % 5 < 3").select("course_id", new.alias("topic"), F.lit("keyword").alias("source"), F.lit(0.5).alias("score"))
+    return E.extracted_topics(_suggested(t).drop("id"), found, "course_id").select("course_id", "topic", "source", "score", "status")
+
+
+@query("SELECT l_outcome_id, a_method_id FROM {outcome_assessments} WHERE l_outcome_id % 3 <> 0 UNION ALL SELECT l_outcome_id, a_method_id + 1 FROM {outcome_assessments} WHERE l_outcome_id % 3 = 0")
+def alignment_replaced(t: Star):
+    new = t.outcome_assessments.where("l_outcome_id % 3 = 0").withColumn("a_method_id", F.col("a_method_id") + 1)
+    return E.replaced(t.outcome_assessments, new, ["l_outcome_id"])
+
+
+@query("SELECT course_id, program_id, CASE WHEN program_id = 3 THEN 0 ELSE course_required END AS course_required FROM {course_programs}")
+def flags_after_scale_change(t: Star):
+    return E.flags_reset(t.course_programs, 3, ["course_required"]).select("course_id", "program_id", "course_required")
+
+
+@query("SELECT s.l_outcome_id, s.pl_outcome_id, s.map_scale_id FROM {ai_suggestions} s WHERE pl_outcome_id NOT IN (SELECT pl_outcome_id FROM {program_learning_outcomes} WHERE program_id = 3)")
+def suggestions_after_scale_change(t: Star):
+    return E.without_program(t.ai_suggestions, t.program_learning_outcomes, 3).select("l_outcome_id", "pl_outcome_id", "map_scale_id")
+
+
+@query("SELECT map_scale_id, program_id, position FROM {mapping_scale_programs} UNION ALL SELECT 0, 4, MAX(position) + 1 FROM {mapping_scale_programs} WHERE program_id = 4 UNION ALL SELECT 3, 4, MAX(position) + 2 FROM {mapping_scale_programs} WHERE program_id = 4")
+def scales_appended(t: Star):
+    return E.scales_appended(t.mapping_scale_programs, 4, [1, 0, 3]).select("map_scale_id", "program_id", "position")
+
+
+_COPIED = "used AS (SELECT plo_category_id AS old, ROW_NUMBER() OVER (ORDER BY plo_category_id) + 99 AS new FROM (SELECT DISTINCT plo_category_id FROM {program_learning_outcomes} WHERE program_id = 3 AND plo_category_id IS NOT NULL) AS u)"
+
+
+def _program_copy(t: Star):
+    return E.program_copied(3, 90, t.program_learning_outcomes, t.p_l_o_categories, t.mapping_scale_programs, t.mapping_scales, custom=F.col("map_scale_id") >= 2, first={"plo_category_id": 100, "pl_outcome_id": 2_000_000, "map_scale_id": 50})
+
+
+@query(f"WITH {_COPIED} SELECT 1999999 + ROW_NUMBER() OVER (ORDER BY pl_outcome_id) AS pl_outcome_id, 90 AS program_id, pl_outcome, new AS plo_category_id FROM {{program_learning_outcomes}} p LEFT JOIN used ON used.old = p.plo_category_id WHERE program_id = 3")
+def program_copied_outcomes(t: Star):
+    return _program_copy(t)["program_learning_outcomes"].select("pl_outcome_id", "program_id", "pl_outcome", "plo_category_id")
+
+
+@query(f"WITH {_COPIED} SELECT new AS plo_category_id, plo_category FROM {{p_l_o_categories}} c JOIN used ON used.old = c.plo_category_id")
+def program_copied_categories(t: Star):
+    return _program_copy(t)["p_l_o_categories"].select("plo_category_id", "plo_category")
+
+
+@query("SELECT CASE WHEN map_scale_id >= 2 THEN 48 + map_scale_id ELSE map_scale_id END AS map_scale_id, 90 AS program_id, position FROM {mapping_scale_programs} WHERE program_id = 3")
+def program_copied_levels(t: Star):
+    return _program_copy(t)["mapping_scale_programs"].select("map_scale_id", "program_id", "position")
+
+
+_NEW = lambda table, key, name: f"{name} AS (SELECT {key} AS old, 8999999 + ROW_NUMBER() OVER (ORDER BY {key}) AS new FROM {{{table}}} WHERE course_id = 7)"
+
+
+@query("WITH " + _NEW("learning_outcomes", "l_outcome_id", "c") + ", " + _NEW("assessment_methods", "a_method_id", "a") + " SELECT c.new AS l_outcome_id, a.new AS a_method_id FROM {outcome_assessments} o JOIN c ON c.old = o.l_outcome_id JOIN a ON a.old = o.a_method_id")
+def course_copied_alignment(t: Star):
+    names = ("learning_outcomes", "assessment_methods", "learning_activities", "outcome_assessments", "outcome_activities")
+    return E.course_copied(7, 900, {n: t[n] for n in names}, dict.fromkeys(names[:3], 9_000_000))["outcome_assessments"].select("l_outcome_id", "a_method_id")
+
+
+@query("WITH " + _NEW("learning_activities", "l_activity_id", "a") + " SELECT a.new AS l_activity_id, 900 AS course_id, l_activity FROM {learning_activities} l JOIN a ON a.old = l.l_activity_id")
+def course_copied_activities(t: Star):
+    names = ("learning_outcomes", "assessment_methods", "learning_activities", "outcome_assessments", "outcome_activities")
+    return E.course_copied(7, 900, {n: t[n] for n in names}, dict.fromkeys(names[:3], 9_000_000))["learning_activities"].select("l_activity_id", "course_id", "l_activity")
