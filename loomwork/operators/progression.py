@@ -22,24 +22,64 @@ def holds_term(lowered: Column, term: str) -> Column:
     return lowered.contains(term) & lowered.rlike(f"{literal}(?<!{_EDGE}{literal})(?!{_EDGE})")
 
 
+#: As many terms become literals of one expression; more are joined with the words of the texts.
+LITERAL_TERMS = 2000
+
+
+def squeezed(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
 def clean_verbs(verbs: DataFrame) -> DataFrame:
-    """level_id, verb: trimmed, blanks gone, one spelling (the least) for each level and lower-case term."""
-    trimmed = verbs.select("level_id", F.trim(F.regexp_replace("verb", r"\s+", " ")).alias("verb")).where("verb <> ''")
-    return trimmed.groupBy("level_id", F.lower("verb").alias("key")).agg(F.min("verb").alias("verb")).drop("key")
+    """level_id, verb, low, place: blanks gone, one spelling for each level and lower-case term, the first by place.
+
+    verbs without a column place go by their spelling, so the least one stays.
+    """
+    place = F.col("place") if "place" in verbs.columns else F.lit(0).cast("long")
+    trimmed = verbs.select("level_id", squeezed(F.col("verb")).alias("verb"), place.alias("place")).where("verb <> ''")
+    first = F.min(F.struct("place", "verb"))
+    return trimmed.groupBy("level_id", F.lower("verb").alias("low")).agg(first.alias("f")).select("level_id", "f.verb", "low", "f.place")
+
+
+MATCHES = "array<struct<level_id:bigint,verb:string>>"
 
 
-def classify(clos: DataFrame, verbs: DataFrame) -> DataFrame:
-    """clos with matches array<struct<level_id, verb>>, by level and term; null if the reference is empty.
+def classify(clos: DataFrame, verbs: DataFrame, levels: DataFrame | None = None) -> DataFrame:
+    """clos with matches, by the level's position and the term's place; null if the reference is empty.
 
-    The vocabulary is small, so it becomes literals, and no row is multiplied by the terms.
+    White space of texts and terms is collapsed first, so a term may stand over a line break. levels (level_id,
+    position) orders the levels; without it they go by id. Up to LITERAL_TERMS terms become literals, and no row is
+    multiplied by the terms; more of them meet the texts by their first word.
     """
-    terms = clean_verbs(verbs).select("level_id", "verb", F.lower("verb").alias("low")).orderBy("level_id", "low").collect()
-    kind = "array<struct<level_id:bigint,verb:string>>"
-    if not terms:
+    order = ["position", "level_id", "place", "low"]
+    terms = clean_verbs(verbs)
+    terms = terms.withColumn("position", F.col("level_id")) if levels is None else terms.join(levels.select("level_id", "position"), "level_id")
+    kind, some = MATCHES, terms.orderBy(*order).limit(LITERAL_TERMS + 1).collect()
+    if not some:
         return clos.withColumn("matches", F.lit(None).cast(kind))
+    if len(some) > LITERAL_TERMS:
+        return _joined(clos, terms, order)
+    terms = some
     one = lambda t: F.when(holds_term(F.col("_low"), t.low), F.struct(F.lit(t.level_id).cast("long").alias("level_id"), F.lit(t.verb).alias("verb")))
     some = F.filter(F.array(*map(one, terms)), lambda m: m.isNotNull())
-    return clos.withColumn("_low", F.lower("l_outcome")).withColumn("matches", F.coalesce(F.when(F.col("_low").isNotNull(), some), F.array().cast(kind))).drop("_low")
+    return clos.withColumn("_low", F.lower(squeezed(F.col("l_outcome")))).withColumn("matches", F.coalesce(F.when(F.col("_low").isNotNull(), some), F.array().cast(kind))).drop("_low")
+
+
+def _joined(clos: DataFrame, terms: DataFrame, order: list[str]) -> DataFrame:
+    """classify() for many terms: distinct texts and terms join on the term's first word ('' if it has none)."""
+    words = lambda text: F.filter(F.split(text, rf"(?:(?!{_EDGE}).)+"), lambda w: w != "")
+    low = F.lower(squeezed(F.col("l_outcome")))
+    texts = clos.select(low.alias("_low")).where("_low is not null").distinct()
+    texts = texts.select("_low", F.explode(F.array_union(F.array(F.lit("")), words(F.col("_low")))).alias("_word"))
+    keyed = terms.withColumn("_word", F.coalesce(F.get(words(F.col("low")), F.lit(0)), F.lit("")))
+    literal = F.concat(F.lit(r"\Q"), F.replace("low", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    pattern = F.concat(F.lit(f"(?<!{_EDGE})"), literal, F.lit(f"(?!{_EDGE})"))
+    hits = texts.join(keyed, "_word").where(F.contains("_low", "low")).where(F.regexp_like("_low", pattern))
+    found = hits.groupBy("_low").agg(F.array_sort(F.collect_list(F.struct(*order, "verb"))).alias("_hits"))
+    matches = F.transform("_hits", lambda h: F.struct(h["level_id"].cast("long").alias("level_id"), h["verb"].alias("verb")))
+    out = clos.withColumn("_low", low).join(found, "_low", "left")
+    return out.withColumn("matches", F.coalesce(matches, F.array().cast(MATCHES))).select(*clos.columns, "matches")
 
 
 def course_level(course_num: Column) -> Column:

@@ -7,7 +7,7 @@ from loomwork.plans.registry import query
 from loomwork.plans.star import Star
 
 _EDGE = r"[^\pL\pM\pN_]"
-_HITS = rf"hits AS (SELECT DISTINCT l.l_outcome_id, l.course_id, v.level_id, v.verb FROM {{learning_outcomes}} l JOIN {{bloom_verbs}} v ON REGEXP_MATCHES(l.l_outcome, '(?i)(^|{_EDGE})' || v.verb || '($|{_EDGE})'))"
+_HITS = rf"hits AS (SELECT DISTINCT l.l_outcome_id, l.course_id, v.level_id, v.verb FROM {{learning_outcomes}} l JOIN {{bloom_verbs}} v ON REGEXP_MATCHES(TRIM(REGEXP_REPLACE(l.l_outcome, '\s+', ' ', 'g')), '(?i)(^|{_EDGE})' || v.verb || '($|{_EDGE})'))"
 _LEVEL = "CASE WHEN REGEXP_MATCHES(course_num, '^[1-9][0-9][0-9][A-Za-z]*$') THEN SUBSTRING(course_num, 1, 1) || '00' ELSE 'other' END"
 _ROWS = f"""{_HITS}, rows_ AS (SELECT cp.program_id, c.course_id, {_LEVEL} AS level, l.l_outcome_id FROM {{course_programs}} cp JOIN {{courses}} c ON c.course_id = cp.course_id LEFT JOIN {{learning_outcomes}} l ON l.course_id = c.course_id)"""
 _PERCENT = "CASE WHEN {d} > 0 THEN CAST(FLOOR((20000.0 * {n} + {d}) / (2 * {d})) AS DOUBLE) / 100 END"

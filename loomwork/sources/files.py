@@ -36,14 +36,20 @@ def read_outcomes(spark: SparkSession, path: str) -> DataFrame:
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
     """clo, plo, score, id (row number + 1, so the first row has 2) of a Latin-1 csv file."""
     rows = spark.read.csv(path, schema=LABELLED, header=True, encoding="ISO-8859-1")
-    return rows.withColumn("_at", F.monotonically_increasing_id()).withColumn("id", F.row_number().over(Window.orderBy("_at")) + 1).drop("_at")
+    # rows of one split of one file have ascending ids; splits go by file and offset, and are few
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    splits = rows.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_before", F.sum("_n").over(Window.orderBy("_file", "_block")) - F.col("_n")).drop("_n")
+    out = rows.join(F.broadcast(splits), ["_file", "_block"])  # a row for each input split
+    return out.withColumn("id", F.col("_before") + F.col("_at") - F.col("_first") + 2).drop("_file", "_block", "_at", "_first", "_before")
 
 
 def bloom_rows(rows: DataFrame) -> DataFrame:
-    """domain, position, level, term of workbook rows (domain, n, proto_verb, verb); raises on what it can't take.
+    """domain, position, level, term of workbook rows (row, domain, n, proto_verb, verb); raises on what it can't take.
 
     Formulas, blanks, positions that are no positive number, texts over 255 characters and two names for a position
-    stop the import. A level's name adds its own parts as terms; terms are distinct in any case, first spelling kept.
+    stop the import. A level's name adds its own parts as terms, after its verbs; terms are distinct in any case, the
+    first spelling by row stays. Without a column row the least spelling does.
     """
     columns = ["domain", "n", "proto_verb", "verb"]
     bad = F.lit(False)
@@ -52,14 +58,16 @@ def bloom_rows(rows: DataFrame) -> DataFrame:
         bad = bad | (text == "") | text.startswith("=") | (F.length(text) > 255)
     bad = bad | ~F.coalesce(F.expr("try_cast(n as int)") > 0, F.lit(False))
     checked = rows.withColumn("_ok", F.when(bad, F.raise_error(F.concat(F.lit("bad Bloom row: "), F.to_json(F.struct(*columns))))).otherwise(F.lit(True))).where("_ok")
-    clean = checked.select(F.trim("domain").alias("domain"), F.col("n").cast("int").alias("position"), F.trim("proto_verb").alias("level"), F.trim("verb").alias("verb"))
-    names = clean.groupBy("domain", "position").agg(F.count_distinct(F.lower("level")).alias("names"), F.min("level").alias("level"))
+    place = F.col("row").cast("long") if "row" in rows.columns else F.lit(0).cast("long")
+    clean = checked.select(place.alias("place"), F.trim("domain").alias("domain"), F.col("n").cast("int").alias("position"), F.trim("proto_verb").alias("level"), F.trim("verb").alias("verb"))
+    names = clean.groupBy("domain", "position").agg(F.count_distinct(F.lower("level")).alias("names"), F.min(F.struct("place", "level"))["level"].alias("level"))
     one = F.when(F.col("names") > 1, F.raise_error(F.concat(F.lit("two names for level "), F.col("position").cast("string")))).otherwise(F.col("level"))
     names = names.select("domain", "position", one.alias("level"))
-    own = names.select("domain", "position", "level", F.explode(F.split("level", "[&()]")).alias("term"))
-    terms = clean.drop("level").join(names, ["domain", "position"]).select("domain", "position", "level", F.col("verb").alias("term")).unionByName(own)
-    terms = terms.withColumn("term", F.trim("term")).where("term <> ''")
-    return terms.groupBy("domain", "position", "level", F.lower("term").alias("key")).agg(F.min("term").alias("term")).drop("key")
+    own = names.select("domain", "position", "level", F.lit(None).cast("long").alias("place"), F.explode(F.split("level", "[&()]")).alias("term"))
+    terms = clean.drop("level").join(names, ["domain", "position"]).select("domain", "position", "level", "place", F.col("verb").alias("term")).unionByName(own)
+    terms = terms.withColumn("term", F.trim("term")).where("term <> ''").withColumn("last", F.col("place").isNull())
+    first = F.min(F.struct("last", "place", "term"))["term"]
+    return terms.groupBy("domain", "position", "level", F.lower("term").alias("key")).agg(first.alias("term")).drop("key")
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:

@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 
+#: Attempts that a failing batch is worth.
+TRIES = 200
+
+
 def follow_files(spark: SparkSession, folder: str, schema: StructType | str, kind: str = "json", files_a_batch: int = 100) -> DataFrame:
     """New files of a folder as a stream."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
@@ -17,17 +22,44 @@ def follow_files(spark: SparkSession, folder: str, schema: StructType | str, kin
 
 
 def run_jobs(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, failed: str, checkpoint: str) -> StreamingQuery:
-    """Each batch through `work` into `done`; the rows of a batch that fails go to `failed` and the stream goes on.
+    """Each batch through `work` into `done`; records that fail go to `failed` with their error, and the rest go on.
 
-    A batch that runs again overwrites its own partition, so nothing is stored twice.
+    A batch that fails is halved until what fails are single records, in TRIES attempts at most: what is left untried
+    then goes to `failed` too. A batch that runs again overwrites its own partition, so nothing is stored twice.
     """
 
     def one(batch: DataFrame, number: int) -> None:
         into = lambda rows, path: rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
         try:
             into(work(batch), done)
-        except Exception as error:  # noqa: BLE001  any failure of the work is the batch's
-            into(batch.withColumn("error", F.lit(str(error)[:500])), failed)
+            return
+        except Exception as error:  # noqa: BLE001  any failure of the work is a record's
+            first_error = str(error)
+        order = Window.orderBy(F.xxhash64(F.to_json(F.struct(*batch.columns))))
+        rows = batch.withColumn("_row", F.row_number().over(order)).persist()  # one batch: bounded by its files
+        try:
+            good, bad, open_ranges, tries = [], [], [(1, rows.count(), first_error)], 0
+            while open_ranges:
+                low, high, error = open_ranges.pop()
+                if low == high or tries >= TRIES:
+                    bad.append((low, high, error))
+                    continue
+                for a, b in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)):
+                    tries += 1
+                    try:
+                        work(rows.where(F.col("_row").between(a, b)).drop("_row")).write.format("noop").mode("overwrite").save()
+                        good.append((a, b))
+                    except Exception as error:  # noqa: BLE001
+                        open_ranges.append((a, b, str(error)))
+            within = lambda ranges: reduce(lambda x, y: x | y, [F.col("_row").between(r[0], r[1]) for r in ranges], F.lit(False))
+            if good:
+                into(work(rows.where(within(good)).drop("_row")), done)
+            message = F.lit(None).cast("string")
+            for low, high, error in bad:
+                message = F.when(F.col("_row").between(low, high), F.lit(error[:500])).otherwise(message)
+            into(rows.where(within(bad)).withColumn("error", message).drop("_row"), failed)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
