@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,13 +12,16 @@ from loomwork.functions.english import STOP_WORDS
 MAX_TITLE_WORDS, HEADING_SIZE, MAX_TOPIC_WORDS = 15, 10.0, 8
 MIN_WINDOW, WINDOW_STEP = 20, 0.75
 TOPICS, WORDS_PER_CLUSTER = 20, 10
+#: How links begin and image files end (fixed values).
+LINK_STARTS, IMAGE_KINDS = ("http", "https", "www"), ("jpg", "jpeg", "png", "gif", "bmp", "svg", "webp")
 #: Parts that make a topic an address or a file (fixed values).
 URL_WORDS, URL_PARTS = ("com", "org"), ("http", "jpg", "png", "www")
 
 
 def clean_text(text: Column) -> Column:
-    """Links and image endings removed."""
-    return F.regexp_replace(F.regexp_replace(text, r"\b(?:http|https|www)\S*\b", ""), r"\b(?:jpg|jpeg|png|gif|bmp|svg|webp)\b", "")
+    """Words that begin like a link, up to their last word character, and names of image kinds removed."""
+    link = r"\b(?:" + "|".join(LINK_STARTS) + r")\S*\b"
+    return F.regexp_replace(F.regexp_replace(text, link, ""), r"\b(?:" + "|".join(IMAGE_KINDS) + r")\b", "")
 
 
 def slide_text(text: Column) -> Column:
@@ -87,12 +90,12 @@ def windows(text: Column) -> Column:
     return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
 
-def filtered(topics: DataFrame, key: list[str], *, least_chars: int = 5, threshold: float = 0.5, cased: bool = False, ends_well: Callable[[Column], Column] | None = None) -> DataFrame:
+def filtered(topics: DataFrame, key: list[str], *, least_chars: int = 5, threshold: float = 0.5, cased: bool = False, ends_well: Callable[[Column], Column] | None = None, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
     """Topics (key, topic, score, source) that pass all filters.
 
     One to MAX_TOPIC_WORDS words; a single word long enough (and, if cased, capitalised); each once in any case; not
     all digits; no address; ends_well says whether the last word may end a topic (a tagger's job, so the caller's);
-    no stop word at either end; not within another topic unless it was matched; a score of `threshold` or more.
+    none of stop_words (the caller's tagger has its own) at either end; not within another topic unless it was matched; a score of `threshold` or more.
     """
     topic = F.col("topic")
     words = F.split(F.trim(topic), r"\s+")
@@ -108,7 +111,7 @@ def filtered(topics: DataFrame, key: list[str], *, least_chars: int = 5, thresho
         rows = rows.where(~F.lower(topic).contains(part))
     if ends_well is not None:
         rows = rows.where(ends_well(topic))
-    stops = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
+    stops = F.array(*[F.lit(w) for w in sorted(stop_words)])
     rows = rows.where((n == 1) | ~(F.array_contains(stops, F.element_at(low, 1)) | F.array_contains(stops, F.element_at(low, -1))))
     inside = rows.join(whole, key).where((F.lower("topic") != F.col("_whole")) & F.col("_whole").contains(F.lower("topic"))).where("source <> 'match'").select(*key, "topic").distinct()
     return rows.join(inside, [*key, "topic"], "left_anti").where(F.col("score") >= threshold)

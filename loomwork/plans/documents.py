@@ -1,5 +1,6 @@
 """Queries on topics and syllabus text (J-17, A-40 to A-42, U-02, W-07 to W-11, T-05, N-19 to N-37, E-08)."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwork.operators import syllabus as Y
@@ -76,3 +77,76 @@ def blocks_without_headers(t: Star):
 def material_types(t: Star):
     named = F.concat_ws(" ", F.when(F.col("name").contains("7"), "A Springer text"), F.col("type"))
     return t.course_materials.select(F.col("course_material_id").alias("document_id"), Y.material_type(named, F.lit("")).alias("kind"))
+
+
+_PAGES = "lines AS (SELECT conv_id AS document_id, CAST(turn // 3 AS INT) AS page_number, CAST(turn % 3 AS INT) AS line, TRIM(role) AS text, CAST((conv_id + turn) % 4 * 4 AS DOUBLE) AS size, CASE (conv_id + turn) % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS bold FROM {conversations})"
+
+
+def _pages(t: Star):
+    c = F.col
+    size, mark = ((c("conv_id") + c("turn")) % 4 * 4).cast("double"), (c("conv_id") + c("turn")) % 3
+    line = F.struct((c("turn") % 3).alias("at"), F.concat(F.lit(" "), "role").alias("text"), size.alias("size"), F.when(mark == 0, True).when(mark == 1, False).alias("bold"))
+    rows = t.conversations.groupBy(c("conv_id").alias("document_id"), F.floor(c("turn") / 3).cast("int").alias("page_number")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    return rows.withColumn("lines", F.transform("lines", lambda x: F.struct(x["text"], x["size"], x["bold"])))
+
+
+@query(f"WITH {_PAGES} SELECT document_id, page_number, text FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY document_id, page_number ORDER BY size DESC, line) AS r FROM lines) AS x WHERE r = 1")
+def page_titles(t: Star):
+    return T.titles(_pages(t))
+
+
+@query(f"WITH {_PAGES}, n AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY document_id, page_number ORDER BY line) - 1 AS place FROM lines) SELECT document_id, page_number, place AS line, text FROM n WHERE size >= 10 AND (bold OR bold IS NULL)")
+def page_headings(t: Star):
+    return T.headings(_pages(t)).withColumn("line", F.col("line").cast("long"))
+
+
+@query("WITH f AS (SELECT course_id, topic, 1.0 AS score, 'match' AS source FROM {course_topics} WHERE position % 2 = 0), s AS (SELECT course_id, LOWER(topic) AS topic, 0.5 AS score, 'keyword' AS source FROM {course_topics}), b AS (SELECT course_id, topic, CAST(score AS DOUBLE) AS score, source, 0 AS l FROM f UNION ALL SELECT course_id, topic, CAST(score AS DOUBLE), source, 1 FROM s) SELECT course_id, topic, score, source FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY course_id, LOWER(TRIM(topic)) ORDER BY l, topic) AS r FROM b) AS x WHERE r = 1")
+def topics_united(t: Star):
+    first = t.course_topics.where("position % 2 = 0").select("course_id", "topic", F.lit(1.0).alias("score"), F.lit("match").alias("source"))
+    second = t.course_topics.select("course_id", F.lower("topic").alias("topic"), F.lit(0.5).alias("score"), F.lit("keyword").alias("source"))
+    return T.united([first, second], ["course_id"])
+
+
+@query("SELECT p_partkey AS id, p_name || ' see  or . It' AS article, '. ' || chr(10) || p_name || '. ' || chr(10) || ' . ' || chr(10) || 'two!' || chr(10) || 'three' AS slides FROM {part}")
+def texts_by_kind(t: Star):
+    """Links and image names go; an article ends before its last references, a slide's bullets become sentences."""
+    article = F.concat("p_name", F.lit(" see https://x.org/a.png or www.y.com/b. It"), F.lit(" References Citations z"))
+    slides = F.concat(F.lit("\n"), "p_name", F.lit("\n jpg\n• two!\n- three"))
+    cut = F.regexp_replace(T.before_references(T.before_references(T.clean_text(article))), r" $", "")
+    return t.part.select(F.col("p_partkey").alias("id"), cut.alias("article"), T.slide_text(slides).alias("slides"))
+
+
+@query("SELECT course_id AS document_id, UPPER(SUBSTRING(a_method, 1, 1)) || SUBSTRING(a_method, 2) AS name, weight FROM {assessment_methods}")
+def syllabus_assessments(t: Star):
+    """Assessments read back from a page of 'Name: weight%' lines for each course."""
+    line = F.concat(F.upper(F.substring("a_method", 1, 1)), F.substring("a_method", 2, 100), F.lit(": "), F.col("weight").cast("long").cast("string"), F.lit("%"))
+    pages = t.assessment_methods.groupBy(F.col("course_id").alias("document_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("a_method_id", line.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
+    return Y.assessments_of(pages.withColumn("page_number", F.lit(1))).select("document_id", "name", "weight")
+
+
+@query("SELECT course_id AS document_id, place, name, type, description FROM (SELECT course_id, name, type, REPLACE(description, '\u2013', '-') AS description, ROW_NUMBER() OVER (PARTITION BY course_id ORDER BY course_material_id) - 1 AS place FROM {course_materials}) AS x")
+def syllabus_materials(t: Star):
+    """Each material once, though it comes again without a description, and with notes that are none between."""
+    order = F.row_number().over(Window.partitionBy("course_id").orderBy("course_material_id")) - 1
+    rows = t.course_materials.select(F.col("course_id").alias("document_id"), order.cast("long").alias("place"), "name", "type", "description")
+    again = rows.select("document_id", (F.col("place") + 10_000).alias("place"), F.concat(F.upper("name"), F.lit(":")).alias("name"), "type", F.lit("").alias("description"))
+    notes = rows.select("document_id", (F.col("place") + 20_000).alias("place"), F.lit("Readings posted on Canvas").alias("name"), "type", "description")
+    return Y.clean_materials(rows.unionByName(again).unionByName(notes)).select("document_id", "place", "name", "type", "description")
+
+
+@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 12 < 4 THEN 'Winter Term 2' WHEN p_partkey % 12 > 7 THEN 'Winter Term 1' WHEN p_partkey % 12 < 6 THEN 'Summer Term 1' ELSE 'Summer Term 2' END AS term, CAST(CASE WHEN p_partkey % 12 < 4 THEN 2019 + p_partkey % 5 ELSE 2020 + p_partkey % 5 END AS INT) AS year FROM {part}")
+def syllabus_term_and_year(t: Star):
+    month = F.element_at(F.array(*[F.lit(m.capitalize()) for m in Y.MONTHS]), (F.col("p_partkey") % 12 + 1).cast("int"))
+    text = F.concat(month, F.lit(" 3, "), (F.col("p_partkey") % 5 + 2020).cast("string"), F.lit(" and "), month, F.lit(" 9; August 1999"))
+    return t.part.select(F.col("p_partkey").alias("id"), Y.term_and_year(F.lit("syllabus.pdf"), text).alias("t")).select("id", "t.term", "t.year")
+
+
+@query("SELECT course_id, TRIM(topic) AS topic FROM (SELECT DISTINCT course_id, CASE WHEN course_topic_id % 3 = 0 THEN topic ELSE SUBSTRING(topic, 1, LENGTH(topic) - 1) END AS topic FROM {course_topics}) AS x")
+def syllabus_topics_cleaned(t: Star):
+    """Topics with bullets, stars, joined notes and teachers around them, and entries of a schedule that are none."""
+    c = F.col("course_topic_id")
+    own = F.when(c % 3 == 0, F.col("topic")).otherwise(F.expr("substring(topic, 1, length(topic) - 1)"))
+    dressed = F.when(c % 3 == 0, F.concat(F.lit("1. "), own, F.lit(" **"))).when(c % 3 == 1, F.concat(F.lit("• "), own, F.lit(" (Dr. X)"))).otherwise(F.concat(own, F.lit(" Workshop: bring it")))
+    rows = t.course_topics.select("course_id", F.explode(F.array(dressed, F.lit("Week 1 - 2"), F.lit("Midterm exam"), F.lit("3)"))).alias("topic"))
+    listed = rows.groupBy("course_id").agg(F.collect_list("topic").alias("topics"))
+    return listed.select("course_id", F.explode(Y.clean_topics(F.col("topics"))).alias("topic"))

@@ -20,6 +20,17 @@ def test_whole_terms_with_unicode_edges(spark, clo, hit):
     assert len(progression.classify(clos, verbs).first().matches) == int(hit)
 
 
+def test_terms_over_line_breaks_first_spelling_and_position(spark, monkeypatch):
+    clos = spark.createDataFrame([(1, "They set\n up and\u00a0 TEST+check it"), (2, "nothing"), (3, None), (1, "setup + test")], "l_outcome_id long, l_outcome string")
+    verbs = spark.createDataFrame([(1, "set  up", 1), (1, "Set up", 0), (2, "test+check", 0), (2, "and", 1), (3, "+", 0), (3, "(", 1)], "level_id long, verb string, place long")
+    levels = spark.createDataFrame([(1, 2), (2, 1), (3, 3)], "level_id long, position int")
+    rows = lambda: [(r.l_outcome_id, r.matches and [tuple(m) for m in r.matches]) for r in progression.classify(clos, verbs, levels).orderBy("l_outcome_id", F.length("l_outcome")).collect()]
+    few = rows()
+    assert few == [(1, [(3, "+")]), (1, [(2, "test+check"), (2, "and"), (1, "Set up")]), (2, []), (3, [])]
+    monkeypatch.setattr(progression, "LITERAL_TERMS", 2)
+    assert rows() == few, "many terms are joined, with equal results"
+
+
 def test_no_reference_is_not_no_match(spark):
     clos = spark.createDataFrame([(1, 1, "x")], "l_outcome_id long, course_id long, l_outcome string")
     rows = progression.classify(clos, spark.createDataFrame([], "level_id long, verb string"))
@@ -72,6 +83,14 @@ def test_stemmed_search_and_snippet(spark):
     assert rows.select(english.snippet("runs", stemmed=True)("t").alias("x")).first().x == "The runner was <mark>running</mark> &lt;b&gt;far&lt;/b"
 
 
+def test_ranks_over_ranges_of_ids(spark, monkeypatch):
+    monkeypatch.setattr(search, "RANK_STEP", 7)
+    matches = [(i, p) for i in range(100) for p in ("topic", "course", "material")[: i % 4]]
+    rows = search.ranked(spark.createDataFrame(matches, "course_id long, property string")).collect()
+    order = sorted(rows, key=lambda r: (not r.is_course_match, -r.score, r.course_id))
+    assert [r["rank"] for r in order] == list(range(1, 76))
+
+
 def test_ranking_puts_direct_matches_first(spark):
     matches = spark.createDataFrame([(1, "topic"), (2, "learning outcome"), (2, "description"), (3, "course")], "course_id long, property string")
     ranked = search.ranked(matches).orderBy("rank").collect()
@@ -120,6 +139,8 @@ def test_result_lines(spark):
 def test_bloom_workbook(spark):
     good = spark.createDataFrame([("Cognitive", "1", "Remember (Recall)", "List"), ("Cognitive", "1", "Remember (Recall)", "list")], "domain string, n string, proto_verb string, verb string")
     assert {r.term for r in files.bloom_rows(good).collect()} == {"Remember", "Recall", "List"}
+    placed = spark.createDataFrame([(2, "C", "1", "Know", "list"), (1, "C", "1", "Know", "List"), (3, "C", "1", "Know", "know")], "row int, domain string, n string, proto_verb string, verb string")
+    assert {r.term for r in files.bloom_rows(placed).collect()} == {"List", "know"}, "the first spelling stays"
     for bad in [("C", "0", "a", "b"), ("C", "1", "", "b"), ("C", "1", "a", "=b"), ("C", "x", "a", "b")]:
         with pytest.raises(Exception):
             files.bloom_rows(spark.createDataFrame([bad], good.schema)).collect()
@@ -136,6 +157,13 @@ def test_outcome_sheet_and_labelled_table(spark, tmp_path):
     assert [r.outcome for r in files.read_outcomes(spark, str(tmp_path / "a.csv")).collect()] == ["One", "Three"]
     (tmp_path / "b.csv").write_bytes("clo,plo,score\né,b,1\nc,d,0\n".encode("latin-1"))
     assert [(r.clo, r.id) for r in files.read_labelled(spark, str(tmp_path / "b.csv")).orderBy("id").collect()] == [("é", 2), ("c", 3)]
+    (tmp_path / "c.csv").write_text("clo,plo,score\n" + "".join(f"c{i},p,{i}\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = files.read_labelled(spark, str(tmp_path / "c.csv")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 5000 and all(r.id == r.score + 2 for r in rows), "ids follow the file over all splits"
 
 
 def test_ocr_and_pdf(spark):
@@ -151,18 +179,59 @@ def test_syllabus_fields(spark):
     assert o(syllabus.term(F.lit("Fall 2024"))) == "Winter Term 1"
     assert o(syllabus.term_code(F.lit("Summer Term 2"))) == "S2"
     assert o(syllabus.main_month(F.lit("Sept 3, Sep 5, October 1, may"))) == 9
-    assert o(syllabus.masked_numbers(F.lit("Page 12 of 50"))) == "Page <NUM> of <NUM>"
+    assert [o(syllabus.masked_numbers(F.lit(x))) for x in ("Page 12 of 50", "3 / 4", "12", "- 7 -", "12 Soil", "Soil 12")] == ["Page <NUM> of <NUM>", "<NUM> / <NUM>", "<NUM>", "- <NUM> -", "<NUM> Soil", "Soil 12"]
     assert o(syllabus.code_in_file_name(F.lit("APBI_200_syllabus.pdf"))) == "APBI 200"
-    got = o(syllabus.assessments(F.lit("Midterm: 40%\n- Final exam 60 %\nGrade A 90%")))
-    assert [(a.name, a.weight) for a in got] == [("Midterm", 40.0), ("Final exam", 60.0)]
-    assert o(syllabus.assessments(F.lit("Midterm 40%"))) == []
-    assert o(syllabus.clean_topics(F.array(*map(F.lit, ["1. Soil*", "Midterm exam", "Week 5 - 7", "Soil", "A1", "Water (Dr. X)"])))) == ["Soil", "Water"]
+    asked = ["1. Soil*", "Midterm exam", "Week 5 - 7", "Soil", "A1", "Water (Dr. X)", "Paper due", "Fire Workshop: bring pens", "Latest  reading week", "Quiz", "(b) Ice — age", "3)", ""]
+    assert o(syllabus.clean_topics(F.array(*map(F.lit, asked)))) == ["Soil", "Water", "Fire", "Quiz", "Ice - age"]
+    kinds = {("Smith, J. 2020. Soils of the north.", ""): "textbook", ("x", "Smith, J. 2020. Soils."): "textbook", ("Smith, J. 2020. Soils.", "course materials"): "article", ("Vice: a film", ""): "video", ("ArcGIS", ""): "software", ("Portal", ""): "website", ("A", "optional text"): "text", ("Routledge book", "textbook"): "book", ("lecture slides", ""): "lecture slides", ("x", ""): "course resource", ("Handheld calculator", "digital resources"): "equipment", (None, None): "course resource"}
+    for (name, description), kind in kinds.items():
+        assert o(syllabus.material_type(F.lit(name), F.lit(description))) == kind, name
+    bullets = [("1.", "2.", True), ("1.1", "2", False), ("1.1", "2.3", True), ("-", "-", True), ("-", "•", False), ("(a)", "(b)", True), ("(a)", "(1)", False), (None, "-", False)]
+    assert [o(syllabus.bullets_alike(F.lit(a).cast("string"), F.lit(b))) for a, b, _ in bullets] == [x for *_, x in bullets]
+    dated = [("x 2023.pdf", "Jan 5, January 6, 2024 2024", "Winter Term 2", 2023), ("x.pdf", "Jan 5, 2024", "Winter Term 2", 2023), ("x.pdf", "Jan 5, 2024, 2025", "Winter Term 2", 2024), ("x.pdf", "October 2024", "Winter Term 1", 2024), ("x W2 2022.pdf", "October 2024", "Winter Term 2", 2022), ("x.pdf", "June 1 2020 July 2021 July", "Summer Term 2", 2020), ("x.pdf", "nothing", "Winter Term 2", None)]
+    for name, content, season, year in dated:
+        got = o(syllabus.term_and_year(F.lit(name), F.lit(content)))
+        assert (got.term, got.year) == (season, year), (name, content)
     assert o(syllabus.material_type(F.lit("Soils, 3rd edition"), F.lit(""))) == "textbook"
     assert o(syllabus.material_type(F.lit("thing"), F.lit("watch the video"))) == "video"
     found = syllabus.scan("COURSE DESCRIPTION\nAll about\nsoil.\nLearning Outcomes\n1. Name\n2. Weigh\nUniversity Policies\nnone")
     assert found["description"] == ["All about soil."] and found["goals"] == ["Name", "Weigh"]
 
 
+@pytest.mark.parametrize(
+    "pages, found",
+    [
+        (["Midterm: 40%\nFinal exam 60 %\nLate work 10%"], [("Midterm", 40), ("Final exam", 60)]),
+        (["Midterm (30%)\nFinal Exam (70%)"], [("Midterm", 30), ("Final Exam", 70)]),
+        (["Quizzes 12.5 points"], [("Quizzes", 12.5)]),
+        (["GRADING\nQuizzes 20%\nLab\nreports 80 pts"], [("Quizzes", 20), ("Lab\nreports", 80)]),
+        (["A 90%\nB 10%\nTotal 100%"], [("Total", 100)][:0]),
+        (["Essay 30%", "Midterm 50%\nFinal 50%"], [("Midterm", 50), ("Final", 50)]),
+        (["Components\nEssay\nLab\nPercentage\n60%\n40%\nmore"], [("essay", 60), ("lab", 40)]),
+        ([""], []),
+        ([], []),
+    ],
+)
+def test_assessments_of_pages(pages, found):
+    assert syllabus.assessments(pages) == found
+
+
+def test_assessments_by_document(spark):
+    rows = spark.createDataFrame([(1, 2, "Midterm 50%\nFinal 50%"), (1, 1, "Essay 30%"), (2, 1, None), (3, 1, "Essay 30%")], "document_id long, page_number int, text string")
+    assert sorted(map(tuple, syllabus.assessments_of(rows).collect())) == [(1, 0, "Midterm", 50.0), (1, 1, "Final", 50.0), (3, 0, "Essay", 30.0)]
+
+
+@pytest.mark.parametrize("line, upper, bullet, ends", [("COURSE POLICIES", True, None, True), ("Course Policies", True, None, False), ("Course Policies", False, None, True), ("Contact of the Staff", False, None, False), ("Rationale:", False, None, False), ("FRST 200", False, None, False), ("learning outcomes", False, None, True), ("2. something long that follows here", False, "1. ", True), ("2.1. something long that follows here", False, "1. ", False), ("", False, None, False)])
+def test_headings_that_end_a_description(line, upper, bullet, ends):
+    assert syllabus.ends_description(line, upper, bullet) == ends
+
+
+def test_clean_materials(spark):
+    rows = [(1, 0, "Soils  of  the north", "book", "a"), (1, 1, "soils of the north:", "book", "longer"), (1, 2, "Canvas", "", ""), (1, 3, "Videos: films – all", "video", "Videos: films – all"), (1, 4, "Slides posted on canvas", "", ""), (1, 5, "The textbook posted on canvas", "", ""), (1, 6, "September 5 lab", "", ""), (1, 7, "one two three four five six seven eight nine", "", "Resource for course"), (1, 8, "There is no textbook", "", ""), (1, 9, "Reading assignments", "", ""), (1, 10, None, None, None), (2, 0, "* note this", "", "")]
+    got = syllabus.clean_materials(spark.createDataFrame(rows, "document_id long, place int, name string, type string, description string")).orderBy("place").collect()
+    assert [(r.place, r.name, r.description) for r in got] == [(0, "soils of the north:", "longer"), (3, "Videos", "films - all"), (5, "The textbook posted on canvas", "")]
+
+
 def test_schedule_tables(spark):
     rows = spark.createDataFrame([(1, 0, 0, ["Week", "Topic"]), (1, 0, 1, ["1", "Soil; Water"]), (1, 0, 2, ["2", "Final exam"])], "document_id long, table int, row int, cells array<string>")
     assert [r.topic for r in syllabus.table_topics(rows).collect()] == ["Soil", "Water"]
@@ -182,8 +251,9 @@ def test_evaluation(spark):
     o = lambda c: one(spark, c)
     labels = lambda t: evaluation.labels_of(F.lit(t))
     assert o(labels("i, r,X,i")) == ["I", "R"]
-    kinds = [o(evaluation.match_class(labels(a), labels(b))) for a, b in (("I,R", "R,I"), ("I,R", "I"), ("I", "I,E"), ("I", "E"))]
-    assert kinds == ["full", "partial", "new", "mismatch"]
+    kinds = [o(evaluation.match_class(labels(a), labels(b))) for a, b in (("I,R", "R,I"), ("I,R", "I"), ("I", "I,E"), ("I", "E"), ("", ""), ("", "I"), ("I", ""))]
+    assert kinds == ["full", "partial", "full", "mismatch", "full", "mismatch", "mismatch"]
+    assert [o(evaluation.new_label(labels(a), labels(b))) for a, b in (("I", "I,E"), ("I,R", "R"), ("", "E"))] == [True, False, True]
     rows = spark.range(2000).select((F.col("id") % 10 == 0).cast("int").alias("y"))
     assert 250 < evaluation.balanced(rows, "y").count() < 550
 
@@ -204,6 +274,12 @@ def test_streams(spark, tmp_path):
     def broken(batch):
         raise RuntimeError("no")
 
+    def picky(batch):
+        return batch.withColumn("n", F.when(F.col("id") == 1, F.raise_error(F.lit("one is bad"))).otherwise(F.col("id")))
+
+    jobs.run_jobs(jobs.follow_files(spark, str(source), schema), picky, str(tmp_path / "done3"), str(tmp_path / "failed3"), str(tmp_path / "c3")).awaitTermination()
+    assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "done3")).collect()) == [0, 2], "the others go on"
+    assert [(r.id, "one is bad" in r.error) for r in spark.read.parquet(str(tmp_path / "failed3")).collect()] == [(1, True)]
     jobs.run_jobs(jobs.follow_files(spark, str(source), schema), broken, str(tmp_path / "done2"), str(tmp_path / "failed2"), str(tmp_path / "c2")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "failed2")).where("error = 'no'").count() == 3
 
