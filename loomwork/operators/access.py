@@ -69,7 +69,7 @@ def faculty_courses(courses: DataFrame, campus: str, faculty: str, codes: list[s
 def role_grants(role_users: DataFrame, courses: DataFrame, on: list[str], role_id: int) -> DataFrame:
     """user_id, course_id, role_id: every course that shares the scope columns with a role holder; no columns, all."""
     holders = role_users.select("user_id", *on).distinct()
-    rows = holders.join(courses.select("course_id", *on), on) if on else courses.select("course_id").crossJoin(holders)
+    rows = holders.join(courses.select("course_id", *on), on) if on else holders.withColumn("_all", F.lit(1)).join(courses.select("course_id", F.lit(1).alias("_all")), "_all")
     return rows.select("user_id", "course_id", F.lit(role_id).cast("long").alias("role_id")).distinct()
 
 
@@ -85,3 +85,18 @@ def level_filter(course_num: Column, levels: list[int]) -> Column:
 def options(column: Column) -> Column:
     """The text that an option list shows."""
     return F.upper(F.trim(column))
+
+
+def page_of(rows: DataFrame, order: list[Column], number: int, size: int) -> tuple[DataFrame, int]:
+    """(rows of a page, its number): a page past the end becomes the last one, one below 1 the first. order is total."""
+    last = max(1, -(-rows.count() // size))
+    number = min(max(1, number), last)
+    return rows.orderBy(*order).offset((number - 1) * size).limit(size), number
+
+
+def scope_grants(holders: DataFrame, courses: DataFrame, scope: str, role_id: int) -> DataFrame:
+    """user_id, course_id, role_id of role holders over the courses of their own scope column, such as a department.
+
+    Holders and courses without a scope get nothing.
+    """
+    return role_grants(holders.where(F.col(scope).isNotNull()), courses.where(F.col(scope).isNotNull()), [scope], role_id)

@@ -61,3 +61,70 @@ def mapping_payload(clos: DataFrame, plos: DataFrame, levels: DataFrame, scales:
     s = listed(scale_sheet(levels, scales), "program_id", "position", "abbreviation", "title").withColumnRenamed("items", "scales")
     rows = course_programs.select("program_id", "course_id").join(c, "course_id").join(p, "program_id").join(s, "program_id")
     return rows.select("program_id", "course_id", F.to_json(F.struct("clos", "plos", "scales")).alias("payload"))
+
+
+def nested_map(course_maps: DataFrame) -> DataFrame:
+    """program_id, course_id, outcome_map map<pl_outcome_id, map<l_outcome_id, map_scale_id>> of single maps.
+
+    course_maps has program_id, course_id, pl_outcome_id, l_outcome_id, map_scale_id. A pair with several levels has
+    its least.
+    """
+    keys = ["program_id", "course_id", "pl_outcome_id"]
+    pairs = course_maps.groupBy(*keys, "l_outcome_id").agg(F.min("map_scale_id").alias("map_scale_id"))
+    inner = pairs.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("l_outcome_id", "map_scale_id")))).alias("levels"))
+    entries = F.transform(F.array_sort(F.collect_list(F.struct("pl_outcome_id", F.map_entries("levels").alias("e")))), lambda x: F.struct(x["pl_outcome_id"], F.map_from_entries(x["e"])))
+    return inner.groupBy("program_id", "course_id").agg(F.map_from_entries(entries).alias("outcome_map"))
+
+
+#: Parts of a syllabus that an import may be asked for.
+PARTS = ("learning_outcomes", "assessment_methods", "learning_activities", "course_topics", "outcome_maps")
+
+
+def imported(tables: dict[str, DataFrame], course_id: int, wanted: tuple[str, ...] = PARTS) -> dict[str, DataFrame]:
+    """The wanted parts of one course, by name; ValueError for a part that there is none of."""
+    if unknown := set(wanted) - set(PARTS):
+        raise ValueError(f"unknown parts {sorted(unknown)}")
+    own = lambda df: df.where(F.col("course_id") == course_id)
+    clos = own(tables["learning_outcomes"]).select("l_outcome_id")
+    return {p: tables[p].join(clos, "l_outcome_id", "left_semi") if p == "outcome_maps" else own(tables[p]) for p in PARTS if p in wanted}
+
+
+def course_workbook(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Sheets of all courses' workbooks; each has course_id, so one workbook is a filter on it.
+
+    t: tables of the star by name. Outcomes by course and id; methods and activities with their alignment, as long rows
+    of a pivot; the map over all programs by category; scales of the programs and of the standards.
+    """
+    clos, programs = t["learning_outcomes"], t["course_programs"].select("course_id", "program_id")
+    of_course = clos.select("l_outcome_id", "course_id")
+    maps = course_map(clos, t["outcome_maps"], t["program_learning_outcomes"], t["course_programs"], t["mapping_scales"])
+    named = outcome_list(t["program_learning_outcomes"], t["programs"], t["p_l_o_categories"])
+    return {
+        "Learning outcomes": clos.select("course_id", "l_outcome_id", "clo_shortphrase", "l_outcome"),
+        "Program outcomes": programs.join(named, "program_id"),
+        "Standards": standards_list(t["courses"], t["standards"], t["standards_outcome_maps"], t["standard_scales"]),
+        "Assessment": t["outcome_assessments"].join(t["assessment_methods"].select("a_method_id", "a_method", "weight"), "a_method_id").join(of_course, "l_outcome_id"),
+        "Activities": t["outcome_activities"].join(t["learning_activities"].select("l_activity_id", "l_activity"), "l_activity_id").join(of_course, "l_outcome_id"),
+        "Outcome map": maps.join(named.select("pl_outcome_id", "category"), "pl_outcome_id"),
+        "Mapping scales": programs.join(scale_sheet(t["mapping_scale_programs"], t["mapping_scales"]), "program_id"),
+        "Standard scales": standard_scale_sheet(t["courses"], t["standards"], t["standard_scales"]),
+    }
+
+
+def standard_scale_sheet(courses: DataFrame, standards: DataFrame, scales: DataFrame) -> DataFrame:
+    """course_id, standard_scale_id, title, abbreviation: all scales but N/A, for courses whose category has standards."""
+    some = courses.join(standards.select("standard_category_id").distinct(), "standard_category_id", "left_semi").select("course_id")
+    listed = scales.where("standard_scale_id <> 0").agg(F.array_sort(F.collect_list(F.struct("standard_scale_id", "title", "abbreviation"))).alias("s"))
+    return some.join(listed, F.lit(True)).select("course_id", F.inline("s"))  # one row of scales
+
+
+def course_parts(courses: DataFrame, course_maps: DataFrame, plos: DataFrame, standards_maps: DataFrame, chosen: DataFrame, priorities: DataFrame) -> DataFrame:
+    """course_id, programs (that it maps to), maps, categorized (mapped outcomes with a category), standards (mapped),
+    subcategories (of its priorities, sorted). Zeros and empty lists where there are none.
+    """
+    mapped = course_maps.select("course_id", "program_id", "pl_outcome_id", "l_outcome_id").distinct().join(plos.select("pl_outcome_id", "plo_category_id"), "pl_outcome_id")
+    counts = mapped.groupBy("course_id").agg(F.count_distinct("program_id").alias("programs"), F.count("*").alias("maps"), F.count_distinct(F.when(F.col("plo_category_id").isNotNull(), F.col("pl_outcome_id"))).alias("categorized"))
+    held = standards_maps.where("standard_scale_id <> 0").groupBy("course_id").agg(F.count_distinct("standard_id").alias("standards"))
+    named = chosen.join(priorities, "op_id").groupBy("course_id").agg(F.array_sort(F.collect_set("subcat_name")).alias("subcategories"))
+    out = courses.select("course_id").join(counts, "course_id", "left").join(held, "course_id", "left").join(named, "course_id", "left")
+    return out.na.fill(0).withColumn("subcategories", F.coalesce("subcategories", F.array().cast("array<string>")))

@@ -115,10 +115,10 @@ def activity_frequency(activities: DataFrame, course_programs: DataFrame) -> Dat
 
 
 def priority_frequency(chosen: DataFrame, priorities: DataFrame, courses: DataFrame, course_programs: DataFrame) -> DataFrame:
-    """program_id, op_id, optional_priority, n, courses ('CODE NUM' by course_id)."""
+    """program_id, op_id, optional_priority, subcat_name, n, courses ('CODE NUM' by course_id); in op_id order by id."""
     rows = course_programs.select("program_id", "course_id").join(chosen, "course_id").join(priorities, "op_id").join(courses.select("course_id", F.concat_ws(" ", "course_code", "course_num").alias("name")), "course_id")
     named = F.array_sort(F.collect_list(F.struct("course_id", "name")))
-    return rows.groupBy("program_id", "op_id", "optional_priority").agg(F.count("*").alias("n"), F.map_from_entries(named).alias("courses"))
+    return rows.groupBy("program_id", "op_id", "optional_priority", "subcat_name").agg(F.count("*").alias("n"), F.map_from_entries(named).alias("courses"))
 
 
 def standards_matrix(maps: DataFrame, standards: DataFrame, scales: DataFrame, course_programs: DataFrame, courses: DataFrame) -> DataFrame:
@@ -155,3 +155,52 @@ def default_numbers(plos: DataFrame) -> DataFrame:
     order = Window.partitionBy("program_id").orderBy(F.col("plo_category_id").asc_nulls_last(), "pl_outcome_id")
     n = F.row_number().over(order)
     return plos.select("program_id", "pl_outcome_id", F.coalesce("plo_shortphrase", F.concat(F.lit("PLO #"), n.cast("string"))).alias("label"), n.alias("n"))
+
+
+UNCATEGORIZED = "Uncategorized"
+
+
+def outcome_map_sheet(cells: DataFrame, plos: DataFrame, categories: DataFrame, label: str) -> DataFrame:
+    """program_id, place, pl_outcome_id, category, heading (it opens its category), cells, of every outcome.
+
+    cells has program_id, pl_outcome_id, course_id and a label column; a row's cells are (course_id, label) by course,
+    none where no course maps to the outcome. Categories go by id, outcomes without one last under UNCATEGORIZED.
+    """
+    keys = ["program_id", "pl_outcome_id"]
+    row = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("course_id", F.col(label).alias("label")))).alias("cells"))
+    rows = plos.join(categories.select("plo_category_id", "plo_category"), "plo_category_id", "left").join(row, keys, "left")
+    order = Window.partitionBy("program_id").orderBy(F.col("plo_category_id").asc_nulls_last(), "pl_outcome_id")
+    opens = F.row_number().over(Window.partitionBy("program_id", "plo_category_id").orderBy("pl_outcome_id")) == 1
+    return rows.select("program_id", F.row_number().over(order).alias("place"), "pl_outcome_id", F.coalesce("plo_category", F.lit(UNCATEGORIZED)).alias("category"), opens.alias("heading"), F.coalesce("cells", F.array().cast("array<struct<course_id:bigint,label:string>>")).alias("cells"))
+
+
+def weighted_heading(name: Column, weight: Column) -> Column:
+    """'name (weight%)', the name with ucwords, the weight without needless zeros; without a weight the name alone."""
+    number = F.regexp_replace(F.format_string("%.2f", weight.cast("double")), r"\.?0+$", "")
+    return F.when(weight.isNull(), ucwords(name)).otherwise(F.concat(ucwords(name), F.lit(" ("), number, F.lit("%)")))
+
+
+def marks(rows: DataFrame, key: list[str], heading: Column) -> DataFrame:
+    """key and heading of each cell of a pivot sheet that holds a 1; equal headings merge. No list of headings needed."""
+    return rows.select(*key, heading.alias("heading")).distinct()
+
+
+#: Level of a program and the category of standards that it is held to (fixed values).
+STANDARD_CATEGORIES = {"Undergraduate": 1, "Bachelors": 1, "Masters": 2, "Doctoral": 3}
+
+
+def standards_of_level(standards: DataFrame, programs: DataFrame, categories: dict[str, int] = STANDARD_CATEGORIES) -> DataFrame:
+    """program_id and the standards of the category that its level asks for; other levels have none."""
+    category = F.lit(None).cast("long")
+    for level, number in categories.items():
+        category = F.when(F.col("level") == level, number).otherwise(category)
+    return programs.select("program_id", category.alias("standard_category_id")).join(standards, "standard_category_id")
+
+
+def standards_counts(maps: DataFrame, standards: DataFrame, scales: DataFrame, programs: DataFrame, course_programs: DataFrame) -> DataFrame:
+    """Courses of each program at each standard of its level and scale, zeros too; courses without any map don't count."""
+    wanted = standards_of_level(standards, programs).select("program_id", "standard_id", "s_shortphrase")
+    ids = F.array_sort(F.collect_set("standard_scale_id"))
+    grid = wanted.join(scales.agg(ids.alias("ids")), F.lit(True)).select("*", F.explode("ids").alias("standard_scale_id")).drop("ids")  # one row of scales
+    counts = course_programs.select("program_id", "course_id").join(maps, "course_id").groupBy("program_id", "standard_id", "standard_scale_id").agg(F.count("*").alias("n"))
+    return grid.join(counts, ["program_id", "standard_id", "standard_scale_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

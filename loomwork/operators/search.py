@@ -85,11 +85,15 @@ def program_matches(programs: DataFrame, course_programs: DataFrame, allowed: Da
 
 
 def property_rows(property_name: str, rows: DataFrame, text: Column, query: str, stemmed: bool) -> DataFrame:
-    """course_id, property, matched_text of the rows whose text meets the query. rows has course_id."""
+    """course_id, property, matched_text, file_name, page_number of the rows whose text meets the query.
+
+    rows has course_id, and the last two where the text is a file's; else they are null.
+    """
     tokens = english.words(text)
     tokens = english.stems(tokens) if stemmed else tokens
     hit = rows.where(english.matches(tokens, query, stemmed))
-    return hit.select("course_id", F.lit(property_name).alias("property"), text.alias("matched_text"))
+    place = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("file_name", "string"), ("page_number", "long"))]
+    return hit.select("course_id", F.lit(property_name).alias("property"), text.alias("matched_text"), *place)
 
 
 def branches(tables: dict[str, DataFrame], request: Request) -> DataFrame:
@@ -110,21 +114,38 @@ def branches(tables: dict[str, DataFrame], request: Request) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
-def ranked(matches: DataFrame) -> DataFrame:
-    """A row for each course: score, direct match, matches by property, rank (direct first, score, id)."""
+def scored(matches: DataFrame) -> DataFrame:
+    """A row for each course: score, direct match, matches by property."""
     weight = F.lit(0)
     for name, points in WEIGHTS.items():
         weight = F.when(F.col("property") == name, points).otherwise(weight)
     stats = [F.count_if(F.col("property") == p).alias(p.replace(" ", "_")) for p in WEIGHTS]
-    out = matches.groupBy("course_id").agg(F.sum(weight).alias("score"), F.bool_or(F.col("property") == "course").alias("is_course_match"), *stats)
-    order = Window.orderBy(F.desc("is_course_match"), F.desc("score"), "course_id")
-    return out.withColumn("rank", F.row_number().over(order))
+    return matches.groupBy("course_id").agg(F.sum(weight).alias("score"), F.bool_or(F.col("property") == "course").alias("is_course_match"), *stats)
+
+
+#: Course ids that one task of a ranking numbers, about.
+RANK_STEP = 65_536
+
+
+def ranked(matches: DataFrame) -> DataFrame:
+    """scored() with rank: direct matches first, then by score, then by id.
+
+    Courses are counted by (direct match, score) and ranges of ids, the counts are added up, and only within one of
+    those are rows numbered, so no task sorts all courses.
+    """
+    rows = scored(matches).withColumn("_range", F.call_function("div", "course_id", F.lit(RANK_STEP)))
+    order = (F.desc("is_course_match"), F.desc("score"), F.col("_range"))
+    counts = rows.groupBy("is_course_match", "score", "_range").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(*order)) - F.col("_n")).drop("_n")
+    within = F.row_number().over(Window.partitionBy("is_course_match", "score", "_range").orderBy("course_id"))
+    out = rows.withColumn("_within", within).join(before, ["is_course_match", "score", "_range"])
+    return out.withColumn("rank", F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
 
 
 def top(matches: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
     """The first courses of the ranking; a top-k before the row numbers, so no sort of all courses."""
-    scored = ranked(matches).drop("rank").orderBy(F.desc("is_course_match"), F.desc("score"), "course_id").limit(limit)
-    return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("is_course_match"), F.desc("score"), "course_id")))
+    order = (F.desc("is_course_match"), F.desc("score"), F.col("course_id"))
+    return scored(matches).orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def page(ranked_rows: DataFrame, number: int, size: int = PAGE) -> DataFrame:
@@ -138,17 +159,24 @@ def stats(matches: DataFrame, course_programs: DataFrame) -> DataFrame:
     return matches.agg(F.count_distinct("course_id").alias("courses"), *counts).join(programs, F.lit(True))
 
 
-def by_program(ranked_rows: DataFrame, course_programs: DataFrame) -> DataFrame:
+def by_program(scored_rows: DataFrame, course_programs: DataFrame) -> DataFrame:
     """Of each program with matching courses: how many, direct ones, summed matches."""
-    rows = course_programs.select("program_id", "course_id").distinct().join(ranked_rows, "course_id")
+    rows = course_programs.select("program_id", "course_id").distinct().join(scored_rows, "course_id")
     sums = [F.sum(p.replace(" ", "_")).alias(p.replace(" ", "_")) for p in WEIGHTS if p != "course"]
     return rows.groupBy("program_id").agg(F.count("*").alias("courses"), F.count_if("is_course_match").alias("direct"), *sums)
 
 
-def shared_cap(ranked_rows: DataFrame, course_programs: DataFrame, limit: int) -> DataFrame:
-    """Courses of programs in order, until the limit is spent over all of them."""
+def shared_cap(ranked_rows: DataFrame, course_programs: DataFrame, limit: int, named: DataFrame | None = None) -> DataFrame:
+    """Courses of programs in order, until the limit is spent over all of them; a top-k before the row numbers.
+
+    named: program_id of programs that their own name matches. They stay without a course, as one row of nulls.
+    """
     rows = course_programs.select("program_id", "course_id").distinct().join(ranked_rows.select("course_id", "rank"), "course_id")
-    return rows.withColumn("spent", F.row_number().over(Window.orderBy("program_id", "rank"))).where(F.col("spent") <= limit)
+    first = rows.orderBy("program_id", "rank").limit(limit)
+    out = first.withColumn("spent", F.row_number().over(Window.orderBy("program_id", "rank")))
+    if named is None:
+        return out
+    return out.unionByName(named.select("program_id").distinct().join(out.select("program_id").distinct(), "program_id", "left_anti"), allowMissingColumns=True)
 
 
 def inverted_index(texts: DataFrame, doc: str, text: str) -> DataFrame:

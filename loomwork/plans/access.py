@@ -148,3 +148,23 @@ def programs_by_name_or_any_course(t: Star):
     named = t.programs.where("program like 'NATION_2%'").select("program_id", F.lit(True).alias("named"))
     held = t.course_programs.groupBy("program_id").agg(F.count("*").alias("courses"))
     return named.join(held, "program_id", "full").select("program_id", F.coalesce("named", F.lit(False)).alias("name_match"), F.coalesce("courses", F.lit(0)).alias("courses"))
+
+
+@query("SELECT course_id, course_code FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY year DESC, course_id) AS r, (SELECT COUNT(*) FROM {courses}) AS n FROM {courses}) AS x WHERE r > 15 * ((n - 1) // 15)")
+def dashboard_page_past_the_end(t: Star):
+    return A.page_of(t.courses, [F.desc("year"), F.col("course_id")], 10**9, 15)[0].select("course_id", "course_code")
+
+
+_HOLDERS = "(SELECT DISTINCT user_id, 'Brand#' || CAST(user_id % 5 + 1 AS STRING) || CAST(user_id % 4 + 1 AS STRING) AS course_code FROM {program_users})"
+
+
+@query(f"SELECT DISTINCT h.user_id, c.course_id, CAST(3 AS BIGINT) AS role_id FROM {_HOLDERS} AS h JOIN {{courses}} c ON c.course_code = h.course_code")
+def role_grants_department(t: Star):
+    u = F.col("user_id")
+    code = F.concat(F.lit("Brand#"), (u % 5 + 1).cast("string"), (u % 4 + 1).cast("string"))
+    return A.scope_grants(t.program_users.select("user_id", code.alias("course_code")), t.courses, "course_code", 3)
+
+
+@query("SELECT DISTINCT u.user_id, c.course_id, CAST(4 AS BIGINT) AS role_id FROM {program_users} u JOIN {courses} c ON c.standard_category_id = u.user_id % 6")
+def role_grants_faculty(t: Star):
+    return A.scope_grants(t.program_users.select("user_id", (F.col("user_id") % 6).alias("standard_category_id")), t.courses, "standard_category_id", 4)

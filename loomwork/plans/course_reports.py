@@ -52,3 +52,53 @@ def mapping_payload(t: Star):
     kind = "struct<clos:array<struct<l_outcome_id:bigint>>,plos:array<struct<pl_outcome_id:bigint>>,scales:array<struct<abbreviation:string>>>"
     back = made.withColumn("p", F.from_json("payload", kind))
     return back.select("program_id", "course_id", F.array_join(F.col("p.clos.l_outcome_id").cast("array<string>"), ",").alias("clos"), F.array_join(F.col("p.plos.pl_outcome_id").cast("array<string>"), ",").alias("plos"), F.array_join("p.scales.abbreviation", ",").alias("scales"))
+
+
+_CELLS = "cells AS (SELECT cp.program_id, cp.course_id, m.pl_outcome_id, m.l_outcome_id, MIN(m.map_scale_id) AS s FROM {outcome_maps} m JOIN {learning_outcomes} l ON l.l_outcome_id = m.l_outcome_id JOIN {program_learning_outcomes} p ON p.pl_outcome_id = m.pl_outcome_id JOIN {course_programs} cp ON cp.course_id = l.course_id AND cp.program_id = p.program_id GROUP BY 1, 2, 3, 4)"
+
+
+def _cells(t: Star):
+    rows = t.outcome_maps.join(t.learning_outcomes.select("l_outcome_id", "course_id"), "l_outcome_id").join(t.program_learning_outcomes.select("pl_outcome_id", "program_id"), "pl_outcome_id")
+    return rows.join(t.course_programs.select("course_id", "program_id"), ["course_id", "program_id"])
+
+
+@query(f"WITH {_CELLS}, i AS (SELECT program_id, course_id, pl_outcome_id, STRING_AGG(CAST(l_outcome_id AS STRING) || '=' || CAST(s AS STRING), ',' ORDER BY l_outcome_id) AS x FROM cells GROUP BY 1, 2, 3) SELECT program_id, course_id, STRING_AGG(CAST(pl_outcome_id AS STRING) || '[' || x || ']', ';' ORDER BY pl_outcome_id) AS outcome_map FROM i GROUP BY 1, 2")
+def nested_outcome_map(t: Star):
+    inner = lambda e: F.array_join(F.transform(F.array_sort(F.map_entries(e)), lambda x: F.concat(x["key"].cast("string"), F.lit("="), x["value"].cast("string"))), ",")
+    entries = F.map_entries("outcome_map")
+    text = F.transform(F.array_sort(F.transform(entries, lambda e: F.struct(e["key"].alias("k"), F.concat(e["key"].cast("string"), F.lit("["), inner(e["value"]), F.lit("]")).alias("t")))), lambda s: s["t"])
+    return R.nested_map(_cells(t)).withColumn("outcome_map", F.array_join(text, ";"))
+
+
+@query("SELECT 'learning_outcomes' AS part, COUNT(*) AS n FROM {learning_outcomes} WHERE course_id = 7 UNION ALL SELECT 'outcome_maps', COUNT(*) FROM {outcome_maps} WHERE l_outcome_id IN (SELECT l_outcome_id FROM {learning_outcomes} WHERE course_id = 7)")
+def selective_import(t: Star):
+    parts = R.imported({n: t[n] for n in R.PARTS}, 7, ("learning_outcomes", "outcome_maps"))
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts.items()]
+    return counts[0].unionByName(counts[1])
+
+
+@query("""SELECT course_id, 'Learning outcomes' AS sheet, COUNT(*) AS n FROM {learning_outcomes} GROUP BY 1 UNION ALL SELECT course_id, 'Program outcomes', COUNT(*) FROM {course_programs} cp JOIN {program_learning_outcomes} p ON p.program_id = cp.program_id GROUP BY 1
+    UNION ALL SELECT course_id, 'Standards', COUNT(*) FROM {courses} c JOIN {standards} s ON s.standard_category_id = c.standard_category_id GROUP BY 1 UNION ALL SELECT course_id, 'Assessment', COUNT(*) FROM {outcome_assessments} o JOIN {learning_outcomes} l ON l.l_outcome_id = o.l_outcome_id GROUP BY 1
+    UNION ALL SELECT course_id, 'Activities', COUNT(*) FROM {outcome_activities} o JOIN {learning_outcomes} l ON l.l_outcome_id = o.l_outcome_id GROUP BY 1
+    UNION ALL SELECT course_id, 'Outcome map', COUNT(*) FROM (SELECT DISTINCT cp.course_id, m.l_outcome_id, m.pl_outcome_id FROM {outcome_maps} m JOIN {learning_outcomes} l ON l.l_outcome_id = m.l_outcome_id JOIN {program_learning_outcomes} p ON p.pl_outcome_id = m.pl_outcome_id JOIN {course_programs} cp ON cp.course_id = l.course_id AND cp.program_id = p.program_id) AS x GROUP BY 1
+    UNION ALL SELECT course_id, 'Mapping scales', COUNT(*) FROM {course_programs} cp JOIN {mapping_scale_programs} s ON s.program_id = cp.program_id GROUP BY 1 UNION ALL SELECT course_id, 'Standard scales', 3 FROM {courses} WHERE standard_category_id IN (SELECT standard_category_id FROM {standards})""")
+def course_workbook(t: Star):
+    """Rows of each sheet of each course's workbook."""
+    names = "courses programs p_l_o_categories program_learning_outcomes course_programs learning_outcomes outcome_maps mapping_scales mapping_scale_programs standards standards_outcome_maps standard_scales outcome_assessments assessment_methods outcome_activities learning_activities".split()
+    sheets = R.course_workbook({n: t[n] for n in names})
+    rows = None
+    for name, sheet in sheets.items():
+        part = sheet.groupBy("course_id").agg(F.count("*").alias("n")).select("course_id", F.lit(name).alias("sheet"), "n")
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
+@query("SELECT course_id, standard_scale_id, title, abbreviation FROM {courses} CROSS JOIN {standard_scales} WHERE standard_scale_id <> 0 AND standard_category_id IN (SELECT standard_category_id FROM {standards})")
+def standard_scale_sheet(t: Star):
+    return R.standard_scale_sheet(t.courses, t.standards, t.standard_scales)
+
+
+@query(f"WITH {_CELLS}, k AS (SELECT course_id, COUNT(DISTINCT program_id) AS programs, COUNT(*) AS maps, COUNT(DISTINCT CASE WHEN plo_category_id IS NOT NULL THEN c.pl_outcome_id END) AS categorized FROM (SELECT DISTINCT course_id, program_id, pl_outcome_id, l_outcome_id FROM cells) AS c JOIN (SELECT pl_outcome_id, plo_category_id FROM {{program_learning_outcomes}}) AS p ON p.pl_outcome_id = c.pl_outcome_id GROUP BY 1), s AS (SELECT course_id, COUNT(DISTINCT standard_id) AS standards FROM {{standards_outcome_maps}} WHERE standard_scale_id <> 0 GROUP BY 1), o AS (SELECT course_id, STRING_AGG(DISTINCT subcat_name, ',' ORDER BY subcat_name) AS subcategories FROM {{course_optional_priorities}} x JOIN {{optional_priorities}} y ON y.op_id = x.op_id GROUP BY 1) SELECT c.course_id, COALESCE(programs, 0) AS programs, COALESCE(maps, 0) AS maps, COALESCE(categorized, 0) AS categorized, COALESCE(standards, 0) AS standards, COALESCE(subcategories, '') AS subcategories FROM {{courses}} c LEFT JOIN k ON k.course_id = c.course_id LEFT JOIN s ON s.course_id = c.course_id LEFT JOIN o ON o.course_id = c.course_id")
+def course_parts(t: Star):
+    out = R.course_parts(t.courses, _cells(t), t.program_learning_outcomes, t.standards_outcome_maps, t.course_optional_priorities, t.optional_priorities)
+    return out.withColumn("subcategories", F.array_join("subcategories", ","))

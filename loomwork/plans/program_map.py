@@ -100,8 +100,8 @@ def activity_frequency(t: Star):
     return M.activity_frequency(t.learning_activities, t.course_programs)
 
 
-@query("""SELECT program_id, p.op_id, optional_priority, COUNT(*) AS n, STRING_AGG(CAST(c.course_id AS STRING) || '=' || CONCAT_WS(' ', course_code, course_num), '; ' ORDER BY c.course_id) AS courses FROM {course_programs} cp JOIN {course_optional_priorities} x ON x.course_id = cp.course_id
-    JOIN {optional_priorities} p ON p.op_id = x.op_id JOIN {courses} c ON c.course_id = cp.course_id GROUP BY 1, 2, 3""")
+@query("""SELECT program_id, p.op_id, optional_priority, subcat_name, COUNT(*) AS n, STRING_AGG(CAST(c.course_id AS STRING) || '=' || CONCAT_WS(' ', course_code, course_num), '; ' ORDER BY c.course_id) AS courses FROM {course_programs} cp JOIN {course_optional_priorities} x ON x.course_id = cp.course_id
+    JOIN {optional_priorities} p ON p.op_id = x.op_id JOIN {courses} c ON c.course_id = cp.course_id GROUP BY 1, 2, 3, 4""")
 def priority_frequency(t: Star):
     out = M.priority_frequency(t.course_optional_priorities, t.optional_priorities, t.courses, t.course_programs)
     entries = F.transform(F.array_sort(F.map_entries("courses")), lambda e: F.concat(e["key"].cast("string"), F.lit("="), e["value"]))
@@ -166,3 +166,23 @@ def position_backfill(t: Star):
 @query("SELECT program_id, COALESCE(MAX(position), 0) + 1 AS next FROM {mapping_scale_programs} GROUP BY 1")
 def next_position(t: Star):
     return t.mapping_scale_programs.groupBy("program_id").agg((F.coalesce(F.max("position"), F.lit(0)) + 1).alias("next"))
+
+
+_MODE_ROWS = "{}, modes AS (SELECT{})".format(*_MODES.rsplit("\n    SELECT", 1))
+
+
+@query(f"WITH {_MODE_ROWS}, sheet AS (SELECT program_id, pl_outcome_id, STRING_AGG(CAST(course_id AS STRING) || ':' || label, ';' ORDER BY course_id) AS cells FROM modes GROUP BY 1, 2) SELECT p.program_id, ROW_NUMBER() OVER (PARTITION BY p.program_id ORDER BY p.plo_category_id NULLS LAST, p.pl_outcome_id) AS place, p.pl_outcome_id, COALESCE(plo_category, 'Uncategorized') AS category, ROW_NUMBER() OVER (PARTITION BY p.program_id, p.plo_category_id ORDER BY p.pl_outcome_id) = 1 AS heading, COALESCE(cells, '') AS cells FROM {{program_learning_outcomes}} p LEFT JOIN {{p_l_o_categories}} c ON c.plo_category_id = p.plo_category_id LEFT JOIN sheet s ON s.program_id = p.program_id AND s.pl_outcome_id = p.pl_outcome_id")
+def outcome_map_sheet(t: Star):
+    out = M.outcome_map_sheet(M.modes(M.frequency(_pairs(t)), t.mapping_scales), t.program_learning_outcomes, t.p_l_o_categories, "label")
+    joined = F.array_join(F.transform("cells", lambda c: F.concat_ws(":", c["course_id"].cast("string"), c["label"])), ";")
+    return out.withColumns({"cells": joined, "place": F.col("place").cast("long")})
+
+
+@query("SELECT DISTINCT course_id, CASE o WHEN 0 THEN 'Final Exam' WHEN 1 THEN 'Final' WHEN 2 THEN 'Lab REPORT' WHEN 3 THEN 'Quiz' WHEN 4 THEN 'Assignment' WHEN 5 THEN 'Final Exam' ELSE 'Midterm' END || ' (' || CAST(CAST(weight AS BIGINT) AS STRING) || '%)' AS heading FROM (SELECT course_id, weight, (a_method_id - 1) % 7 AS o FROM {assessment_methods}) AS x")
+def course_assessment_headings(t: Star):
+    return M.marks(t.assessment_methods, ["course_id"], M.weighted_heading(F.col("a_method"), F.col("weight")))
+
+
+@query("WITH n AS (SELECT program_id, standard_id, standard_scale_id, COUNT(*) AS n FROM {course_programs} cp JOIN {standards_outcome_maps} m ON m.course_id = cp.course_id GROUP BY 1, 2, 3) SELECT p.program_id, s.standard_id, s_shortphrase, x.standard_scale_id, COALESCE(n, 0) AS n FROM {programs} p JOIN {standards} s ON s.standard_category_id = CASE p.level WHEN 'Masters' THEN 2 WHEN 'Doctoral' THEN 3 ELSE 1 END CROSS JOIN {standard_scales} x LEFT JOIN n ON n.program_id = p.program_id AND n.standard_id = s.standard_id AND n.standard_scale_id = x.standard_scale_id")
+def standards_counts_by_level(t: Star):
+    return M.standards_counts(t.standards_outcome_maps, t.standards, t.standard_scales, t.programs, t.course_programs).select("program_id", "standard_id", "s_shortphrase", "standard_scale_id", "n")

@@ -27,9 +27,9 @@ _ALL = {
     "assessment": ("{assessment_methods}", "a_method"),
     "description": ("{course_descriptions}", "course_description"),
     "material": ("{course_materials}", "CONCAT_WS(' ', name, type, description)"),
-    "material content": ("(SELECT m.course_id, content FROM {course_material_chunks} h JOIN {course_material_files} f ON f.course_material_file_id = h.course_material_file_id JOIN {course_materials} m ON m.course_material_id = f.course_material_id WHERE status = 'INDEXED') AS x", "content"),
+    "material content": ("(SELECT m.course_id, content, file_name, page_number FROM {course_material_chunks} h JOIN {course_material_files} f ON f.course_material_file_id = h.course_material_file_id JOIN {course_materials} m ON m.course_material_id = f.course_material_id WHERE status = 'INDEXED') AS x", "content"),
 }
-_MATCHES = "matches AS (" + " UNION ALL ".join(f"SELECT course_id, '{p}' AS property, {x} AS matched_text FROM {t} WHERE {_hit(x)}" for p, (t, x) in _ALL.items()) + ")"
+_MATCHES = "matches AS (" + " UNION ALL ".join(f"SELECT course_id, '{p}' AS property, {x} AS matched_text, {'file_name' if p == 'material content' else 'CAST(NULL AS VARCHAR)'} AS file_name, {'CAST(page_number AS BIGINT)' if p == 'material content' else 'CAST(NULL AS BIGINT)'} AS page_number FROM {t} WHERE {_hit(x)}" for p, (t, x) in _ALL.items()) + ")"
 _STATS = ", ".join(f"COUNT(*) FILTER (WHERE property = '{p}') AS {p.replace(' ', '_')}" for p in S.WEIGHTS)
 _SCORE = "CAST(SUM(CASE property " + " ".join(f"WHEN '{p}' THEN {w}" for p, w in S.WEIGHTS.items()) + " END) AS BIGINT)"
 _RANKED = f"{_MATCHES}, scored AS (SELECT course_id, {_SCORE} AS score, BOOL_OR(property = 'course') AS is_course_match, {_STATS} FROM matches GROUP BY 1), ranked AS (SELECT *, ROW_NUMBER() OVER (ORDER BY is_course_match DESC, score DESC, course_id) AS rank FROM scored)"
@@ -62,7 +62,7 @@ def search_stats(t: Star):
 
 @query(f"WITH {_RANKED} SELECT program_id, COUNT(*) AS courses, COUNT(*) FILTER (WHERE is_course_match) AS direct, " + ", ".join(f"CAST(SUM({p.replace(' ', '_')}) AS BIGINT) AS {p.replace(' ', '_')}" for p in S.WEIGHTS if p != "course") + " FROM ranked r JOIN {course_programs} cp ON cp.course_id = r.course_id GROUP BY 1")
 def search_by_program(t: Star):
-    return S.by_program(S.ranked(_matches(t)), t.course_programs)
+    return S.by_program(S.scored(_matches(t)), t.course_programs)
 
 
 @query(f"WITH {_RANKED}, x AS (SELECT program_id, r.course_id, rank, ROW_NUMBER() OVER (ORDER BY program_id, rank) AS spent FROM ranked r JOIN {{course_programs}} cp ON cp.course_id = r.course_id) SELECT * FROM x WHERE spent <= 500")
@@ -79,6 +79,20 @@ def _allowed(t: Star):
     return S.allowed_courses({n: t[n] for n in ("courses", "course_programs", "course_users", "course_user_role")}, _REQUEST, 0, administrator=True)
 
 
+_SOME_NAMED = "named AS (SELECT program_id FROM {programs} WHERE program_id >= 20)"
+
+
+@query(f"WITH {_RANKED}, {_SOME_NAMED}, x AS (SELECT program_id, r.course_id, rank, ROW_NUMBER() OVER (ORDER BY program_id, rank) AS spent FROM ranked r JOIN {{course_programs}} cp ON cp.course_id = r.course_id), k AS (SELECT * FROM x WHERE spent <= 500) SELECT * FROM k UNION ALL SELECT program_id, NULL, NULL, NULL FROM named WHERE program_id NOT IN (SELECT program_id FROM k)")
+def search_shared_cap_with_named(t: Star):
+    out = S.shared_cap(S.ranked(_matches(t)), t.course_programs, S.EXPORT_LIMIT, t.programs.where("program_id >= 20"))
+    return out.withColumns({"rank": F.col("rank").cast("long"), "spent": F.col("spent").cast("long")})
+
+
+@query(f"WITH m AS (SELECT course_id, LEFT(course_code, 5) || course_num AS asked FROM {{courses}} WHERE course_num IS NOT NULL), w AS (SELECT REGEXP_REPLACE('FRST100 fire', '^([A-Za-z]+)([0-9].*)$', '\\1 \\2') AS q) SELECT course_id, q FROM m, w")
+def search_code_queries(t: Star):
+    return t.courses.where("course_num is not null").select("course_id", F.lit(english.course_code_query("FRST100 fire")).alias("q"))
+
+
 @query(f"WITH {_MATCHES}, {_ALLOWED} SELECT * FROM matches WHERE course_id IN (SELECT course_id FROM allowed)")
 def search_scoped(t: Star):
     return S.scoped(_matches(t), _allowed(t))
