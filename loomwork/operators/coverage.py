@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 METRICS = ("mapped_clo_count", "covering_course_count", "required_course_count", "non_required_course_count")
@@ -58,33 +58,36 @@ def mapping_facts(plos: DataFrame, maps: DataFrame, clos: DataFrame, course_prog
     return rows.withColumn("current", F.coalesce("current", F.lit(False))).withColumn("covered", F.col("current") & F.coalesce("configured", F.lit(False)))
 
 
-def _counts(when: Column) -> list[Column]:
-    of = lambda cond, key: F.count_distinct(F.when(cond, F.col(key)))
-    return [
-        of(when, "l_outcome_id").alias(METRICS[0]),
-        of(when, "course_id").alias(METRICS[1]),
-        of(when & (F.col("course_required") == 1), "course_id").alias(METRICS[2]),
-        of(when & (F.col("course_required") == 0), "course_id").alias(METRICS[3]),
-    ]
+def _counted(facts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys with METRICS, n_a_clo_count and multi_level_mapping_count, by sums over courses of sums over CLOs.
+
+    A CLO is one course's, so sums of distinct CLOs of courses count each CLO once, and no fact is expanded for any of
+    the counts. A CLO has several levels if the least and the largest that cover it differ.
+    """
+    covered, level = F.col("covered"), F.when(F.col("covered"), F.col("map_scale_id"))
+    any_of = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    clos = facts.groupBy(*keys, "course_id", "l_outcome_id").agg(
+        any_of(covered).alias("covered"), any_of(covered & (F.col("course_required") == 1)).alias("required"), any_of(covered & (F.col("course_required") == 0)).alias("other"),
+        any_of(F.col("current") & (F.col("map_scale_id") == 0)).alias("n_a"), F.coalesce(F.min(level) < F.max(level), F.lit(False)).alias("several"),
+    )
+    count = lambda c: F.count_if(F.col(c)).alias(c)
+    courses = clos.groupBy(*keys, "course_id").agg(*[count(c) for c in ("covered", "required", "other", "n_a", "several")])
+    some = lambda c, name: F.count_if(F.col(c) > 0).alias(name)
+    total = lambda c, name: F.sum(c).alias(name)
+    return courses.groupBy(*keys).agg(total("covered", METRICS[0]), some("covered", METRICS[1]), some("required", METRICS[2]), some("other", METRICS[3]), total("n_a", "n_a_clo_count"), total("several", "multi_level_mapping_count"))
 
 
 def plo_coverage(facts: DataFrame) -> DataFrame:
     """Distinct CLOs and courses that cover each PLO, CLOs mapped as N/A, and CLOs mapped at several levels."""
-    plain = facts.groupBy("program_id", "pl_outcome_id").agg(*_counts(F.col("covered")), F.count_distinct(F.when(F.col("current") & (F.col("map_scale_id") == 0), F.col("l_outcome_id"))).alias("n_a_clo_count"))
-    return plain.join(multi_level(facts), ["program_id", "pl_outcome_id"], "left").withColumn("multi_level_mapping_count", F.coalesce("multi_level_mapping_count", F.lit(0)))
-
-
-def multi_level(facts: DataFrame) -> DataFrame:
-    """program_id, pl_outcome_id, multi_level_mapping_count."""
-    each = facts.where("covered").groupBy("program_id", "pl_outcome_id", "l_outcome_id").agg(F.count_distinct("map_scale_id").alias("n"))
-    return each.groupBy("program_id", "pl_outcome_id").agg(F.count_if(F.col("n") > 1).alias("multi_level_mapping_count"))
+    return _counted(facts, ["program_id", "pl_outcome_id"])
 
 
 def histogram(plos: DataFrame, levels: DataFrame, facts: DataFrame) -> DataFrame:
     """METRICS of each PLO and configured level of its program, zeros too, with the level's position."""
     grid = plos.select("program_id", "pl_outcome_id").join(levels.where("map_scale_id <> 0").select("program_id", "map_scale_id", "position"), "program_id")
-    counts = facts.where("covered").groupBy("program_id", "pl_outcome_id", "map_scale_id").agg(*_counts(F.lit(True)))
-    return grid.join(counts, ["program_id", "pl_outcome_id", "map_scale_id"], "left").na.fill(0, list(METRICS))
+    keys = ["program_id", "pl_outcome_id", "map_scale_id"]
+    counts = _counted(facts.where("covered"), keys).select(*keys, *METRICS)
+    return grid.join(counts, keys, "left").na.fill(0, list(METRICS))
 
 
 def distribution(hist: DataFrame) -> DataFrame:

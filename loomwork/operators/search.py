@@ -133,13 +133,18 @@ def ranked(matches: DataFrame) -> DataFrame:
     Courses are counted by (direct match, score) and ranges of ids, the counts are added up, and only within one of
     those are rows numbered, so no task sorts all courses.
     """
-    rows = scored(matches).withColumn("_range", F.call_function("div", "course_id", F.lit(RANK_STEP)))
+    # every course here has a match; that the counts ask for it too lets both sides share one exchange of the sums
+    some = reduce(lambda a, b: a + b, [F.col(p.replace(" ", "_")) for p in WEIGHTS]) > 0
+    rows = scored(matches).where(some).withColumn("_range", F.call_function("div", "course_id", F.lit(RANK_STEP)))
     order = (F.desc("is_course_match"), F.desc("score"), F.col("_range"))
     counts = rows.groupBy("is_course_match", "score", "_range").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(*order)) - F.col("_n")).drop("_n")
+    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(*order)) - F.col("_n"))
+    keys = ("is_course_match", "score", "_range")
+    before = before.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_before")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])  # asks nothing of one side alone
     within = F.row_number().over(Window.partitionBy("is_course_match", "score", "_range").orderBy("course_id"))
-    out = rows.withColumn("_within", within).join(before, ["is_course_match", "score", "_range"])
-    return out.withColumn("rank", F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
+    out = rows.withColumn("_within", within).join(before, same)
+    return out.withColumn("rank", F.col("_before") + F.col("_within")).drop("_range", "_before", "_within", *[f"_of_{k}" for k in keys])
 
 
 def top(matches: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:
