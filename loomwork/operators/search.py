@@ -84,34 +84,52 @@ def program_matches(programs: DataFrame, course_programs: DataFrame, allowed: Da
     return programs.where(english.matches(tokens, query, stemmed)).join(held, "program_id", "left_semi").select("program_id", "program")
 
 
-def property_rows(property_name: str, rows: DataFrame, text: Column, query: str, stemmed: bool) -> DataFrame:
-    """course_id, property, matched_text, file_name, page_number of the rows whose text meets the query.
+FOUND = ["course_id", "property", "matched_text", "file_name", "page_number"]
 
-    rows has course_id, and the last two where the text is a file's; else they are null.
-    """
-    tokens = english.words(text)
-    tokens = english.stems(tokens) if stemmed else tokens
-    hit = rows.where(english.matches(tokens, query, stemmed))
-    place = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("file_name", "string"), ("page_number", "long"))]
-    return hit.select("course_id", F.lit(property_name).alias("property"), text.alias("matched_text"), *place)
 
+def vectors(tables: dict[str, DataFrame], stemmed: bool = False) -> DataFrame:
+    """FOUND and tokens of every text that a search looks into: the table to store, by property, and search again.
 
-def branches(tables: dict[str, DataFrame], request: Request) -> DataFrame:
-    """All matches, duplicates kept. tables by role: courses, topics, outcomes, ... as in the star."""
-    t, q = tables, request.query
+    tables by role: courses, topics, outcomes, ... as in the star. file_name and page_number are null but for files.
+    """
+    t = tables
     files = t["course_material_files"].where("status = 'INDEXED'")
     chunks = t["course_material_chunks"].join(files, "course_material_file_id").join(t["course_materials"].select("course_material_id", "course_id"), "course_material_id")
     plans = {
-        "course": (t["courses"], F.concat_ws(" ", "course_code", "course_num", "course_title"), english.course_code_query(q)),
-        "topic": (t["course_topics"], F.col("topic"), q),
-        "learning outcome": (t["learning_outcomes"], F.col("l_outcome"), q),
-        "assessment": (t["assessment_methods"], F.col("a_method"), q),
-        "description": (t["course_descriptions"], F.col("course_description"), q),
-        "material": (t["course_materials"], F.concat_ws(" ", "name", "type", "description"), q),
-        "material content": (chunks, F.col("content"), q),
+        "course": (t["courses"], F.concat_ws(" ", "course_code", "course_num", "course_title")),
+        "topic": (t["course_topics"], F.col("topic")),
+        "learning outcome": (t["learning_outcomes"], F.col("l_outcome")),
+        "assessment": (t["assessment_methods"], F.col("a_method")),
+        "description": (t["course_descriptions"], F.col("course_description")),
+        "material": (t["course_materials"], F.concat_ws(" ", "name", "type", "description")),
+        "material content": (chunks, F.col("content")),
     }
-    found = [property_rows(p, *plans[p], request.stemmed) for p in plans if p in request.properties]
-    return reduce(lambda a, b: a.unionByName(b), found)
+
+    def rows_of(name: str, rows: DataFrame, text: Column) -> DataFrame:
+        tokens = english.words(text)
+        place = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("file_name", "string"), ("page_number", "long"))]
+        return rows.select("course_id", F.lit(name).alias("property"), text.alias("matched_text"), *place, (english.stems(tokens) if stemmed else tokens).alias("tokens"))
+
+    return reduce(lambda a, b: a.unionByName(b), [rows_of(p, *plans[p]) for p in plans])
+
+
+def matches_in(stored: DataFrame, request: Request) -> DataFrame:
+    """FOUND of the rows of vectors() that meet the request, duplicates kept; a course code in the query is split."""
+    q, hit = request.query, F.lit(False)
+    for name in request.properties:
+        own = english.course_code_query(q) if name == "course" else q
+        hit = hit | ((F.col("property") == name) & english.matches(F.col("tokens"), own, request.stemmed))
+    return stored.where(F.col("property").isin(list(request.properties)) & hit).select(*FOUND)
+
+
+def branches(tables: dict[str, DataFrame], request: Request) -> DataFrame:
+    """All matches in texts that are read as they are, duplicates kept."""
+    return matches_in(vectors(tables, request.stemmed), request)
+
+
+def with_snippets(matches: DataFrame, request: Request) -> DataFrame:
+    """matches with snippet: the matched words of the text, marked."""
+    return matches.withColumn("snippet", english.snippet(request.query, stemmed=request.stemmed)(F.col("matched_text")))
 
 
 def scored(matches: DataFrame) -> DataFrame:

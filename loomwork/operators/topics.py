@@ -113,10 +113,29 @@ def filtered(topics: DataFrame, key: list[str], *, least_chars: int = 5, thresho
         rows = rows.where(ends_well(topic))
     stops = F.array(*[F.lit(w) for w in sorted(stop_words)])
     rows = rows.where((n == 1) | ~(F.array_contains(stops, F.element_at(low, 1)) | F.array_contains(stops, F.element_at(low, -1))))
-    inside = rows.join(whole, key).where((F.lower("topic") != F.col("_whole")) & F.col("_whole").contains(F.lower("topic"))).where("source <> 'match'").select(*key, "topic").distinct()
+    inside = contained(rows.where("source <> 'match'").select(*key, "topic"), whole, key)
     return rows.join(inside, [*key, "topic"], "left_anti").where(F.col("score") >= threshold)
 
 
+#: Characters that a topic and the one that it stands in must share, to meet.
+GRAM = 4
+
+
+def contained(topics: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
+    """key, topic of topics that stand within another text (key, _whole, lower-case) of their key, in any case.
+
+    A topic's first GRAM characters meet all runs of so many in the texts, so only likely pairs are compared; shorter
+    topics, which are few, meet all texts of their key.
+    """
+    low = topics.withColumn("_low", F.lower("topic"))
+    starts = F.sequence(F.lit(1), F.length("_whole") - (GRAM - 1))
+    grams = whole.where(F.length("_whole") >= GRAM).select(*key, "_whole", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_whole"), i, F.lit(GRAM))))).alias("_gram"))
+    likely = low.where(F.length("_low") >= GRAM).withColumn("_gram", F.substring("_low", 1, GRAM)).join(grams, [*key, "_gram"]).drop("_gram")
+    short = low.where(F.length("_low") < GRAM).join(whole, key)
+    both = likely.unionByName(short).where((F.col("_low") != F.col("_whole")) & F.col("_whole").contains(F.col("_low")))
+    return both.select(*key, "topic").distinct()
+
+
 def top_topics(topics: DataFrame, key: list[str], limit: int = TOPICS) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("score"), "topic"))
     return topics.withColumn("place", place).where(F.col("place") <= limit)

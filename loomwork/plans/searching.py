@@ -119,4 +119,4 @@ def search_stemmed(t: Star):
     """Stems have no SQL; tests hold them against known words."""
     names = ("courses", "course_topics", "learning_outcomes", "assessment_methods", "course_descriptions", "course_materials", "course_material_files", "course_material_chunks")
     found = S.branches({n: t[n] for n in names}, S.Request("licensing terms OR climates", stemmed=True))
-    return found.withColumn("snippet", english.snippet("licensing terms OR climates", stemmed=True)(F.col("matched_text"))).drop("matched_text")
+    return S.with_snippets(found, S.Request("licensing terms OR climates", stemmed=True)).drop("matched_text")
