@@ -81,13 +81,8 @@ def role_grants_by_program(t: Star):
     return A.role_grants(t.program_users.where("permission = 1"), t.course_programs.select("course_id", "program_id"), ["program_id"], 2)
 
 
-@query("SELECT u.user_id, c.course_id, CAST(1 AS BIGINT) AS role_id FROM (SELECT DISTINCT user_id FROM {program_users} WHERE user_id < 40) AS u CROSS JOIN {courses} c")
-def role_grants_administrators(t: Star):
-    return A.role_grants(t.program_users.where("user_id < 40"), t.courses, [], 1)
-
-
 @query("SELECT u.user_id, c.course_id, CAST(1 AS BIGINT) AS role_id FROM (SELECT DISTINCT user_id FROM {program_users} WHERE permission = 1) AS u CROSS JOIN {courses} c")
-def role_grants_all_administrators(t: Star):
+def role_grants_administrators(t: Star):
     return A.role_grants(t.program_users.where("permission = 1"), t.courses, [], 1)
 
 
@@ -136,18 +131,13 @@ def dashboard_page(t: Star):
     return rows.where("row between 16 and 30").select("course_id", "course_code", "course_num", "row")
 
 
-@query("SELECT COALESCE(a.program_id, b.program_id) AS program_id, a.program_id IS NOT NULL AS name_match, COALESCE(courses, 0) AS courses FROM (SELECT program_id FROM {programs} WHERE program LIKE 'NATION_2%') AS a FULL JOIN (SELECT program_id, COUNT(*) AS courses FROM {course_programs} WHERE course_id % 50 = 3 GROUP BY 1) AS b ON a.program_id = b.program_id")
+@query("SELECT COALESCE(a.program_id, b.program_id) AS program_id, a.program_id IS NOT NULL AS name_match, COALESCE(courses, '') AS courses FROM (SELECT program_id FROM {programs} WHERE program LIKE 'NATION_2%') AS a FULL JOIN (SELECT program_id, STRING_AGG(CAST(course_id AS STRING), ',' ORDER BY course_id) AS courses FROM {course_programs} GROUP BY 1) AS b ON a.program_id = b.program_id")
 def programs_by_name_or_course(t: Star):
+    """Programs that their name matches, merged with the programs of courses, each with its courses."""
     named = t.programs.where("program like 'NATION_2%'").select("program_id", F.lit(True).alias("named"))
-    held = t.course_programs.where("course_id % 50 = 3").groupBy("program_id").agg(F.count("*").alias("courses"))
-    return named.join(held, "program_id", "full").select("program_id", F.coalesce("named", F.lit(False)).alias("name_match"), F.coalesce("courses", F.lit(0)).alias("courses"))
-
-
-@query("SELECT COALESCE(a.program_id, b.program_id) AS program_id, a.program_id IS NOT NULL AS name_match, COALESCE(courses, 0) AS courses FROM (SELECT program_id FROM {programs} WHERE program LIKE 'NATION_2%') AS a FULL JOIN (SELECT program_id, COUNT(*) AS courses FROM {course_programs} GROUP BY 1) AS b ON a.program_id = b.program_id")
-def programs_by_name_or_any_course(t: Star):
-    named = t.programs.where("program like 'NATION_2%'").select("program_id", F.lit(True).alias("named"))
-    held = t.course_programs.groupBy("program_id").agg(F.count("*").alias("courses"))
-    return named.join(held, "program_id", "full").select("program_id", F.coalesce("named", F.lit(False)).alias("name_match"), F.coalesce("courses", F.lit(0)).alias("courses"))
+    listed = F.array_join(F.array_sort(F.collect_list("course_id")).cast("array<string>"), ",")
+    held = t.course_programs.groupBy("program_id").agg(listed.alias("courses"))
+    return named.join(held, "program_id", "full").select("program_id", F.coalesce("named", F.lit(False)).alias("name_match"), F.coalesce("courses", F.lit("")).alias("courses"))
 
 
 @query("SELECT course_id, course_code FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY year DESC, course_id) AS r, (SELECT COUNT(*) FROM {courses}) AS n FROM {courses}) AS x WHERE r > 15 * ((n - 1) // 15)")

@@ -17,14 +17,25 @@ def standards_list(t: Star):
     return R.standards_list(t.courses, t.standards, t.standards_outcome_maps, t.standard_scales)
 
 
-@query("SELECT l_outcome_id, MAX(CASE WHEN a_method = 'Quiz' THEN 1 END) AS c0, MAX(CASE WHEN a_method = 'midterm' THEN 1 END) AS c1 FROM {outcome_assessments} o JOIN {assessment_methods} a ON a.a_method_id = o.a_method_id GROUP BY 1")
+_METHODS = ["final exam", "Final", "lab REPORT", "Quiz", "assignment", "Final Exam", "midterm"]
+_ACTIVITIES = ["discussion", "Group Work", "lecture", "field TRIP", "lab"]
+
+
+def _marks(column: str, labels: list[str]) -> str:
+    return ", ".join(f"MAX(CASE WHEN {column} = '{x}' THEN 1 END) AS c{i}" for i, x in enumerate(labels))
+
+
+@query(f"SELECT l_outcome_id, {_marks('a_method', _METHODS)} FROM {{outcome_assessments}} o JOIN {{assessment_methods}} a ON a.a_method_id = o.a_method_id GROUP BY 1")
 def clo_assessment_pivot(t: Star):
-    return R.alignment_pivot(t.outcome_assessments, t.assessment_methods, "a_method_id", "a_method", ["Quiz", "midterm"]).toDF("l_outcome_id", "c0", "c1")
+    names = ["l_outcome_id", *[f"c{i}" for i in range(len(_METHODS))]]
+    # Spark's pivot columns go by name in any case, so labels that differ in case only are told apart by number
+    number = F.array_position(F.array(*map(F.lit, _METHODS)), F.col("a_method")).cast("string")
+    return R.alignment_pivot(t.outcome_assessments, t.assessment_methods.withColumn("number", number), "a_method_id", "number", [str(i + 1) for i in range(len(_METHODS))]).toDF(*names)
 
 
-@query("SELECT l_outcome_id, MAX(CASE WHEN l_activity = 'lab' THEN 1 END) AS c0, MAX(CASE WHEN l_activity = 'lecture' THEN 1 END) AS c1 FROM {outcome_activities} o JOIN {learning_activities} a ON a.l_activity_id = o.l_activity_id GROUP BY 1")
+@query(f"SELECT l_outcome_id, {_marks('l_activity', _ACTIVITIES)} FROM {{outcome_activities}} o JOIN {{learning_activities}} a ON a.l_activity_id = o.l_activity_id GROUP BY 1")
 def clo_activity_pivot(t: Star):
-    return R.alignment_pivot(t.outcome_activities, t.learning_activities, "l_activity_id", "l_activity", ["lab", "lecture"]).toDF("l_outcome_id", "c0", "c1")
+    return R.alignment_pivot(t.outcome_activities, t.learning_activities, "l_activity_id", "l_activity", _ACTIVITIES).toDF("l_outcome_id", *[f"c{i}" for i in range(len(_ACTIVITIES))])
 
 
 @query("SELECT cp.course_id, cp.program_id, m.pl_outcome_id, m.l_outcome_id, STRING_AGG(abbreviation, ' / ' ORDER BY m.map_scale_id) AS levels FROM {outcome_maps} m JOIN {learning_outcomes} l ON l.l_outcome_id = m.l_outcome_id JOIN {program_learning_outcomes} p ON p.pl_outcome_id = m.pl_outcome_id JOIN {course_programs} cp ON cp.course_id = l.course_id AND cp.program_id = p.program_id JOIN {mapping_scales} s ON s.map_scale_id = m.map_scale_id GROUP BY 1, 2, 3, 4")

@@ -150,3 +150,21 @@ def syllabus_topics_cleaned(t: Star):
     rows = t.course_topics.select("course_id", F.explode(F.array(dressed, F.lit("Week 1 - 2"), F.lit("Midterm exam"), F.lit("3)"))).alias("topic"))
     listed = rows.groupBy("course_id").agg(F.collect_list("topic").alias("topics"))
     return listed.select("course_id", F.explode(Y.clean_topics(F.col("topics"))).alias("topic"))
+
+
+#: Names and descriptions of materials, and the type of each.
+_KINDS = [("Smith, J. 2020. Soils.", "", "textbook"), ("Smith, J. 2020. Soils.", "course materials", "article"), ("Vice: a film", "", "video"), ("ArcGIS", "", "software"), ("Portal", "", "website"), ("A", "optional text", "text"), ("A Routledge volume", "", "book"), ("Soils, 3rd edition", "", "textbook"), ("lecture slides", "", "lecture slides"), ("Handheld", "calculator", "equipment"), ("x", "digital resources", "digital resource"), ("A documentary", "", "video"), ("case study 3", "", "case study"), ("podcast", "", "podcast"), ("x", "movie", "movie"), ("x", "", "course resource")]
+
+
+@query("SELECT p_partkey AS id, CASE p_partkey % 16 " + " ".join(f"WHEN {i} THEN '{kind}'" for i, (_, _, kind) in enumerate(_KINDS)) + " END AS kind FROM {part}")
+def material_kinds(t: Star):
+    one = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _KINDS]), (F.col("p_partkey") % 16 + 1).cast("int"))
+    return t.part.select(F.col("p_partkey").alias("id"), Y.material_type(one(0), one(1)).alias("kind"))
+
+
+@query("SELECT p_partkey AS document_id, UNNEST(CASE WHEN p_partkey % 2 = 0 THEN [p_name, 'On ' || p_brand, 'three little words here'] ELSE [p_name, 'On ' || p_brand] END) AS topic FROM {part}")
+def syllabus_text_topics(t: Star):
+    """Topics in lines of a schedule: after leads, as plain lines, and as list items, one of them under its marker."""
+    even = F.concat(F.lit("Course Schedule\nWeek\nModule 2: "), "p_name", F.lit("\nSep 5, On "), "p_brand", F.lit("\nthree little words here\nshort\nA whole sentence is no topic.\nUniversity Policies\n- none"))
+    odd = F.concat(F.lit("Topics\n1. "), "p_name", F.lit("\n2.\nOn "), "p_brand", F.lit("\nthree little words here\nCONTACT\n3. none"))
+    return Y.text_topics(t.part.select(F.col("p_partkey").alias("document_id"), F.when(F.col("p_partkey") % 2 == 0, even).otherwise(odd).alias("text")))

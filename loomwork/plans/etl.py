@@ -164,16 +164,10 @@ def hamming_loss(t: Star):
     return V.hamming_loss(t.orders.select(V.labels_of(truth).alias("truth"), V.labels_of(guess).alias("guess")), "truth", "guess")
 
 
-@query("SELECT l_outcome_id, pl_outcome_id, 'clo-' || CAST(l_outcome_id AS STRING) || '__plo-' || CAST(pl_outcome_id AS STRING) AS id FROM {course_programs} cp JOIN {learning_outcomes} l ON l.course_id = cp.course_id JOIN {program_learning_outcomes} p ON p.program_id = cp.program_id WHERE cp.program_id = 2")
+@query("SELECT l_outcome_id, pl_outcome_id, 'clo-' || CAST(l_outcome_id AS STRING) || '__plo-' || CAST(pl_outcome_id AS STRING) AS id, MD5(l_outcome || ' | ' || pl_outcome) AS inputs FROM {course_programs} cp JOIN {learning_outcomes} l ON l.course_id = cp.course_id JOIN {program_learning_outcomes} p ON p.program_id = cp.program_id")
 def prompt_lines(t: Star):
-    lines = sinks.prompt_lines(t.learning_outcomes, t.program_learning_outcomes, t.course_programs.where("program_id = 2"))
-    return lines.select("l_outcome_id", "pl_outcome_id", F.get_json_object("value", "$.id").alias("id"))
-
-
-@query("SELECT l_outcome_id, pl_outcome_id, 'clo-' || CAST(l_outcome_id AS STRING) || '__plo-' || CAST(pl_outcome_id AS STRING) AS id FROM {course_programs} cp JOIN {learning_outcomes} l ON l.course_id = cp.course_id JOIN {program_learning_outcomes} p ON p.program_id = cp.program_id")
-def prompt_lines_all_programs(t: Star):
     lines = sinks.prompt_lines(t.learning_outcomes, t.program_learning_outcomes, t.course_programs)
-    return lines.select("l_outcome_id", "pl_outcome_id", F.get_json_object("value", "$.id").alias("id"))
+    return lines.select("l_outcome_id", "pl_outcome_id", F.get_json_object("value", "$.id").alias("id"), F.md5(F.get_json_object("value", "$.inputs")).alias("inputs"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_orderkey END AS clo, CASE WHEN o_orderkey % 5 = 4 THEN NULL ELSE o_custkey END AS plo, o_orderkey % 5 = 4 AS bad FROM {orders}")

@@ -48,3 +48,13 @@ def event_age(t: Star):
     seconds = F.lit(1767225600) - F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000000)
     ago = P.relative_time(seconds)
     return t.events.select("event_id", F.when(seconds >= 2592000, ago).otherwise("recent").alias("ago"))
+
+
+_UNITS = [("year", 31536000), ("month", 2592000), ("week", 604800), ("day", 86400), ("hour", 3600), ("minute", 60), ("second", 1)]
+
+
+@query("WITH x AS (SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 31536000 WHEN 1 THEN 2592000 WHEN 2 THEN 604800 WHEN 3 THEN 86400 WHEN 4 THEN 3600 WHEN 5 THEN 60 ELSE 1 END * (o_custkey % 3 + 1) AS s FROM {orders}) SELECT id, CASE " + " ".join(f"WHEN s >= {n} THEN CAST(s // {n} AS STRING) || ' {unit}' || CASE WHEN s // {n} > 1 THEN 's ago' ELSE ' ago' END" for unit, n in _UNITS) + " END AS ago FROM x")
+def relative_times(t: Star):
+    """Ages of one to three of each unit."""
+    unit = F.element_at(F.array(*[F.lit(n) for _, n in _UNITS]), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    return t.orders.select(F.col("o_orderkey").alias("id"), P.relative_time((unit * (F.col("o_custkey") % 3 + 1)).cast("long")).alias("ago"))

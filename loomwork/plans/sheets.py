@@ -50,9 +50,19 @@ def outcome_sheet(t: Star):
     return rows.select("pl_outcome_id", "program_id", "plo_category", F.row_number().over(order).cast("long").alias("place"))
 
 
-@query("SELECT l_outcome_id, MAX(CASE WHEN pl_outcome_id = 1 THEN 1 END) AS c0, MAX(CASE WHEN pl_outcome_id = 2 THEN 1 END) AS c1, MAX(CASE WHEN pl_outcome_id = 3 THEN 1 END) AS c2 FROM {outcome_maps} WHERE map_scale_id <> 0 GROUP BY 1")
+@query("SELECT l_outcome_id, MAX(CASE WHEN plo_category = 'Knowledge' THEN 1 END) AS c0, MAX(CASE WHEN plo_category = 'Skills' THEN 1 END) AS c1, MAX(CASE WHEN plo_category = 'Attitudes' THEN 1 END) AS c2, MAX(CASE WHEN plo_category IS NULL THEN 1 END) AS c3 FROM {outcome_maps} m JOIN {program_learning_outcomes} p ON p.pl_outcome_id = m.pl_outcome_id LEFT JOIN {p_l_o_categories} c ON c.plo_category_id = p.plo_category_id WHERE map_scale_id <> 0 GROUP BY 1")
 def outcome_pivot(t: Star):
-    return M.pivot_marks(t.outcome_maps.where("map_scale_id <> 0"), ["l_outcome_id"], F.col("pl_outcome_id").cast("string"), ["1", "2", "3"]).toDF("l_outcome_id", "c0", "c1", "c2")
+    """The categories of the outcomes that each CLO maps to."""
+    plos = t.program_learning_outcomes.join(t.p_l_o_categories, "plo_category_id", "left").select("pl_outcome_id", F.coalesce("plo_category", F.lit(M.UNCATEGORIZED)).alias("category"))
+    rows = t.outcome_maps.where("map_scale_id <> 0").join(plos, "pl_outcome_id")
+    return M.pivot_marks(rows, ["l_outcome_id"], F.col("category"), ["Knowledge", "Skills", "Attitudes", M.UNCATEGORIZED]).toDF("l_outcome_id", "c0", "c1", "c2", "c3")
+
+
+@query("SELECT DISTINCT l_outcome_id, COALESCE(plo_shortphrase, pl_outcome) AS heading FROM {outcome_maps} m JOIN {program_learning_outcomes} p ON p.pl_outcome_id = m.pl_outcome_id WHERE map_scale_id <> 0")
+def outcome_marks(t: Star):
+    """The cells of the info table that hold a mark, whatever the number of outcomes."""
+    rows = t.outcome_maps.where("map_scale_id <> 0").join(t.program_learning_outcomes.select("pl_outcome_id", "plo_shortphrase", "pl_outcome"), "pl_outcome_id")
+    return M.marks(rows, ["l_outcome_id"], F.coalesce("plo_shortphrase", "pl_outcome"))
 
 
 @query("SELECT DISTINCT p_size AS document_id, p_name AS name, CAST(LENGTH(p_name) AS STRING) AS description FROM {part}")

@@ -35,9 +35,10 @@ def uri_parts(t: Star):
     return t.part.select(F.col("p_partkey").alias("id"), files.split_uri(uri).alias("u")).select("id", "u.bucket", "u.key")
 
 
-@query("SELECT c_custkey AS id, c_mktsegment = UPPER(c_mktsegment) AS upper, FALSE AS title FROM {customer}")
+@query("SELECT c_custkey AS id, c_custkey % 3 = 0 AS upper, c_custkey % 3 = 1 AS title FROM {customer}")
 def letter_cases(t: Star):
-    return t.customer.select(F.col("c_custkey").alias("id"), X.upper_case(F.col("c_mktsegment")).alias("upper"), X.title_case(F.col("c_mktsegment")).alias("title"))
+    word = F.when(F.col("c_custkey") % 3 == 0, F.upper("c_mktsegment")).when(F.col("c_custkey") % 3 == 1, F.initcap("c_mktsegment")).otherwise(F.lower("c_mktsegment"))
+    return t.customer.select(F.col("c_custkey").alias("id"), X.upper_case(word).alias("upper"), X.title_case(word).alias("title"))
 
 
 @query("SELECT program_id, 'courses' AS view, 'A1,B2' AS codes, CAST(program_id AS STRING) || ',' || CAST(program_id + 1 AS STRING) AS programs FROM {programs}")

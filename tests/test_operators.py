@@ -226,6 +226,11 @@ def test_headings_that_end_a_description(line, upper, bullet, ends):
     assert syllabus.ends_description(line, upper, bullet) == ends
 
 
+@pytest.mark.parametrize("lines, found", [(["Module 2: Soil", "Sept. 12 Water", "Week", "a plain line here", "no", "A whole sentence here."], ["Soil", "Water", "a plain line here"]), (["ii. Soil", "a plain line here", "3)", "Water", "- Fire"], ["Soil", "Water", "Fire"]), ([], [])])
+def test_topics_of_lines(lines, found):
+    assert syllabus.topics_of_lines(lines) == found
+
+
 def test_clean_materials(spark):
     rows = [(1, 0, "Soils  of  the north", "book", "a"), (1, 1, "soils of the north:", "book", "longer"), (1, 2, "Canvas", "", ""), (1, 3, "Videos: films – all", "video", "Videos: films – all"), (1, 4, "Slides posted on canvas", "", ""), (1, 5, "The textbook posted on canvas", "", ""), (1, 6, "September 5 lab", "", ""), (1, 7, "one two three four five six seven eight nine", "", "Resource for course"), (1, 8, "There is no textbook", "", ""), (1, 9, "Reading assignments", "", ""), (1, 10, None, None, None), (2, 0, "* note this", "", "")]
     got = syllabus.clean_materials(spark.createDataFrame(rows, "document_id long, place int, name string, type string, description string")).orderBy("place").collect()
