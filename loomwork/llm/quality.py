@@ -1,7 +1,9 @@
 """Quality classifier: a conditional random field labels lines good or bad by their own and their neighbours' features.
 
-Labels are of documents and each line learns its document's. The forward-backward marginals of a document's lines,
-weighted by length, make its score.
+Labels are of documents, so lines to learn from are labelled first: a good document's lines are good, a bad one's are
+bad but for those that a model of single lines finds clearly good. As documents are mostly of one kind, lines of bad
+documents are spliced into good ones too, so the field learns to change its mind within a document. The
+forward-backward marginals of a document's lines, weighted by length, make its score.
 """
 
 from __future__ import annotations
@@ -18,8 +20,8 @@ from loomwork.llm.labelled import training_rows
 from loomwork.llm.textbytes import NOT_SPACE, Hashes, spans, text_slices
 
 ROUNDS, RATE, L2 = 150, 0.1, 1e-4
-#: A line is called bad below this marginal.
-GOOD = 0.5
+#: A line is called bad below this marginal; a bad document's line counts as good in training from CLEARLY_GOOD on.
+GOOD, CLEARLY_GOOD = 0.5, 0.9
 #: Score of a document without labels to learn from.
 PRIOR = 0.5
 
@@ -87,6 +89,34 @@ def with_neighbours(x: np.ndarray, text: np.ndarray) -> np.ndarray:
     return np.hstack((x, before, after))
 
 
+def line_labels(x: np.ndarray, text: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """1 for lines of good documents and lines of bad ones that look clearly good; a bad one's worst line stays 0."""
+    own, alone = labels[text].astype(np.int64), np.arange(len(x))
+    w, _ = crf.fit(lambda w: x @ w[:-1] + w[-1], lambda r: np.append(r @ x, r.sum()), x.shape[1] + 1, own, alone, np.ones_like(alone), rounds=ROUNDS, rate=RATE, l2=L2)
+    p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    order = np.lexsort((p, text))
+    worst = order[np.flatnonzero(np.diff(text[order], prepend=-1))]
+    out = np.where(p >= CLEARLY_GOOD, 1, own)
+    out[worst] = own[worst]
+    return out
+
+
+def spliced(text: np.ndarray, y: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, sequence) of all documents' lines, then of good documents with lines of a bad one put in the middle."""
+    begins = np.flatnonzero(np.diff(text, prepend=-1))
+    ends, kind = np.append(begins, len(text))[1:], labels[text[begins]]
+    rows, numbers, new = [np.arange(len(text))], [text], int(text[-1]) + 1 if len(text) else 0
+    for g, b in zip(np.flatnonzero(kind == 1), np.flatnonzero(kind == 0), strict=False):
+        middle = begins[g] + (ends[g] - begins[g] + 1) // 2
+        bad = np.arange(begins[b], ends[b])
+        bad = bad[y[bad] == 0]
+        put = bad[: (len(bad) + 1) // 2]
+        rows.append(np.concatenate((np.arange(begins[g], middle), put, np.arange(middle, ends[g]))))
+        numbers.append(np.full(len(rows[-1]), new))
+        new += 1
+    return np.concatenate(rows), np.concatenate(numbers)
+
+
 def train(rows: pa.Table) -> LineModel | None:
     """Learns from text and label; None without both labels."""
     labels = rows.column("label").to_numpy()
@@ -98,10 +128,13 @@ def train(rows: pa.Table) -> LineModel | None:
         parts.append((x, text + first))
     x, text = (np.concatenate(p) for p in zip(*parts, strict=True))
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-    z = with_neighbours((x - mean) / scale, text)
-    starts = np.flatnonzero(np.diff(text, prepend=-1))
-    lengths = np.diff(np.append(starts, len(text)))
-    w, steps = crf.fit(lambda w: z @ w[:-1] + w[-1], lambda r: np.append(r @ z, r.sum()), z.shape[1] + 1, labels[text].astype(np.int64), starts, lengths, rounds=ROUNDS, rate=RATE, l2=L2)
+    x = (x - mean) / scale
+    y = line_labels(x, text, labels)
+    at, sequence = spliced(text, y, labels)
+    z, y = with_neighbours(x[at], sequence), y[at]
+    starts = np.flatnonzero(np.diff(sequence, prepend=-1))
+    lengths = np.diff(np.append(starts, len(sequence)))
+    w, steps = crf.fit(lambda w: z @ w[:-1] + w[-1], lambda r: np.append(r @ z, r.sum()), z.shape[1] + 1, y, starts, lengths, rounds=ROUNDS, rate=RATE, l2=L2)
     return LineModel(mean, scale, w, steps)
 
 
@@ -121,8 +154,8 @@ def document_scores(p: np.ndarray, size: np.ndarray, text: np.ndarray, n: int) -
     return np.bincount(text, weights=p * weight, minlength=n) / np.bincount(text, weights=weight, minlength=n)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, lines_too: bool = True) -> DataFrame:
-    """doc_id, score and, if lines_too, bad_lines array<int> (from 0) of each row of docs.
+def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score and bad_lines array<int> (from 0) of each row of docs.
 
     docs has doc_id and text, labels has doc_id and quality. A null or empty text is one empty line, scored like
     others. Repeated rows and null doc_ids are scored, other columns are left out, an empty table gives no rows.
@@ -136,14 +169,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, lines_too: bool = True) ->
                 p, size, text = line_marginals(model, data, offsets)
                 n = end - first
                 out = [part.column(0).slice(first, n), pa.array(document_scores(p, size, text, n))]
-                if lines_too:
-                    bad = np.flatnonzero(p < GOOD)
-                    place = bad - np.searchsorted(text, text[bad])
-                    out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[bad], np.arange(n + 1)).astype(np.int32)), pa.array(place.astype(np.int32))))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "score", "bad_lines"][: len(out)])
-
-    schema = "doc_id long, score double" + ", bad_lines array<int>" * lines_too
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, schema)
+                bad = np.flatnonzero(p < GOOD)
+                place = bad - np.searchsorted(text, text[bad])
+                out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[bad], np.arange(n + 1)).astype(np.int32)), pa.array(place.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "score", "bad_lines"])
+
+    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, "doc_id long, score double, bad_lines array<int>")
 
 
 def with_quality(docs: DataFrame, labels: DataFrame, good_from: float) -> DataFrame:
