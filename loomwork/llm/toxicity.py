@@ -71,8 +71,9 @@ def train(rows: pa.Table) -> Tagger:
     parts = []
     for first, _, data, offsets in text_slices(rows.column("text")):
         found, _, _, text = features(data, offsets)
-        parts.append((found, text + first))
+        parts.append((found, (text + first).astype(np.int32)))
     found, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    del parts
     toxic = labels.astype(float)
     known = toxic_buckets(found, text, toxic)
     tagged = np.zeros(len(found), bool)
@@ -126,8 +127,8 @@ def document_scores(p: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, spans_too: bool = True) -> DataFrame:
-    """doc_id, score and, if spans_too, offenders array<struct<start, end, p>> (bytes of UTF-8) of each row of docs.
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, score and offenders array<struct<start, end, p>> (bytes of UTF-8) of each row of docs.
 
     docs has doc_id and text, labels has doc_id and toxic. A null, empty or wordless text scores 0. Repeated rows and
     null doc_ids are scored like others, other columns are left out, an empty table gives no rows. Without labels of
@@ -141,13 +142,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, spans_too: bool = True) -
             for first, end, data, offsets in text_slices(part.column(1)):
                 p, starts, ends, text = tag(tagger, data, offsets)
                 out = [part.column(0).slice(first, end - first), pa.array(document_scores(p, text, end - first))]
-                if spans_too:
-                    bad = np.flatnonzero(p >= OFFENDS)
-                    each = pa.StructArray.from_arrays([pa.array(starts[bad] - offsets[text[bad]]), pa.array(ends[bad] - offsets[text[bad]]), pa.array(p[bad])], fields=list(span))
-                    out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[bad], np.arange(end - first + 1)).astype(np.int32)), each))
-                yield pa.RecordBatch.from_arrays(out, ["doc_id", "score", "offenders"][: len(out)])
+                bad = np.flatnonzero(p >= OFFENDS)
+                each = pa.StructArray.from_arrays([pa.array(starts[bad] - offsets[text[bad]]), pa.array(ends[bad] - offsets[text[bad]]), pa.array(p[bad])], fields=list(span))
+                out.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[bad], np.arange(end - first + 1)).astype(np.int32)), each))
+                yield pa.RecordBatch.from_arrays(out, ["doc_id", "score", "offenders"])
 
-    schema = "doc_id long, score double" + ", offenders array<struct<start:long,end:long,p:double>>" * spans_too
+    schema = "doc_id long, score double, offenders array<struct<start:long,end:long,p:double>>"
     return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, schema)
 
 
