@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,9 +33,32 @@ def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    for made in _scratch:
+        made.append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch(result: str) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Gives a function that stores a result under that name; the other tables stored inside go at the end."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _scratch.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(stored(df, result))
+        return kept[-1]
+
+    try:
+        yield keep
+        release(*[t for t in made if all(t is not k for k in kept)])
+    finally:
+        _scratch.remove(made)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that stored() made; nothing that is still to be computed may read them."""
     for t in tables:

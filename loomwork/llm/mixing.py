@@ -3,18 +3,19 @@
 The words of a source, its documents in a fixed order, form one stream that is cut into blocks of equal length.
 Each output shard draws how many of its slots each source fills (a multinomial draw: one uniform number a slot). The
 k-th slot of a source takes block permute(k mod blocks) of its stream, with a new permutation after each pass, so no
-block is taken more often than there are passes. Nothing is keyed by source alone where rows are many: word
-positions are summed within (source, bucket) and over shards, which stay small for a source of any size.
+block is taken more often than there are passes. Draws beyond a source's slots are dealt anew, where they were drawn, to
+the sources that lack slots, so every shard but the last is full. Nothing is keyed by source alone where rows are many:
+running totals go in two levels.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import WORD, stored
+from loomwork.llm.common import WORD, running_before, stored
 from loomwork.llm.feistel import permute
 
 #: Uniform numbers are integers below this; the table that finds their source has BINS rows or a little more.
@@ -42,7 +43,8 @@ class Mix:
 class Mixture:
     """Tables of one mix.
 
-    sources: sid, source, size, target, blocks, slots. documents: doc_id, sid, size, start (word of the stream).
+    sources: sid, source, size, target, blocks, slots. documents: doc_id, key (a hash of doc_id, source and text), sid,
+    size, start (word of the stream).
     slots: shard, sid, pass, block (of the source's stream), one row a slot.
     """
 
@@ -86,18 +88,24 @@ def _draws(sources: DataFrame, mix: Mix) -> DataFrame:
 
 
 def _slots(sources: DataFrame, mix: Mix) -> DataFrame:
-    """Draws, made to meet each source's slots: what is drawn beyond them goes, what is missing fills a last shard."""
+    """Draws, made to meet each source's slots: what is drawn beyond them goes to sources that lack some."""
     draws = stored(_draws(sources, mix), "mix-draws")
-    first = F.sum("n").over(Window.partitionBy("sid").orderBy("shard")) - F.col("n")
-    placed = draws.withColumn("first", first).join(sources.select("sid", "blocks", "slots"), "sid")
-    placed = placed.withColumn("n", F.least("n", F.col("slots") - F.col("first"))).where("n > 0")
-    drawn = draws.groupBy("sid").agg(F.sum("n").alias("first"))
-    last = draws.agg((F.coalesce(F.max("shard"), F.lit(-1)) + 1).alias("shard")).first()[0]
-    missing = sources.join(drawn, "sid", "left").withColumn("first", F.coalesce("first", F.lit(0))).where("slots > first")
-    missing = missing.select(F.lit(last).cast("long").alias("shard"), "sid", (F.col("slots") - F.col("first")).alias("n"), "first", "blocks", "slots")
+    placed = running_before(draws, ["sid"], "shard", "n", "first").join(sources.select("sid", "blocks", "slots"), "sid")
+    within = F.greatest(F.lit(0).cast("long"), F.least("n", F.col("slots") - F.col("first")))
+    placed = stored(placed.select("shard", "sid", "blocks", "first", within.alias("n"), (F.col("n") - within).alias("over")), "mix-placed")
+    # units beyond a source's slots, by shard, meet as many units that sources lack, in a pseudorandom order
+    over = running_before(placed.groupBy("shard").agg(F.sum("over").alias("over")), [], "shard", "over", "before")
+    seats = over.where("over > 0").select("shard", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("over") - 1)).alias("unit"))
+    units = placed.agg(F.sum("over")).first()[0] or 0
+    drawn = placed.groupBy("sid").agg(F.sum("n").alias("drawn"))
+    lack = sources.join(drawn, "sid", "left").select("sid", "blocks", F.coalesce("drawn", F.lit(0)).alias("drawn"), (F.col("slots") - F.coalesce("drawn", F.lit(0))).alias("lack"))
+    lack = lack.withColumn("before", F.sum("lack").over(Window.orderBy("sid")) - F.col("lack")).where("lack > 0")
+    claims = lack.select("sid", "blocks", "drawn", "before", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("lack") - 1)).alias("at"))
+    claims = claims.select("sid", "blocks", (F.col("drawn") + F.col("at") - F.col("before")).alias("k"), permute(F.col("at"), F.lit(max(1, units)).cast("long"), F.xxhash64(F.lit(mix.seed))).alias("unit"))
+    dealt = claims.join(seats, "unit").select("shard", "sid", "blocks", "k")
     tasks = (sources.agg(F.sum("slots")).first()[0] or 0) // TASK_SLOTS + 1
-    runs = placed.select(missing.columns).unionByName(missing).repartition(tasks, "shard", "sid")
-    each = runs.select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k"))
+    runs = placed.where("n > 0").repartition(tasks, "shard", "sid")
+    each = runs.select("shard", "sid", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("k")).unionByName(dealt)
     passes = F.call_function("div", "k", F.col("blocks"))
     key = F.xxhash64("sid", passes, F.lit(mix.seed))
     return each.select("shard", "sid", passes.alias("pass"), permute(F.col("k") % F.col("blocks"), F.col("blocks"), key).alias("block"))
@@ -111,15 +119,14 @@ def mix_sources(docs: DataFrame, mix: Mix = Mix()) -> Mixture:
     empty tables. Other columns are left out. Reruns give the same mixture.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = stored(docs.select("doc_id", "source", size.alias("size")), "mix-sizes")
+    sizes = stored(docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "source", "text").alias("key")), "mix-sizes")
     sources = stored(_targets(sizes, mix), "mix-sources")
     buckets = sizes.count() // BUCKET_ROWS + 1
-    rows = sizes.join(sources.select("sid", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "sid", "size", F.pmod(F.xxhash64("doc_id", "size"), F.lit(buckets)).alias("bucket"))
-    sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket"))
-    sums = sums.select("sid", "bucket", (F.sum("in_bucket").over(Window.partitionBy("sid").orderBy("bucket")) - F.col("in_bucket")).alias("base"))
-    inner = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+    rows = sizes.join(sources.select("sid", F.col("source").alias("of")), F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "key", "sid", "size", F.pmod("key", F.lit(buckets)).alias("bucket"))
+    sums = running_before(rows.groupBy("sid", "bucket").agg(F.sum("size").alias("in_bucket")), ["sid"], "bucket", "in_bucket", "base").drop("in_bucket")
+    inner = F.sum("size").over(Window.partitionBy("sid", "bucket").orderBy("doc_id", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = rows.withColumn("inner", inner).join(sums, ["sid", "bucket"])
-    documents = placed.select("doc_id", "sid", "size", (F.col("base") + F.col("inner")).alias("start"))
+    documents = placed.select("doc_id", "key", "sid", "size", (F.col("base") + F.col("inner")).alias("start"))
     return Mixture(mix, sources, documents, _slots(sources, mix))
 
 
@@ -128,7 +135,7 @@ def words_taken(mixture: Mixture) -> DataFrame:
     length = mixture.mix.block_words
     block = lambda word: F.call_function("div", word, F.lit(length))
     end = F.col("start") + F.col("size")
-    some = mixture.documents.where("size > 0").withColumn("block", F.explode(F.sequence(block(F.col("start")), block(end - 1))))
+    some = mixture.documents.drop("key").where("size > 0").withColumn("block", F.explode(F.sequence(block(F.col("start")), block(end - 1))))
     overlap = F.least(end, (F.col("block") + 1) * length) - F.greatest("start", F.col("block") * length)
     times = mixture.slots.groupBy("sid", "block").agg(F.count("*").alias("times"))
     parts = some.withColumn("overlap", overlap).join(times, ["sid", "block"], "left")
@@ -138,11 +145,18 @@ def words_taken(mixture: Mixture) -> DataFrame:
     return taken.unionByName(none).join(sources, "sid").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _numbered(rows: DataFrame, key: Column, *order: Column) -> DataFrame:
+    """rows with _key and _nth, which tells equal rows apart."""
+    keyed = rows.withColumn("_key", key)
+    return keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
+
+
 def block_texts(docs: DataFrame, mixture: Mixture) -> DataFrame:
-    """shard, sid, pass, block, text: each slot with its block's words. docs needs unique doc_ids here."""
+    """shard, sid, pass, block, text: each slot with its block's words, joined by blanks. docs are the mixture's."""
     length = mixture.mix.block_words
-    words = docs.select("doc_id", F.regexp_extract_all("text", F.lit(f"({WORD})"), 1).alias("words")).where("size(words) > 0")
-    pieces = mixture.documents.join(words, "doc_id")
+    own = F.xxhash64("doc_id", "source", "text")
+    words = _numbered(docs, own, F.lit(0)).select("_key", "_nth", F.regexp_extract_all("text", F.lit(f"({WORD})"), 1).alias("words")).where("size(words) > 0")
+    pieces = _numbered(mixture.documents, F.col("key"), F.col("start")).join(words, ["_key", "_nth"])
     block = lambda word: F.call_function("div", word, F.lit(length))
     end = F.col("start") + F.col("size")
     pieces = pieces.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(end - 1))))
@@ -160,19 +174,17 @@ def passes_of(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     All of a row's words in a pass leave its text as it is; else each piece keeps the white space after its words.
     Other columns stay as they are. Null doc_ids and repeated rows count as rows of their own.
     """
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text"))
-    mixture = mix_sources(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), mix)
+    mixture = mix_sources(docs, mix)
     length = mix.block_words
     block = lambda word: F.call_function("div", word, F.lit(length))
     end = F.col("start") + F.col("size")
-    rows = mixture.documents.where("size > 0").withColumnRenamed("doc_id", "_key")
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("sid", "start")))
+    rows = _numbered(mixture.documents, F.col("key"), F.col("start")).where("size > 0")
     parts = rows.withColumn("block", F.explode(F.sequence(block(F.col("start")), block(end - 1)))).join(mixture.slots, ["sid", "block"])
     n = F.least(end, (F.col("block") + 1) * length) - F.greatest("start", F.col("block") * length)
     head, place = F.lit(length) - F.col("start") % length, (F.col("block") - block(F.col("start"))).cast("int")
     parts = parts.select("_key", "_nth", F.col("pass").alias("_pass"), F.col("size").alias("_size"), head.alias("_head"), n.alias("n"), place.alias("place"))
     passes = parts.groupBy("_key", "_nth", "_pass", "_size", "_head").agg(F.sum("n").alias("_taken"), F.array_sort(F.collect_list("place")).alias("_places"))
-    numbered = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("doc_id")))
+    numbered = _numbered(docs, F.xxhash64("doc_id", "source", "text"), F.lit(0))
     pattern = F.concat(F.lit(f"^{SPACE}*+{SPACED_WORDS}{{1,"), F.col("_head").cast("string"), F.lit(f"}}+|{SPACED_WORDS}{{1,{length}}}+"))
     pieces = F.regexp_extract_all("text", pattern, F.lit(0))  # by block: the first is what is left of the block it starts in
     cut = F.transform(F.array(pieces), lambda w: F.array_join(F.transform("_places", lambda i: F.get(w, i)), ""))  # found once

@@ -5,11 +5,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomwork.llm import ann, bpe, licenses, media, minhash, mixing, quality, tokenstore, toxicity, urls
-from loomwork.llm.common import held_out, shared_dir, table
+from loomwork.llm.common import held_out, scratch, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,14 +33,15 @@ def tokenizer() -> tuple[str, str]:
 GOOD_FROM, TOXIC_FROM = 0.3, 0.5
 
 
-def _predicted(scores: DataFrame, at_least: float) -> DataFrame:
+def _predicted(scores: DataFrame, at_least: float, *more: Column) -> DataFrame:
     predicted = (F.col("score") >= at_least).cast("int").alias("predicted")
-    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted)
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", predicted, *more)
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lines_too=False)
-    return _predicted(scores, GOOD_FROM)
+    """Also n_bad_lines, of the operator's bad lines."""
+    scores = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return _predicted(scores, GOOD_FROM, F.size("bad_lines").alias("n_bad_lines"))
 
 
 #: Neighbours of each query, and which rows are queries.
@@ -48,7 +49,8 @@ NEIGHBOURS, QUERY_EVERY = 20, 20
 
 
 def op2_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS)
+    with scratch("ann-found") as keep:
+        return keep(ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0, NEIGHBOURS))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +58,8 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.words_taken(mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.Mix()))
+    with scratch("mix-taken") as keep:
+        return keep(mixing.words_taken(mixing.mix_sources(table(spark, sf_dir, "documents"), mixing.Mix())))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,8 +71,10 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), spans_too=False)
-    return _predicted(scores, TOXIC_FROM)
+    """Also n_offenders and first_offender (byte), of the operator's spans."""
+    scores = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    first = F.get("offenders", F.lit(0))["start"]
+    return _predicted(scores, TOXIC_FROM, F.size("offenders").alias("n_offenders"), first.alias("first_offender"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +94,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.media_digests(table(spark, sf_dir, "documents"))
+    return media.media_digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
 def queries() -> dict[str, Query]:

@@ -134,6 +134,6 @@ def test_small_chunks_lose_no_link(spark, monkeypatch, chunk, grams):
 
 
 def test_tables_on_the_way_go(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "LOCAL_CHECKPOINTS", f"file://{tmp_path}")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
     rows = minhash.near_duplicates(spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")).collect()
     assert len(rows) == 2 and [p.name.split("-")[:2] for p in tmp_path.iterdir()] == [["near", "result"]]
