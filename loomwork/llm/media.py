@@ -81,38 +81,42 @@ def media_columns(docs: DataFrame) -> DataFrame:
     and repeated rows stay, other columns are left out, an empty table gives no rows.
     """
 
-    def rows(text: str | None) -> tuple:
+    def rows(doc_id: int | None, text: str | None) -> tuple:
         payload, n = payload_of(text)
         media = to_wav(payload)
-        return n, media, fingerprint(np.frombuffer(from_wav(media), np.uint8))
+        return doc_id, n, media, fingerprint(np.frombuffer(from_wav(media), np.uint8))
 
-    types = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
-    return _mapped(docs, rows, types, "doc_id long, n_bytes long, media binary, fingerprint array<long>")
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+    return _mapped(docs.select(docs["doc_id"].cast("long"), "text"), rows, types, "doc_id long, n_bytes long, media binary, fingerprint array<long>")
 
 
-def media_digests(docs: DataFrame) -> DataFrame:
-    """media_columns with digests of the stored media and of the payload read back in place of the media itself."""
+def media_digests(media: DataFrame) -> DataFrame:
+    """Digests of media_columns' rows: of the stored media, and of the payload that is read back from them.
 
-    def rows(text: str | None) -> tuple:
-        payload, n = payload_of(text)
-        media = to_wav(payload)
+    A row without media has null digests.
+    """
+
+    def rows(doc_id: int | None, n: int, media: bytes | None, codes: list[int] | None) -> tuple:
+        if media is None:
+            return (doc_id, n) + (None,) * 6
         back = from_wav(media)
-        codes = fingerprint(np.frombuffer(back, np.uint8))
-        feature = f"{(len(back) - FRAME) // HOP + 1} frames, {len(codes)} pairs, {hashlib.sha256(codes.astype('<i8').tobytes()).hexdigest()}"
-        return n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
+        digest = hashlib.sha256(np.array(codes or [], "<i8").tobytes()).hexdigest()
+        feature = f"{(len(back) - FRAME) // HOP + 1} frames, {len(codes or [])} pairs, {digest}"
+        return doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
-    types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    return _mapped(docs, rows, types, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return _mapped(media.select("doc_id", "n_bytes", "media", "fingerprint"), rows, types, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
-def _mapped(docs: DataFrame, rows, types: list[pa.DataType], schema: str) -> DataFrame:
+def _mapped(df: DataFrame, rows, types: list[pa.DataType], schema: str) -> DataFrame:
+    """rows of each row's values; few rows at once, as media are large."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for at in range(0, part.num_rows, 128):
                 some = part.slice(at, 128)
-                found = list(zip(*(rows(t) for t in some.column(1).to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array(v, t) for v, t in zip(found, types, strict=True))], names)
+                found = zip(*(rows(*r) for r in zip(*(c.to_pylist() for c in some.columns), strict=True)), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, types, strict=True)], names)
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(batches, schema)
+    return df.mapInArrow(batches, schema)
