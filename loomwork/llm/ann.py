@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by inner product: an inverted file of product-quantised residuals, exactly reranked.
 
 Coarse centroids and codebooks are fitted on a bounded sample. Every vector is indexed: its nearest centroid's list
-and a code of SUBSPACES bytes for the residual. A query looks into the lists of its best centroids; tables of its
+and a code of SUBSPACES bytes for the residual. A query looks into the lists of its best centroids, and into further
+ones until those hold k other vectors; tables of its
 inner products with all codewords score their codes, and the best of each piece are scored again on the original
 vectors, in double precision. Small lists are packed and large ones cut into pieces of bounded size, and
 queries are dealt into blocks, so a list that holds a third of all rows, or is wanted by a third of all queries,
@@ -31,8 +32,9 @@ PROBED = 0.66
 #: Reranked are the RERANK best codes of a piece and all that its k-th best may hide by MARGIN deviations of their
 #: quantisation error in one direction, which is all of a cluster too tight for the codes to tell apart.
 RERANK, MARGIN = 100, 2.0
-#: Vectors of a piece, about, and queries of a block: what meets in one task.
-PIECE, BLOCK = 4096, 1024
+#: Vectors of a piece, about, and queries of a block: what meets in one task. Each vector is sent to as many tasks as
+#: there are blocks, each query to one for each piece it probes, so both are as large as a task's memory lets them be.
+PIECE, BLOCK = 16_384, 16_384
 ROUNDS = 8
 
 
@@ -149,7 +151,11 @@ def search(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
 
     kind = dict(rows.dtypes)["embedding"]
     placed = stored(rows.select("vec_id", "embedding").mapInArrow(place, f"vec_id long, list int, code binary, error double, embedding {kind}"), "ann-index")
-    pack = packed(dict(placed.groupBy("list").count().collect()))  # MOST_LISTS rows at most
+    counts = placed.groupBy("list").agg(F.count("*"), F.count_distinct("vec_id")).collect()  # MOST_LISTS rows at most
+    pack = packed({number: n for number, n, _ in counts})
+    ids_in = np.zeros(len(index.centroids), np.int64)
+    for number, _, ids in counts:
+        ids_in[number] = ids
     group_of = np.zeros(len(index.centroids), np.int32)
     for number, group, _ in pack:
         group_of[number] = group
@@ -157,9 +163,11 @@ def search(vectors: DataFrame, queries: Column, k: int) -> DataFrame:
 
     def aim(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            best = np.argsort(-(_matrix(part.column(1)) @ index.centroids.T), axis=1, kind="stable")[:, :probes]
+            best = np.argsort(-(_matrix(part.column(1)) @ index.centroids.T), axis=1, kind="stable")
+            before = np.cumsum(ids_in[best], axis=1) - ids_in[best]
+            looked = (np.arange(best.shape[1]) < probes) | (before < k + 1)  # one of the ids may be the query's own
             probed = np.zeros((len(best), len(group_of)), bool)
-            np.put_along_axis(probed, best, True, axis=1)
+            np.put_along_axis(probed, best, looked, axis=1)
             groups = [np.unique(group_of[p & held]) for p in probed]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(groups, pa.list_(pa.int32())), pa.array([np.packbits(p).tobytes() for p in probed], pa.binary()), part.column(1)], ["query_id", "groups", "probed", "query"])
 
