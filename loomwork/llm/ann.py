@@ -31,7 +31,7 @@ LISTS_ROOT, LEAST_LISTS, MOST_LISTS = 1.2, 64, 4096
 PROBED = 0.66
 #: Reranked are the RERANK best codes of a piece and all that its k-th best may hide by MARGIN deviations of their
 #: quantisation error in one direction, which is all of a cluster too tight for the codes to tell apart.
-RERANK, MARGIN = 100, 2.0
+RERANK, MARGIN = 250, 2.0
 #: Vectors of a piece, about, and queries of a block: what meets in one task. Each vector is sent to as many tasks as
 #: there are blocks, each query to one for each piece it probes, so both are as large as a task's memory lets them be.
 PIECE, BLOCK = 16_384, 16_384
