@@ -1,10 +1,12 @@
 """License scan: phrases at word positions, and an exact set-similarity join of text blocks with templates.
 
-A block is a window of BLOCK_WORDS words that starts at a multiple of half its length, so every run of up to half a
-block lies whole in one. A template is found in a block that holds THRESHOLD of the template's distinct words.
-Template words are ordered by how many documents hold them, rarest first; a block that meets the threshold must hold
-one of the first |T| - ceil(THRESHOLD * |T|) + 1 of them, so the join is on those few words. A length filter and a
-positional filter leave little for the exact overlap to check.
+A template of up to half a block's words is looked for in blocks of that size, one at each multiple of half a block,
+so every run of up to half a block lies whole in one. A template is found in a block that holds THRESHOLD of the
+template's distinct words. Template words are ordered by how many documents hold them, rarest first; a block that meets
+the threshold must hold one of the first |T| - ceil(THRESHOLD * |T|) + 1 of them, so the join is on those few words. A
+length filter and a positional filter leave little for the exact overlap to check.
+
+Texts are split into words once, into a narrow table; then only texts that hold one of the join's words are split again.
 """
 
 from __future__ import annotations
@@ -14,25 +16,41 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomwork.llm.common import lower_ascii
+from loomwork.llm.common import lower_ascii, release, stored
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: label of each phrase; all end with LAST.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 LAST = "license"
 THRESHOLD = 0.9
-BLOCK_WORDS = 32
-#: (label, statement); a statement has BLOCK_WORDS / 2 words at most.
+#: Halves of the block sizes; a template goes with the first that it fits into.
+HALVES = (16, 32, 64, 128)
+#: (label, statement): short notices, and the paragraphs that license texts and file headers carry (fixed values).
 TEMPLATES = [
     ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
     ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("mpl", "subject to the terms of the mozilla public license v 2 0"),
+    ("cc-by", "this work is licensed under the creative commons attribution 4 0 international license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software"),
 ]
+#: Parts that the rows of one text are dealt to where its findings join them.
+SALTS = 32
+
+
+def half_of(statement: str) -> int:
+    """Half of the block size for a template: at least as many words as it has."""
+    return next(h for h in HALVES if len(statement.split()) <= h)
 
 
 def words_of(text: Column) -> Column:
@@ -59,11 +77,10 @@ def phrase_places(words: Column) -> Column:
     return F.when(F.array_contains(words, LAST), F.flatten(F.transform(positions, at))).otherwise(none)
 
 
-def blocks_of(words: Column) -> Column:
-    """Windows of BLOCK_WORDS words from each multiple of half of that."""
-    half = BLOCK_WORDS // 2
+def blocks_of(words: Column, half: int) -> Column:
+    """Windows of 2 * half words from each multiple of half."""
     starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - half), F.lit(half))
-    return F.transform(starts, lambda i: F.slice(words, i, BLOCK_WORDS))
+    return F.transform(starts, lambda i: F.slice(words, i, 2 * half))
 
 
 def needed(n: int) -> int:
@@ -71,31 +88,35 @@ def needed(n: int) -> int:
     return math.ceil(THRESHOLD * n - 1e-9)
 
 
-def template_matches(texts: DataFrame) -> DataFrame:
-    """key, label, containment of each template found in texts(key, words); one row a key and template at most."""
-    spark = texts.sparkSession
-    vocabulary = sorted({w for _, t in TEMPLATES for w in t.split()})
-    held = texts.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("word"))
-    counts = dict(held.groupBy("word").count().collect())  # a row for each template word at most
-    order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
-    place = {w: i for i, w in enumerate(order)}
-    index = []
+def vocabulary() -> list[str]:
+    return sorted({w for _, t in TEMPLATES for w in t.split()})
+
+
+def prefix_index(counts: dict[str, int]) -> tuple[list[str], list[tuple]]:
+    """(template words, rarest first; entries (word, template, label, half, at, n, least, tokens) of the prefixes)."""
+    order = sorted(vocabulary(), key=lambda w: (counts.get(w, 0), w))
+    place, entries = {w: i for i, w in enumerate(order)}, []
     for number, (label, statement) in enumerate(TEMPLATES):
         tokens = sorted(set(statement.split()), key=place.get)
-        for at in range(len(tokens) - needed(len(tokens)) + 1):
-            index.append((tokens[at], number, label, at, len(tokens), needed(len(tokens)), tokens))
-    prefixes = spark.createDataFrame(index, "word string, template int, label string, at int, n int, least int, tokens array<string>")
-    rare = F.array(*map(F.lit, sorted({x[0] for x in index})))
-    ordered = F.array(*map(F.lit, order))
-    some = texts.where(F.arrays_overlap("words", rare))
-    blocks = some.select("key", F.explode(F.filter(blocks_of(F.col("words")), lambda b: F.arrays_overlap(b, rare))).alias("block"))
-    blocks = blocks.select("key", F.array_intersect(ordered, "block").alias("block"))  # by global order
-    pairs = blocks.select("key", "block", F.posexplode("block").alias("where", "word")).join(F.broadcast(prefixes), "word")
-    pairs = pairs.where(F.size("block") >= F.col("least"))
-    pairs = pairs.where(F.lit(1) + F.least(F.col("n") - F.col("at") - 1, F.size("block") - F.col("where") - 1) + F.least("at", "where") >= F.col("least"))
-    overlap = F.size(F.array_intersect("block", "tokens"))
-    found = pairs.withColumn("overlap", overlap).where("overlap >= least")
-    return found.groupBy("key", "label").agg(F.max(F.col("overlap") / F.col("n")).alias("containment"))
+        least = needed(len(tokens))
+        entries += [(tokens[at], number, label, half_of(statement), at, len(tokens), least, tokens) for at in range(len(tokens) - least + 1)]
+    return order, entries
+
+
+def template_matches(texts: DataFrame, order: list[str], entries: list[tuple]) -> DataFrame:
+    """key, label, containment of each template found in texts(key, words); one row a key and label at most."""
+    index = texts.sparkSession.createDataFrame(entries, "word string, template int, label string, half int, at int, n int, least int, tokens array<string>")
+    ordered, found = F.array(*map(F.lit, order)), None
+    for half in sorted({e[3] for e in entries}):
+        rare = F.array(*map(F.lit, sorted({e[0] for e in entries if e[3] == half})))
+        blocks = texts.where(F.arrays_overlap("words", rare)).select("key", F.explode(F.filter(blocks_of(F.col("words"), half), lambda b: F.arrays_overlap(b, rare))).alias("block"))  # noqa: B023
+        blocks = blocks.select("key", F.array_intersect(ordered, "block").alias("block"))  # by global order
+        pairs = blocks.select("key", "block", F.posexplode("block").alias("where", "word")).join(F.broadcast(index.where(F.col("half") == half)), "word")  # a row for each prefix word
+        pairs = pairs.where(F.size("block") >= F.col("least"))
+        pairs = pairs.where(F.lit(1) + F.least(F.col("n") - F.col("at") - 1, F.size("block") - F.col("where") - 1) + F.least("at", "where") >= F.col("least"))
+        hits = pairs.withColumn("overlap", F.size(F.array_intersect("block", "tokens"))).where("overlap >= least").select("key", "label", (F.col("overlap") / F.col("n")).alias("containment"))
+        found = hits if found is None else found.unionByName(hits)
+    return found.groupBy("key", "label").agg(F.max("containment").alias("containment"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -105,13 +126,28 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     template found, 1 where a phrase stands, else 0. A null or empty text has no words and no labels. Equal texts have
     equal results; null doc_ids and repeated rows stay; other columns are left out; an empty table gives no rows.
     """
-    rows = docs.select("doc_id", F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n")).alias("key"), words_of(F.col("text")).alias("words"))
-    matched = template_matches(rows.select("key", "words"))
+    text = F.coalesce("text", F.lit(""))
+    key = F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+    split = docs.select("doc_id", key.alias("key"), words_of(F.col("text")).alias("words"))
+    first = lambda p: p["first"]
+    places = split.withColumn("places", phrase_places(F.col("words")))
+    narrow = places.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"), F.array_min(F.transform("places", first)).alias("first_word"), F.array_max(F.transform("places", first)).alias("last_word"), F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))).alias("base"), F.array_intersect("words", F.array(*map(F.lit, vocabulary()))).alias("held"))
+    narrow = stored(narrow, "license-words")
+    order, entries = prefix_index(dict(narrow.select(F.explode("held").alias("word")).groupBy("word").count().collect()))  # a row for each template word at most
+    rare = sorted({e[0] for e in entries})
+    low, may = lower_ascii(text), F.lit(False)
+    for word in rare:
+        may = may | low.contains(word)
+    matched = template_matches(docs.where(may).select(key.alias("key"), words_of(F.col("text")).alias("words")), order, entries)
     matched = matched.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
-    base = rows.withColumn("places", phrase_places(F.col("words")))
-    first = F.transform("places", lambda p: p["first"])
-    base = base.select("doc_id", "key", F.size("words").cast("long").alias("n_words"), F.size("places").cast("long").alias("n_base"), F.array_min(first).alias("first_word"), F.array_max(first).alias("last_word"), F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))).alias("base"))
-    out = base.join(matched, "key", "left")
+    matched = matched.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    some = F.arrays_overlap("held", F.array(*map(F.lit, rare)))
+    joined = narrow.where(some).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(matched, ["key", "salt"], "left").drop("salt", "key", "held")
+    rest = narrow.where(~some).drop("key", "held").withColumns({"more": F.lit(None).cast("array<string>"), "best": F.lit(None).cast("double")})
     more = F.coalesce("more", F.array().cast("array<string>"))
     score = F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("best", F.lit(0.0)))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", more)), ",").alias("labels"), score.alias("score"))
+    out = joined.unionByName(rest)
+    out = out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", more)), ",").alias("labels"), score.alias("score"))
+    out = stored(out, "license-labels")
+    release(narrow)
+    return out

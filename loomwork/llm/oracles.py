@@ -22,8 +22,8 @@ def near_dedup() -> str:
 
 def license_scan() -> str:
     """Every window against every template."""
-    half = licenses.BLOCK_WORDS // 2
-    templates = ", ".join(f"('{label}', [{', '.join(repr(w) for w in sorted(set(t.split())))}])" for label, t in licenses.TEMPLATES)
+    templates = ", ".join(f"('{label}', {licenses.half_of(t)}, [{', '.join(repr(w) for w in sorted(set(t.split())))}])" for label, t in licenses.TEMPLATES)
+    halves = ", ".join(f"({h})" for h in sorted({licenses.half_of(t) for _, t in licenses.TEMPLATES}))
     finds = []
     for phrase, label in licenses.PHRASES.items():
         same = " AND ".join(f"w[i + {k}] = '{word}'" for k, word in enumerate(phrase.split()))
@@ -31,8 +31,8 @@ def license_scan() -> str:
     places = " || ".join(finds)
     return f"""WITH d AS (SELECT doc_id, REGEXP_EXTRACT_ALL({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
     p AS (SELECT doc_id, w, {places} AS places FROM d),
-    b AS (SELECT doc_id, LIST_DISTINCT(w[i:i + {licenses.BLOCK_WORDS - 1}]) AS block FROM (SELECT doc_id, w, UNNEST(RANGE(1, GREATEST(1, LEN(w) - {half}) + 1, {half})) AS i FROM d) AS x),
-    m AS (SELECT doc_id, label, LEN(LIST_INTERSECT(block, t)) / LEN(t) AS containment FROM b, (VALUES {templates}) AS v(label, t) WHERE LEN(LIST_INTERSECT(block, t)) >= {licenses.THRESHOLD} * LEN(t) - 1e-9),
+    b AS (SELECT doc_id, half, LIST_DISTINCT(w[i:i + 2 * half - 1]) AS block FROM (SELECT doc_id, w, half, UNNEST(RANGE(1, GREATEST(1, LEN(w) - half) + 1, half)) AS i FROM d, (VALUES {halves}) AS h(half)) AS x),
+    m AS (SELECT doc_id, label, LEN(LIST_INTERSECT(block, t)) / LEN(t) AS containment FROM b JOIN (VALUES {templates}) AS v(label, size, t) ON v.size = b.half WHERE LEN(LIST_INTERSECT(block, t)) >= {licenses.THRESHOLD} * LEN(t) - 1e-9),
     f AS (SELECT doc_id, LIST(DISTINCT label) AS more, MAX(containment) AS best FROM m GROUP BY 1)
     SELECT p.doc_id, CAST(LEN(w) AS BIGINT) AS n_words, CAST(LEN(places) AS BIGINT) AS n_base, CAST(LIST_MIN(LIST_TRANSFORM(places, LAMBDA x: x.first)) AS BIGINT) AS first_word, CAST(LIST_MAX(LIST_TRANSFORM(places, LAMBDA x: x.first)) AS BIGINT) AS last_word,
         ARRAY_TO_STRING(LIST_SORT(LIST_DISTINCT(LIST_TRANSFORM(places, LAMBDA x: x.label))), ',') AS base_labels,
