@@ -6,7 +6,7 @@ template's distinct words. Template words are ordered by how many documents hold
 the threshold must hold one of the first |T| - ceil(THRESHOLD * |T|) + 1 of them, so the join is on those few words. A
 length filter and a positional filter leave little for the exact overlap to check.
 
-Texts are split into words once, into a narrow table; then only texts that hold one of the join's words are split again.
+Texts are split into words twice: for a narrow table, whose counts give the order, and for the blocks of all sizes.
 """
 
 from __future__ import annotations
@@ -106,17 +106,23 @@ def prefix_index(counts: dict[str, int]) -> tuple[list[str], list[tuple]]:
 def template_matches(texts: DataFrame, order: list[str], entries: list[tuple]) -> DataFrame:
     """key, label, containment of each template found in texts(key, words); one row a key and label at most."""
     index = texts.sparkSession.createDataFrame(entries, "word string, template int, label string, half int, at int, n int, least int, tokens array<string>")
-    ordered, found = F.array(*map(F.lit, order)), None
-    for half in sorted({e[3] for e in entries}):
-        rare = F.array(*map(F.lit, sorted({e[0] for e in entries if e[3] == half})))
-        blocks = texts.where(F.arrays_overlap("words", rare)).select("key", F.explode(F.filter(blocks_of(F.col("words"), half), lambda b: F.arrays_overlap(b, rare))).alias("block"))  # noqa: B023
-        blocks = blocks.select("key", F.array_intersect(ordered, "block").alias("block"))  # by global order
-        pairs = blocks.select("key", "block", F.posexplode("block").alias("where", "word")).join(F.broadcast(index.where(F.col("half") == half)), "word")  # a row for each prefix word
-        pairs = pairs.where(F.size("block") >= F.col("least"))
-        pairs = pairs.where(F.lit(1) + F.least(F.col("n") - F.col("at") - 1, F.size("block") - F.col("where") - 1) + F.least("at", "where") >= F.col("least"))
-        hits = pairs.withColumn("overlap", F.size(F.array_intersect("block", "tokens"))).where("overlap >= least").select("key", "label", (F.col("overlap") / F.col("n")).alias("containment"))
-        found = hits if found is None else found.unionByName(hits)
-    return found.groupBy("key", "label").agg(F.max("containment").alias("containment"))
+    ordered, rare = F.array(*map(F.lit, order)), F.array(*map(F.lit, sorted({e[0] for e in entries})))
+    none = F.array().cast("array<struct<half:int,block:array<string>>>")
+
+    def likely(words: Column) -> Column:
+        parts = []
+        for half in sorted({e[3] for e in entries}):
+            own = F.array(*map(F.lit, sorted({e[0] for e in entries if e[3] == half})))
+            some = F.filter(blocks_of(words, half), lambda b: F.arrays_overlap(b, own))  # noqa: B023
+            parts.append(F.transform(some, lambda b: F.struct(F.lit(half).alias("half"), F.array_intersect(ordered, b).alias("block"))))  # by global order  # noqa: B023
+        return F.when(F.arrays_overlap(words, rare), F.concat(*parts)).otherwise(none)
+
+    blocks = texts.select("key", F.inline(F.transform(F.array("words"), likely)[0]))  # words are made once a text
+    pairs = blocks.select("key", "half", "block", F.posexplode("block").alias("where", "word")).join(F.broadcast(index), ["word", "half"])  # a row for each prefix word
+    pairs = pairs.where(F.size("block") >= F.col("least"))
+    pairs = pairs.where(F.lit(1) + F.least(F.col("n") - F.col("at") - 1, F.size("block") - F.col("where") - 1) + F.least("at", "where") >= F.col("least"))
+    found = pairs.withColumn("overlap", F.size(F.array_intersect("block", "tokens"))).where("overlap >= least")
+    return found.groupBy("key", "label").agg(F.max(F.col("overlap") / F.col("n")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -135,10 +141,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     narrow = stored(narrow, "license-words")
     order, entries = prefix_index(dict(narrow.select(F.explode("held").alias("word")).groupBy("word").count().collect()))  # a row for each template word at most
     rare = sorted({e[0] for e in entries})
-    low, may = lower_ascii(text), F.lit(False)
-    for word in rare:
-        may = may | low.contains(word)
-    matched = template_matches(docs.where(may).select(key.alias("key"), words_of(F.col("text")).alias("words")), order, entries)
+    matched = template_matches(docs.select(key.alias("key"), words_of(F.col("text")).alias("words")), order, entries)
     matched = matched.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"))
     matched = matched.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     some = F.arrays_overlap("held", F.array(*map(F.lit, rare)))
