@@ -28,7 +28,7 @@ def test_administrators_of_any_number(spark):
     assert rows == [(u, c, 1) for u in (1, 2, 50, 4000) for c in range(5)]
 
 
-@pytest.mark.parametrize("name", ["prompt_lines_all_programs", "role_grants_all_administrators", "programs_by_name_or_any_course"])
+@pytest.mark.parametrize("name", ["prompt_lines", "role_grants_administrators", "programs_by_name_or_course"])
 def test_whole_tables(name, spark):
     """The smallest tables have no prompts, so these run on larger ones."""
     duck = duckdb.connect()
