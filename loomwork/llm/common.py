@@ -101,3 +101,19 @@ def lower_ascii(text: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """crc32 of doc_id as text is divisible by 5; false for a null doc_id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(False))
+
+
+def numbered(df: DataFrame, key: str, order: list[str], name: str) -> DataFrame:
+    """df with name: how many rows of the same key (long, not null) stand before it by `order`, nulls first.
+
+    Rows are cut into ranges of (key, order) and numbered in each, and the ranges before are added, so a key with any
+    share of the rows spreads over many tasks. Rows that tie in `order` get numbers in any order.
+    """
+    by = [F.col(c).asc_nulls_first() for c in (key, *order)]
+    cut = stored(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    cut = cut.withColumn("_part", F.shiftright("_row", 33))
+    parts = cut.groupBy(key, "_part").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_part")) - F.col("_n")
+    parts = parts.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), (before - F.col("_first")).alias("_base"))
+    found = cut.join(parts, (F.col(key) == F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return found.select(*df.columns, (F.col("_row") + F.col("_base")).alias(name))

@@ -40,5 +40,28 @@ def license_scan() -> str:
         CASE WHEN LEN(places) > 0 THEN 1.0::DOUBLE ELSE COALESCE(best, 0.0)::DOUBLE END AS score FROM p LEFT JOIN f ON f.doc_id = p.doc_id"""
 
 
+def prefix_trie() -> str:
+    """Every prefix as the joined marks of its turns; every node against all prefixes of its least member."""
+    return r"""WITH RECURSIVE a AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    b AS (SELECT conv_id, turn, MD5(LENGTH(role) || ':' || role || text) AS mark, LEN(REGEXP_EXTRACT_ALL(text, '[^\x20\x09-\x0D]+')) AS words FROM a),
+    t AS (SELECT conv_id, mark, words, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, mark) AS place FROM b),
+    own AS (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s, COUNT(*) AS n FROM t GROUP BY conv_id),
+    crc AS (SELECT conv_id, s, 4294967295::BIGINT AS v, 0 AS k FROM own
+        UNION ALL SELECT conv_id, s, XOR(w >> 1, CASE WHEN w & 1 = 1 THEN 3988292384 ELSE 0 END), k + 1 FROM (SELECT conv_id, s, k, CASE WHEN k % 8 = 0 THEN XOR(v, ASCII(s[k // 8 + 1])::BIGINT) ELSE v END AS w FROM crc WHERE k < 8 * LENGTH(s)) AS x),
+    h AS (SELECT conv_id, conv_id - conv_id % 20 AS g, XOR(v, 4294967295) % 4 AS h FROM crc WHERE k = 8 * LENGTH(s)),
+    p AS (SELECT h.*, own.n, LEAST(h, COALESCE(f.n, 0)) AS taken FROM h JOIN own USING (conv_id) LEFT JOIN own AS f ON f.conv_id = h.g),
+    r AS (SELECT p.conv_id, t.place AS depth, mark, words FROM p JOIN t ON t.conv_id = p.g AND t.place <= p.h
+        UNION ALL SELECT p.conv_id, taken + place - h, mark, words FROM p JOIN t ON t.conv_id = p.conv_id WHERE place > h),
+    m AS (SELECT conv_id, depth, STRING_AGG(mark, ',') OVER (PARTITION BY conv_id ORDER BY depth) AS path, words FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM p),
+    n AS (SELECT depth, path, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, MIN(words) AS words FROM m GROUP BY depth, path),
+    e AS (SELECT m.depth, path, SHA256(STRING_AGG(CAST(m.conv_id AS VARCHAR), ',' ORDER BY m.conv_id)) AS ends FROM m JOIN p ON p.conv_id = m.conv_id AND p.taken + GREATEST(p.n - p.h, 0) = m.depth GROUP BY m.depth, path),
+    up AS (SELECT n.depth, n.path, q.conv_id AS parent_conv_id, q.path AS parent FROM n JOIN m ON m.conv_id = n.conv_id AND m.depth = n.depth - 1 JOIN n AS q ON q.depth = m.depth AND q.path = m.path),
+    kids AS (SELECT depth - 1 AS depth, parent AS path, COUNT(*) AS n_children FROM up GROUP BY 1, 2),
+    one AS (SELECT n.*, COALESCE(n_children, 0) AS n_children FROM n LEFT JOIN kids ON kids.depth = n.depth AND kids.path = n.path),
+    sub AS (SELECT m.depth, m.path, COUNT(*) FILTER (WHERE n_children = 0) AS n_leaves, SUM((n_convs - 1) * one.words) AS saved FROM one JOIN m ON m.conv_id = one.conv_id AND m.depth <= one.depth GROUP BY 1, 2)
+    SELECT CAST(one.conv_id AS BIGINT) AS conv_id, CAST(one.depth AS BIGINT) AS depth, CAST(parent_conv_id AS BIGINT) AS parent_conv_id, CAST(n_convs AS BIGINT) AS n_convs, CAST(n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, COALESCE(ends, SHA256('')) AS ends_sha256
+    FROM one JOIN sub ON sub.depth = one.depth AND sub.path = one.path LEFT JOIN up ON up.depth = one.depth AND up.path = one.path LEFT JOIN e ON e.depth = one.depth AND e.path = one.path"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_minhash_near_dedup": near_dedup(), "op8_license_scan": license_scan()}
+    return {"op6_minhash_near_dedup": near_dedup(), "op8_license_scan": license_scan(), "op12_prefix_trie": prefix_trie()}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import ann, bpe, licenses, media, minhash, mixing, quality, tokenstore, toxicity, urls
+from loomwork.llm import ann, bpe, licenses, media, minhash, mixing, quality, tokenstore, toxicity, trie, urls, whitening
 from loomwork.llm.common import held_out, scratch, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,5 +97,14 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.media_columns(table(spark, sf_dir, "documents")))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch("trie") as keep:
+        return keep(trie.prefix_trie(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_vector_search, op3_url_filters, op4_source_mixing, op5_byte_bpe, op6_minhash_near_dedup, op7_toxicity, op8_license_scan, op9_token_output, op10_media_columns)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_vector_search, op3_url_filters, op4_source_mixing, op5_byte_bpe, op6_minhash_near_dedup, op7_toxicity, op8_license_scan, op9_token_output, op10_media_columns, op11_embedding_whitening, op12_prefix_trie)}
