@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomwork.llm import ann, bpe, licenses, media, minhash, mixing, quality, tokenstore, toxicity, trie, urls, whitening
+from loomwork.llm import ann, bpe, licenses, media, minhash, mixing, quality, tokenstore, toxicity, trie, urls, whitening, wrappers
 from loomwork.llm.common import held_out, scratch, shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,5 +106,9 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
         return keep(trie.prefix_trie(table(spark, sf_dir, "conversations")))
 
 
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_classifier, op2_vector_search, op3_url_filters, op4_source_mixing, op5_byte_bpe, op6_minhash_near_dedup, op7_toxicity, op8_license_scan, op9_token_output, op10_media_columns, op11_embedding_whitening, op12_prefix_trie)}
+    return {f.__name__: f for f in (op1_quality_classifier, op2_vector_search, op3_url_filters, op4_source_mixing, op5_byte_bpe, op6_minhash_near_dedup, op7_toxicity, op8_license_scan, op9_token_output, op10_media_columns, op11_embedding_whitening, op12_prefix_trie, op13_html_extraction)}
