@@ -16,10 +16,18 @@ REVIEW_LEVELS = 3
 def holds_term(lowered: Column, term: str) -> Column:
     """Whether lower-case text holds a lower-case term whole, as literal text between Unicode word edges.
 
-    The literal stands first in the pattern and is looked for on its own before, which spares most texts the edges.
+    A blank of the term stands for any white space of the text. The literal stands first in the pattern and its words
+    are looked for on their own before, which spares most texts the edges.
     """
+    words = term.split()
     literal = re.escape(term)
-    return lowered.contains(term) & lowered.rlike(f"{literal}(?<!{_EDGE}{literal})(?!{_EDGE})")
+    edged = f"{literal}(?<!{_EDGE}{literal})(?!{_EDGE})"
+    if len(words) > 1:
+        edged = f"(?<!{_EDGE}){r'(?U:\s+)'.join(map(re.escape, words))}(?!{_EDGE})"
+    held = lowered.rlike(edged)
+    for word in sorted(set(words), key=len):
+        held = lowered.contains(word) & held
+    return held
 
 
 #: As many terms become literals of one expression; more are joined with the words of the texts.
@@ -48,9 +56,10 @@ MATCHES = "array<struct<level_id:bigint,verb:string>>"
 def classify(clos: DataFrame, verbs: DataFrame, levels: DataFrame | None = None) -> DataFrame:
     """clos with matches, by the level's position and the term's place; null if the reference is empty.
 
-    White space of texts and terms is collapsed first, so a term may stand over a line break. levels (level_id,
-    position) orders the levels; without it they go by id. Up to LITERAL_TERMS terms become literals, and no row is
-    multiplied by the terms; more of them meet the texts by their first word.
+    White space of terms is collapsed first, and a blank of theirs stands for any white space, so a term may stand over
+    a line break. levels (level_id, position) orders the levels; without it they go by id. Up to LITERAL_TERMS terms
+    become literals that look at one lower-case copy of a text, and no row is multiplied by the terms; more of them
+    meet the texts by their first word.
     """
     order = ["position", "level_id", "place", "low"]
     terms = clean_verbs(verbs)
@@ -60,10 +69,10 @@ def classify(clos: DataFrame, verbs: DataFrame, levels: DataFrame | None = None)
         return clos.withColumn("matches", F.lit(None).cast(kind))
     if len(some) > LITERAL_TERMS:
         return _joined(clos, terms, order)
-    terms = some
-    one = lambda t: F.when(holds_term(F.col("_low"), t.low), F.struct(F.lit(t.level_id).cast("long").alias("level_id"), F.lit(t.verb).alias("verb")))
-    some = F.filter(F.array(*map(one, terms)), lambda m: m.isNotNull())
-    return clos.withColumn("_low", F.lower(squeezed(F.col("l_outcome")))).withColumn("matches", F.coalesce(F.when(F.col("_low").isNotNull(), some), F.array().cast(kind))).drop("_low")
+    one = lambda low, t: F.when(holds_term(low, t.low), F.struct(F.lit(t.level_id).cast("long").alias("level_id"), F.lit(t.verb).alias("verb")))
+    every = lambda low: F.filter(F.array(*[one(low, t) for t in some]), lambda m: m.isNotNull())
+    held = F.transform(F.array(F.lower("l_outcome")), every)[0]  # made once a row, however many terms ask
+    return clos.withColumn("matches", F.coalesce(F.when(F.col("l_outcome").isNotNull(), held), F.array().cast(kind)))
 
 
 def _joined(clos: DataFrame, terms: DataFrame, order: list[str]) -> DataFrame:

@@ -148,21 +148,18 @@ RANK_STEP = 65_536
 def ranked(matches: DataFrame) -> DataFrame:
     """scored() with rank: direct matches first, then by score, then by id.
 
-    Courses are counted by (direct match, score) and ranges of ids, the counts are added up, and only within one of
-    those are rows numbered, so no task sorts all courses.
+    Courses are packed by (direct match, score) and ranges of ids, the sizes of the packs are added up, and each pack
+    is numbered from there, so no task sorts all courses. Both sides of the join read one exchange of the packs.
     """
-    # every course here has a match; that the counts ask for it too lets both sides share one exchange of the sums
-    some = reduce(lambda a, b: a + b, [F.col(p.replace(" ", "_")) for p in WEIGHTS]) > 0
-    rows = scored(matches).where(some).withColumn("_range", F.call_function("div", "course_id", F.lit(RANK_STEP)))
-    order = (F.desc("is_course_match"), F.desc("score"), F.col("_range"))
-    counts = rows.groupBy("is_course_match", "score", "_range").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy(*order)) - F.col("_n"))
+    rows = scored(matches).withColumn("_range", F.call_function("div", "course_id", F.lit(RANK_STEP)))
     keys = ("is_course_match", "score", "_range")
-    before = before.select(*[F.col(k).alias(f"_of_{k}") for k in keys], "_before")
+    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("course_id", *[p.replace(" ", "_") for p in WEIGHTS]))).alias("_rows"))
+    order = (F.desc("is_course_match"), F.desc("score"), F.col("_range"))
+    sizes = packed.select(*keys, F.size("_rows").alias("_n"))
+    before = sizes.select(*[F.col(k).alias(f"_of_{k}") for k in keys], (F.sum("_n").over(Window.orderBy(*order)) - F.col("_n")).alias("_before"))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])  # asks nothing of one side alone
-    within = F.row_number().over(Window.partitionBy("is_course_match", "score", "_range").orderBy("course_id"))
-    out = rows.withColumn("_within", within).join(before, same)
-    return out.withColumn("rank", F.col("_before") + F.col("_within")).drop("_range", "_before", "_within", *[f"_of_{k}" for k in keys])
+    placed = packed.join(before, same).select("is_course_match", "score", "_before", F.posexplode("_rows").alias("_at", "_row"))
+    return placed.select("_row.course_id", "score", "is_course_match", *[f"_row.{p.replace(' ', '_')}" for p in WEIGHTS], (F.col("_before") + F.col("_at") + 1).alias("rank"))
 
 
 def top(matches: DataFrame, limit: int = EXPORT_LIMIT) -> DataFrame:

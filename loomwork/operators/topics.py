@@ -12,16 +12,20 @@ from loomwork.functions.english import STOP_WORDS
 MAX_TITLE_WORDS, HEADING_SIZE, MAX_TOPIC_WORDS = 15, 10.0, 8
 MIN_WINDOW, WINDOW_STEP = 20, 0.75
 TOPICS, WORDS_PER_CLUSTER = 20, 10
-#: How links begin and image files end (fixed values).
-LINK_STARTS, IMAGE_KINDS = ("http", "https", "www"), ("jpg", "jpeg", "png", "gif", "bmp", "svg", "webp")
+#: An address with an image after a sentence's end, links up to their last word character, and names of image kinds
+#: (fixed patterns, stated as they must match).
+LINK_TO_IMAGE = r"(?:http|https|www):.*?/.*?\. .*(?:jpg|jpeg|png|gif|bmp|svg|webp)"
+LINK = r"\b(?:http|https|www)\S*\b"
+IMAGE_NAME = r"\b(?:jpg|jpeg|png|gif|bmp|svg|webp)\b"
 #: Parts that make a topic an address or a file (fixed values).
 URL_WORDS, URL_PARTS = ("com", "org"), ("http", "jpg", "png", "www")
 
 
 def clean_text(text: Column) -> Column:
-    """Words that begin like a link, up to their last word character, and names of image kinds removed."""
-    link = r"\b(?:" + "|".join(LINK_STARTS) + r")\S*\b"
-    return F.regexp_replace(F.regexp_replace(text, link, ""), r"\b(?:" + "|".join(IMAGE_KINDS) + r")\b", "")
+    """Without links, what leads from one to an image on its line, and names of image kinds."""
+    for pattern in (LINK_TO_IMAGE, LINK, IMAGE_NAME):
+        text = F.regexp_replace(text, pattern, "")
+    return text
 
 
 def slide_text(text: Column) -> Column:
@@ -117,22 +121,29 @@ def filtered(topics: DataFrame, key: list[str], *, least_chars: int = 5, thresho
     return rows.join(inside, [*key, "topic"], "left_anti").where(F.col("score") >= threshold)
 
 
-#: Characters that a topic and the one that it stands in must share, to meet.
-GRAM = 4
+#: Characters that a topic and the one that it stands in must share, to meet; and texts of a key that all meet.
+GRAM, FEW_TEXTS = 4, 100
 
 
 def contained(topics: DataFrame, whole: DataFrame, key: list[str]) -> DataFrame:
     """key, topic of topics that stand within another text (key, _whole, lower-case) of their key, in any case.
 
-    A topic's first GRAM characters meet all runs of so many in the texts, so only likely pairs are compared; shorter
-    topics, which are few, meet all texts of their key.
+    In a key of at most FEW_TEXTS texts, each topic meets all of them. In a larger one a topic meets the texts that
+    hold the run of GRAM characters of its own that fewest texts hold; topics shorter than that meet all.
     """
     low = topics.withColumn("_low", F.lower("topic"))
-    starts = F.sequence(F.lit(1), F.length("_whole") - (GRAM - 1))
-    grams = whole.where(F.length("_whole") >= GRAM).select(*key, "_whole", F.explode(F.array_distinct(F.transform(starts, lambda i: F.substring(F.col("_whole"), i, F.lit(GRAM))))).alias("_gram"))
-    likely = low.where(F.length("_low") >= GRAM).withColumn("_gram", F.substring("_low", 1, GRAM)).join(grams, [*key, "_gram"]).drop("_gram")
-    short = low.where(F.length("_low") < GRAM).join(whole, key)
-    both = likely.unionByName(short).where((F.col("_low") != F.col("_whole")) & F.col("_whole").contains(F.col("_low")))
+    sizes = whole.groupBy(*key).agg(F.count("*").alias("_texts"))
+    counted = whole.join(sizes, key)
+    few, many = counted.where(F.col("_texts") <= FEW_TEXTS), counted.where(F.col("_texts") > FEW_TEXTS)
+    runs = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (GRAM - 1)), lambda i: F.substring(F.col(c), i, F.lit(GRAM))))
+    grams = many.where(F.length("_whole") >= GRAM).select(*key, "_whole", F.explode(runs("_whole")).alias("_gram"))
+    held = grams.groupBy(*key, "_gram").agg(F.count("*").alias("_n"))
+    long = low.join(sizes.where(F.col("_texts") > FEW_TEXTS), key, "left_semi").where(F.length("_low") >= GRAM)
+    rarest = F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")
+    asked = long.select(*key, "topic", "_low", F.explode(runs("_low")).alias("_gram")).join(held, [*key, "_gram"], "left").groupBy(*key, "topic", "_low").agg(rarest)
+    likely = asked.join(grams, [*key, "_gram"]).select(*key, "topic", "_low", "_whole")
+    plain = low.join(few, key).unionByName(low.where(F.length("_low") < GRAM).join(many, key)).select(*key, "topic", "_low", "_whole")
+    both = plain.unionByName(likely).where((F.col("_low") != F.col("_whole")) & F.col("_whole").contains(F.col("_low")))
     return both.select(*key, "topic").distinct()
 
 

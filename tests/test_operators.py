@@ -1,10 +1,12 @@
 """Hand-worked cases of the other operators."""
 
+from collections import defaultdict
+
 import pytest
 from pyspark.sql import functions as F
 
 from loomwork.functions import english, text
-from loomwork.operators import access, etl, evaluation, program_map, progression, search, syllabus, topics
+from loomwork.operators import access, assessments, etl, evaluation, grids, outline, program_map, progression, search, syllabus, topics
 from loomwork.sources import files, sinks
 from loomwork.streaming import jobs
 
@@ -187,15 +189,20 @@ def test_syllabus_fields(spark):
     for (name, description), kind in kinds.items():
         assert o(syllabus.material_type(F.lit(name), F.lit(description))) == kind, name
     bullets = [("1.", "2.", True), ("1.1", "2", False), ("1.1", "2.3", True), ("-", "-", True), ("-", "•", False), ("(a)", "(b)", True), ("(a)", "(1)", False), (None, "-", False)]
-    assert [o(syllabus.bullets_alike(F.lit(a).cast("string"), F.lit(b))) for a, b, _ in bullets] == [x for *_, x in bullets]
-    dated = [("x 2023.pdf", "Jan 5, January 6, 2024 2024", "Winter Term 2", 2023), ("x.pdf", "Jan 5, 2024", "Winter Term 2", 2023), ("x.pdf", "Jan 5, 2024, 2025", "Winter Term 2", 2024), ("x.pdf", "October 2024", "Winter Term 1", 2024), ("x W2 2022.pdf", "October 2024", "Winter Term 2", 2022), ("x.pdf", "June 1 2020 July 2021 July", "Summer Term 2", 2020), ("x.pdf", "nothing", "Winter Term 2", None)]
+    assert [o(F.coalesce(syllabus.bullet_shape(F.concat(F.lit(a).cast("string"), F.lit(" x"))) == syllabus.bullet_shape(F.lit(f"{b} x")), F.lit(False))) for a, b, _ in bullets] == [x for *_, x in bullets]
+    dated = [("x 2023.pdf", "Jan 5, January 6, 2024 2024", "Winter Term 2", 2023), ("x.pdf", "Jan 5, 2024", "Winter Term 2", 2023), ("x.pdf", "Jan 5, 2024, 2025", "Winter Term 2", 2024), ("x.pdf", "October 2024", "Winter Term 1", 2024), ("x W2 2022.pdf", "October 2024", "Winter Term 1", 2022), ("x 2022W2.pdf", "October 2024", "Winter Term 2", 2022), ("x.pdf", "Students may ask. You may leave. It may rain. September 3, 2024, September 10", "Winter Term 1", 2024), ("x.pdf", "Rainfall measured. January 8, 2024 and January 9", "Winter Term 2", 2023), ("x.pdf", "Reports on windows1 and news1. February 2024", "Winter Term 2", 2023), ("x.pdf", "Winter Term 2. Fall 2019. October 2024", "Winter Term 2", 2019), ("x.pdf", "2024_S1", "Summer Term 1", 2024), ("x.pdf", "Term 1 2023", "Winter Term 1", 2023), ("x.pdf", "June 1 2020 July 2021 July", "Summer Term 2", 2020), ("x.pdf", "nothing", "Winter Term 2", None)]
     for name, content, season, year in dated:
         got = o(syllabus.term_and_year(F.lit(name), F.lit(content)))
         assert (got.term, got.year) == (season, year), (name, content)
+    paged = [(["Winter Term 1", "Fall 2021", "2020 S2"], "Winter Term 1", 2021), (["Winter Term 1", "Winter Term 2", "May 2020"], "Winter Term 2", 2020), ([None, "May 2020", "May"], "Summer Term 1", 2020), ([], "Winter Term 2", None)]
+    for pages, season, year in paged:
+        got = o(syllabus.term_of_pages(F.lit("x.pdf"), F.array(*map(F.lit, pages)).cast("array<string>")))
+        assert (got.term, got.year) == (season, year), pages
     assert o(syllabus.material_type(F.lit("Soils, 3rd edition"), F.lit(""))) == "textbook"
     assert o(syllabus.material_type(F.lit("thing"), F.lit("watch the video"))) == "video"
-    found = syllabus.scan("COURSE DESCRIPTION\nAll about\nsoil.\nLearning Outcomes\n1. Name\n2. Weigh\nUniversity Policies\nnone")
-    assert found["description"] == ["All about soil."] and found["goals"] == ["Name", "Weigh"]
+    text = "COURSE DESCRIPTION\nAll about\nsoil.\nLearning Outcomes\n1. Name\n2. Weigh\nUniversity Policies\nnone"
+    found = outline.sections(spark.createDataFrame([(1, text)], "document_id long, text string")).first()
+    assert found.description == ["All about soil."] and found.goals == ["Name", "Weigh"]
 
 
 @pytest.mark.parametrize(
@@ -212,23 +219,26 @@ def test_syllabus_fields(spark):
         ([], []),
     ],
 )
-def test_assessments_of_pages(pages, found):
-    assert syllabus.assessments(pages) == found
+def test_assessments_of_pages(spark, pages, found):
+    rows = spark.createDataFrame([(1, i, x) for i, x in enumerate(pages)], "document_id long, page_number int, text string")
+    assert [(r.name, r.weight) for r in assessments.assessments_of(rows).orderBy("place").collect()] == found
 
 
 def test_assessments_by_document(spark):
     rows = spark.createDataFrame([(1, 2, "Midterm 50%\nFinal 50%"), (1, 1, "Essay 30%"), (2, 1, None), (3, 1, "Essay 30%")], "document_id long, page_number int, text string")
-    assert sorted(map(tuple, syllabus.assessments_of(rows).collect())) == [(1, 0, "Midterm", 50.0), (1, 1, "Final", 50.0), (3, 0, "Essay", 30.0)]
+    assert sorted(map(tuple, assessments.assessments_of(rows).collect())) == [(1, 0, "Midterm", 50.0), (1, 1, "Final", 50.0), (3, 0, "Essay", 30.0)]
 
 
 @pytest.mark.parametrize("line, upper, bullet, ends", [("COURSE POLICIES", True, None, True), ("Course Policies", True, None, False), ("Course Policies", False, None, True), ("Contact of the Staff", False, None, False), ("Rationale:", False, None, False), ("FRST 200", False, None, False), ("learning outcomes", False, None, True), ("2. something long that follows here", False, "1. ", True), ("2.1. something long that follows here", False, "1. ", False), ("", False, None, False)])
-def test_headings_that_end_a_description(line, upper, bullet, ends):
-    assert syllabus.ends_description(line, upper, bullet) == ends
+def test_headings_that_end_a_description(spark, line, upper, bullet, ends):
+    shape = syllabus.bullet_shape(F.lit(f"{bullet}x" if bullet else "x"))
+    assert one(spark, outline.ends_description(F.lit(line), F.lit(upper), shape)) == ends
 
 
 @pytest.mark.parametrize("lines, found", [(["Module 2: Soil", "Sept. 12 Water", "Week", "a plain line here", "no", "A whole sentence here."], ["Soil", "Water", "a plain line here"]), (["ii. Soil", "a plain line here", "3)", "Water", "- Fire"], ["Soil", "Water", "Fire"]), ([], [])])
-def test_topics_of_lines(lines, found):
-    assert syllabus.topics_of_lines(lines) == found
+def test_topics_of_lines(spark, lines, found):
+    rows = spark.createDataFrame([(1, "\n".join(["Tentative Lecture Schedule:", *lines]))], "document_id long, text string")
+    assert [r.topic for r in outline.text_topics(rows).collect()] == found
 
 
 def test_clean_materials(spark):
@@ -238,8 +248,55 @@ def test_clean_materials(spark):
 
 
 def test_schedule_tables(spark):
-    rows = spark.createDataFrame([(1, 0, 0, ["Week", "Topic"]), (1, 0, 1, ["1", "Soil; Water"]), (1, 0, 2, ["2", "Final exam"])], "document_id long, table int, row int, cells array<string>")
-    assert [r.topic for r in syllabus.table_topics(rows).collect()] == ["Soil", "Water"]
+    header, two = ["Week", "Topic"], [["1", "Soil of forests"], ["2", "Final exam"], ["3", "Water of lakes"]]
+    tables = {
+        1: [(1, 0, [header, *two])],  # plain
+        2: [(1, 0, [["", "Lecture"], ["Week", "Topics covered"], *two, ["", ""], ["4", None]])],  # the first row names a column, so the second is no heading
+        3: [(1, 0, [["Class", "Guest"], ["topic", "speaker"], ["Soil of forests", "A"], ["Water of lakes", "B"]])],  # stacked headings
+        4: [(1, 0, [["Week", "Topic", ""], ["1", "", "Soil of forests"], ["2", "", "Water of lakes"]])],  # cells one column to the right
+        5: [(1, 0, [header, *two]), (2, 0, [["4", "Fire in woods"], ["5", "Ice and snow"]])],  # goes on without a header
+        6: [(1, 0, [["Item", "Weight"], ["Essay on soils", "40%"]])],  # assessments only
+        7: [(1, 0, [header, *two]), (1, 1, [["Item", "Weight"], ["x", "1"]]), (1, 2, [["4", "Fire in woods"], ["5", "Ice and snow"]])],  # ended on its page
+        8: [(1, 0, [header]), (2, 0, [["a", "lost row here"], ["1", "Soil of forests"], ["2", "Water of lakes"]])],  # header alone on its page
+        9: [(1, 0, [["Module", "Title"], ["1", "1. Soil of forests\n2. Water of\nlakes"]])],  # titles beside modules, a list in a cell
+        10: [(1, 0, [["Day", "Transpo", "Notes"], ["1", "bus", "x"]])],  # itinerary
+        11: [],
+    }
+    flat = [(d, page, table, i, cells) for d, some in tables.items() for page, table, rows in some for i, cells in enumerate(rows)]
+    rows = spark.createDataFrame(flat, "document_id long, page int, table int, row int, cells array<string>")
+    found = defaultdict(list)
+    for r in grids.schedule_topics(rows).collect():
+        found[r.document_id].append(r.topic)
+    soil, water = "Soil of forests", "Water of lakes"
+    assert dict(found) == {1: [soil, water], 2: ["Topics covered", soil, water], 3: [soil, water], 4: [soil, water], 5: [soil, water, "Fire in woods", "Ice and snow"], 7: [soil, water], 8: [soil, water], 9: [soil, water]}
+    assert grids.schedule_topics(rows.limit(0)).collect() == []
+
+
+def test_assessment_tables(spark):
+    tables = {
+        1: [(2, 0, [["Component", None, "Weight"], ["Essay", "", "40%"], ["Midterm\nFinal", None, "20%\n40%"], ["Total", "", "100%"], [None, "", ""]])],
+        2: [(1, 0, [["Week", "Topic"], ["1", "2%"]]), (1, 1, [["Item", "Mark"], ["Lab", "9"]])],
+        3: [(3, 0, [["Item", "Mark"], ["Late work", "9"]])],
+    }
+    flat = [(d, page, table, i, cells) for d, some in tables.items() for page, table, rows in some for i, cells in enumerate(rows)]
+    rows = spark.createDataFrame(flat, "document_id long, page int, table int, row int, cells array<string>")
+    pages = spark.createDataFrame([(1, 1, "Quiz 30%"), (1, 2, "Quiz 50%\nTest 50%"), (2, 1, "x"), (3, 1, "Quiz 50%\nTest 50%"), (3, 3, "")], "document_id long, page_number int, text string")
+    found = sorted((r.document_id, r.place, r.name, r.weight) for r in assessments.assessments_of(pages, rows).collect())
+    assert found == [(1, 0, "Essay", 40.0), (1, 1, "Midterm", 20.0), (1, 2, "Final", 40.0), (2, 0, "Lab", 9.0), (3, 0, "Quiz", 50.0), (3, 1, "Test", 50.0)]
+
+
+def test_materials_of_wrapped_lines(spark):
+    cited = "Smith, J. 2020. Soils of the north and of the far east. Springer."
+    words = cited.split()
+    docs = [(k, "Required Readings\n" + " ".join(words[:k]) + "\n" + " ".join(words[k:]) + "\n\nUniversity Policies\nnone") for k in range(4, len(words))]
+    docs.append((100, "Course Materials\nThere is no required textbook. Recommended reading: Soils of\nthe north (2011) and Water, an\nintroduction (2012) or so.\n\nRequired Textbooks\n- A book on\nice\n1. Fire, Wiley\n2015\n2. nothing more\nStudents can access these\nlost line"))
+    docs += [(101, ""), (102, None), (103, "Textbooks\nnone")]
+    found = defaultdict(list)
+    for r in outline.materials(spark.createDataFrame(docs, "document_id long, text string")).orderBy("document_id", "place").collect():
+        found[r.document_id].append((r.name, r.type, r.description))
+    assert {k: v for k, v in found.items() if k < 100} == {k: [(cited, "book", "Required Readings")] for k in range(4, len(words))}
+    assert found[100] == [("Soils of the north (2011)", "course resource", "recommended reading"), ("Water, an introduction (2012)", "course resource", "recommended reading"), ("A book on ice", "textbook", "Required Textbooks"), ("Fire, Wiley 2015", "textbook", "Required Textbooks")]
+    assert set(found) == {*range(4, len(words)), 100}
 
 
 def test_writes_are_idempotent(spark):
