@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 
-#: Attempts that a failing batch is worth.
-TRIES = 200
-
-
 def follow_files(spark: SparkSession, folder: str, schema: StructType | str, kind: str = "json", files_a_batch: int = 100) -> DataFrame:
     """New files of a folder as a stream."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch)
@@ -24,8 +22,9 @@ def follow_files(spark: SparkSession, folder: str, schema: StructType | str, kin
 def run_jobs(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done: str, failed: str, checkpoint: str) -> StreamingQuery:
     """Each batch through `work` into `done`; records that fail go to `failed` with their error, and the rest go on.
 
-    A batch that fails is halved until what fails are single records, in TRIES attempts at most: what is left untried
-    then goes to `failed` too. A batch that runs again overwrites its own partition, so nothing is stored twice.
+    A batch that fails is halved until what fails are single records, so each bad record costs some runs of `work`;
+    where many may be bad, run_records() finds them in one pass. A batch that runs again overwrites its own partition,
+    so nothing is stored twice.
     """
 
     def one(batch: DataFrame, number: int) -> None:
@@ -38,14 +37,13 @@ def run_jobs(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done: st
         order = Window.orderBy(F.xxhash64(F.to_json(F.struct(*batch.columns))))
         rows = batch.withColumn("_row", F.row_number().over(order)).persist()  # one batch: bounded by its files
         try:
-            good, bad, open_ranges, tries = [], [], [(1, rows.count(), first_error)], 0
+            good, bad, open_ranges = [], [], [(1, rows.count(), first_error)]
             while open_ranges:
                 low, high, error = open_ranges.pop()
-                if low == high or tries >= TRIES:
+                if low == high:
                     bad.append((low, high, error))
                     continue
                 for a, b in ((low, (low + high) // 2), ((low + high) // 2 + 1, high)):
-                    tries += 1
                     try:
                         work(rows.where(F.col("_row").between(a, b)).drop("_row")).write.format("noop").mode("overwrite").save()
                         good.append((a, b))
@@ -64,8 +62,151 @@ def run_jobs(stream: DataFrame, work: Callable[[DataFrame], DataFrame], done: st
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Characters of an error that are kept.
+ERROR_CHARS = 500
+
+
+def guarded(rows: DataFrame, record: Callable[[dict], dict], schema: str) -> DataFrame:
+    """rows with result (a struct of schema) and error, of which one is null: what record(row) gives, or how it fails."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def one(row: dict) -> tuple[dict | None, str | None]:
+            try:
+                return record(row), None
+            except Exception as error:  # noqa: BLE001  any failure of the work is the record's
+                return None, f"{type(error).__name__}: {error}"[:ERROR_CHARS]
+
+        for part in parts:
+            found = [one(row) for row in part.astype(object).where(part.notna(), None).to_dict("records")]
+            yield part.assign(result=pd.Series([r for r, _ in found], index=part.index, dtype=object), error=pd.Series([e for _, e in found], index=part.index, dtype=object))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInPandas(run, f"{kinds}, result struct<{schema}>, error string")
+
+
+def run_records(stream: DataFrame, record: Callable[[dict], dict], schema: str, done: str, failed: str, checkpoint: str) -> StreamingQuery:
+    """Each record through `record` in one pass: results into `done`, records that fail into `failed` with their error.
+
+    A batch that runs again overwrites its own partitions, so nothing is stored twice.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        found = guarded(batch, record, schema).persist()  # one batch: bounded by its files
+        try:
+            found.where("error is null").select(*batch.columns, "result.*").write.mode("overwrite").parquet(f"{done}/batch={number}")
+            found.where("error is not null").select(*batch.columns, "error").write.mode("overwrite").parquet(f"{failed}/batch={number}")
+        finally:
+            found.unpersist()
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+#: What an event does to a job, by its name; other events change nothing (fixed values).
+ENDS = {"Completed": "AWAITING", "Failed": "AWAITING_FAILED", "Stopped": "AWAITING_FAILED"}
+TRANSITIONS = "request_id long, status string, at timestamp"
+
+
+class Queue:
+    """Jobs of one queue: at most one in flight for each course and program, and at most one running at a time.
+
+    A submitted job waits (PENDING), or is REJECTED while another of its course and program is unfinished. The oldest
+    one waiting runs as soon as none does. A job ends with its event or, after `limit` seconds, as TIMED_OUT.
+    """
+
+    def __init__(self, limit: float, waiting: Iterable[tuple] = (), running: tuple | None = None):
+        self.limit, self.waiting, self.running = limit, list(waiting), running
+        self.made: list[tuple] = []
+
+    def _start(self, at: pd.Timestamp) -> None:
+        if self.running is None and self.waiting:
+            self.waiting.sort()
+            _, request, course, program = self.waiting.pop(0)
+            self.running = (at, request, course, program)
+            self.made.append((request, "RUNNING", at))
+
+    def upto(self, at: pd.Timestamp) -> None:
+        """Ends what has run too long by then, and starts what waits, each at its own time."""
+        while self.running is not None and (end := self.running[0] + pd.Timedelta(seconds=self.limit)) <= at:
+            self.made.append((self.running[1], "TIMED_OUT", end))
+            self.running = None
+            self._start(end)
+
+    def take(self, at: pd.Timestamp, request: int, course: int, program: int, event: str) -> None:
+        self.upto(at)
+        if event == "Submitted":
+            unfinished = [w[2:] for w in self.waiting] + ([self.running[2:]] if self.running else [])
+            if (course, program) in unfinished:
+                self.made.append((request, "REJECTED", at))
+                return
+            self.waiting.append((at, request, course, program))
+            self.made.append((request, "PENDING", at))
+        elif event in ENDS and self.running is not None and self.running[1] == request:
+            self.made.append((request, ENDS[event], at))
+            self.running = None
+        self._start(at)
+
+
+_EVENT = ["at", "request_id", "course_id", "program_id", "event"]
+
+
+def _in_order(events: pd.DataFrame) -> Iterator[tuple]:
+    return events.sort_values(_EVENT)[_EVENT].itertuples(index=False, name=None)
+
+
+def job_log(events: DataFrame, queue: str, limit: float) -> DataFrame:
+    """queue, request_id, status, at: all transitions that a log of events makes; see Queue.
+
+    events has the queue's column, request_id, course_id, program_id, event and at (timestamp). One queue is one task,
+    as each of its jobs waits for the one before; there are as many tasks as queues.
+    """
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        state = Queue(limit)
+        for event in _in_order(part):
+            state.take(*event)
+        return pd.DataFrame([(key[0], *m) for m in state.made], columns=[queue, "request_id", "status", "at"])
+
+    kind = events.schema[queue].dataType.simpleString()
+    return events.select(queue, *_EVENT).groupBy(queue).applyInPandas(run, f"`{queue}` {kind}, {TRANSITIONS}")
+
+
+def follow_jobs(events: DataFrame, queue: str, limit: float, late: str = "0 seconds") -> DataFrame:
+    """job_log() of a stream of events: the unfinished jobs of each queue are kept as state for as long as they last.
+
+    A running job's time-out fires when the watermark of `at` passes it, without another event. Events of one batch are
+    taken in order of their time.
+    """
+    kept = "waiting array<struct<at:timestamp,request_id:bigint,course_id:bigint,program_id:bigint>>, running struct<at:timestamp,request_id:bigint,course_id:bigint,program_id:bigint>"
+    plain = lambda job: (pd.Timestamp(job[0]), *job[1:])
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, running = state.get if state.exists else ([], None)
+        own = Queue(limit, map(plain, waiting), plain(running) if running else None)
+        if state.hasTimedOut:
+            own.upto(pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms"))
+        else:
+            for event in _in_order(pd.concat(list(parts))):
+                own.take(*event)
+        if own.running is None and not own.waiting:
+            state.remove() if state.exists else None
+        else:
+            stamp = lambda job: (job[0].to_pydatetime(), *map(int, job[1:]))
+            state.update(([stamp(w) for w in own.waiting], stamp(own.running) if own.running else None))
+            if own.running is not None:
+                due = int((own.running[0] + pd.Timedelta(seconds=limit)).timestamp() * 1000)
+                state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], *m) for m in own.made], columns=[queue, "request_id", "status", "at"])
+
+    kind = events.schema[queue].dataType.simpleString()
+    rows = events.select(queue, *_EVENT).withWatermark("at", late)
+    return rows.groupBy(queue).applyInPandasWithState(run, f"`{queue}` {kind}, {TRANSITIONS}", kept, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def once_per_key(stream: DataFrame, keys: list[str], time: str, late: str = "1 day") -> DataFrame:
-    """The first row of each key; keys are forgotten once the watermark passes them."""
+    """The first row of each key within `late`; keys are forgotten once the watermark passes them.
+
+    For jobs that must not run twice while they last, follow_jobs() keeps their state for as long as they do.
+    """
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
 
 
