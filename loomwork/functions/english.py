@@ -159,6 +159,9 @@ def parse(text: str) -> list[list[Term]]:
 
 
 def _holds(tokens: Column, term: Term) -> Column:
+    """An empty word of a phrase stands for any one word; at its ends it asks for nothing."""
+    named = [k for k, w in enumerate(term.words) if w]
+    term = Term(term.words[named[0] : named[-1] + 1], term.negated)
     if len(term.words) == 1:
         out = F.array_contains(tokens, term.words[0])
     else:
@@ -167,7 +170,7 @@ def _holds(tokens: Column, term: Term) -> Column:
         def at(i: Column) -> Column:
             same = F.lit(True)
             for k, w in enumerate(term.words):
-                same = same & F.coalesce(F.get(tokens, i + k) == w, F.lit(False))
+                same = same & F.coalesce(F.get(tokens, i + k) == w, F.lit(False)) if w else same
             return same
 
         out = F.array_contains(tokens, term.words[0]) & F.exists(starts, at)
@@ -198,36 +201,64 @@ def normalized(text: str | None) -> str:
     return re.sub(r"\s+", " ", text or "").strip()
 
 
-def snippet(query: str, stemmed: bool = False, fragments: int = 2, least: int = 4, most: int = 20):
-    """A pandas UDF: up to `fragments` runs of at most `most` words around the first matches, <mark>ed, HTML-escaped."""
-    wanted = {(stem(w) if stemmed else w) for a in parse(query) for t in a if not t.negated for w in t.words if not (stemmed and w in STOP_WORDS)}
-
-    def one(text: str | None) -> str | None:
-        if not text:
-            return None
-        found = list(re.finditer(r"[^\W_]+", text))
-        hits = [i for i, m in enumerate(found) if (stem(m[0].lower()) if stemmed else m[0].lower()) in wanted]
-        out, upto = [], -1
-        for hit in hits:
-            if hit <= upto or len(out) == fragments:
-                continue
-            start = max(upto + 1, hit - least)
-            upto = min(len(found) - 1, start + most - 1)
-            part, at = [], found[start].start()
-            for i in range(start, upto + 1):
-                part.append(_escape(text[at : found[i].start()]))
-                word = _escape(found[i][0])
-                part.append(f"<mark>{word}</mark>" if i in hits else word)
-                at = found[i].end()
-            out.append("".join(part))
-        return " ... ".join(out) if out else None
-
-    @F.pandas_udf("string")
-    def marked(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return marked
-
-
-def _escape(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace('"', "&quot;")
+#: Fragments of a headline, and least and most words of one (fixed values).
+FRAGMENTS, LEAST_WORDS, MOST_WORDS = 2, 4, 20
+_PIECES = r"([\p{L}\p{N}]+|[^\p{L}\p{N}]+)"
+
+
+def wanted_words(query: str, stemmed: bool = False) -> list[str]:
+    """The words, or stems, that a headline marks: all that the query asks for."""
+    return sorted({(stem(w) if stemmed else w) for a in parse(query) for t in a if not t.negated for w in t.words if not (stemmed and w in STOP_WORDS)})
+
+
+def headline(text: Column, tokens: Column, wanted: list[str]) -> Column:
+    """Up to FRAGMENTS parts of the text that hold most wanted words, <mark>ed, HTML-escaped, in order; null without any.
+
+    tokens are the text's words (or stems) in order. A part is a run of words from a wanted one on: of all such the one
+    with most different wanted words is taken, of equals that with most wanted words, then the first; and then the best
+    one of those apart from it. Parts are widened by LEAST_WORDS words before and up to MOST_WORDS in all.
+    """
+    asked, reach = F.array(*map(F.lit, wanted)).cast("array<string>"), MOST_WORDS - LEAST_WORDS
+    # each step is made once and handed to the next as a struct's field
+    once = lambda value, use: F.transform(F.array(value), use)[0]
+
+    def with_hits(w: Column) -> Column:
+        hits = F.filter(F.transform(w, lambda t, i: F.when(F.array_contains(asked, t), i)), lambda i: i.isNotNull())
+        return once(hits, lambda h: F.when(F.size(h) > 0, rendered(w, h)))
+
+    def windows(w: Column, hits: Column) -> Column:
+        def one(p: Column) -> Column:
+            inside = F.filter(hits, lambda h: (h >= p) & (h < p + reach))
+            return F.struct(F.size(F.array_distinct(F.transform(inside, lambda h: F.get(w, h)))).alias("kinds"), F.size(inside).alias("n"), (-p).alias("before"))
+
+        return F.transform(hits, one)
+
+    def widened(best: Column, first: Column, last: Column) -> Column:
+        start = F.greatest(first, -best["before"] - LEAST_WORDS)
+        return F.struct(start.alias("start"), F.least(last, start + (MOST_WORDS - 1)).alias("end"))
+
+    def rendered(w: Column, hits: Column) -> Column:
+        end = F.size(w) - 1
+
+        def parts(all_windows: Column) -> Column:
+            return once(widened(F.array_max(all_windows), F.lit(0), end), lambda first: both(all_windows, first))
+
+        def both(all_windows: Column, first: Column) -> Column:
+            after = lambda x: -x["before"] > first["end"]
+            apart = F.filter(all_windows, lambda x: after(x) | (-x["before"] + reach <= first["start"]))
+            second = F.array_max(apart)
+            wide = F.when(after(second), widened(second, first["end"] + 1, end)).otherwise(widened(second, F.lit(0), first["start"] - 1))
+            some = F.when(F.size(apart) > 0, F.array_sort(F.array(first, wide))).otherwise(F.array(first))
+            pieces = F.regexp_extract_all(text, F.lit(_PIECES), 1)
+            return once(pieces, lambda q: F.array_join(F.transform(some, lambda f: marked(q, f)), " ... "))
+
+        def marked(pieces: Column, part: Column) -> Column:
+            lead = F.when(F.get(pieces, F.lit(0)).rlike(r"^[\p{L}\p{N}]"), 0).otherwise(1)  # words and others take turns
+            own = F.slice(pieces, lead + part["start"] * 2 + 1, (part["end"] - part["start"]) * 2 + 1)
+            safe = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+            word = lambda x, i: F.when((i % 2 == 0) & F.array_contains(hits, (part["start"] + i / 2).cast("int")), F.concat(F.lit("<mark>"), safe(x), F.lit("</mark>"))).otherwise(safe(x))
+            return F.array_join(F.transform(own, word), "")
+
+        return once(windows(w, hits), parts)
+
+    return once(tokens, with_hits)

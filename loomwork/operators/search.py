@@ -88,7 +88,7 @@ FOUND = ["course_id", "property", "matched_text", "file_name", "page_number"]
 
 
 def vectors(tables: dict[str, DataFrame], stemmed: bool = False) -> DataFrame:
-    """FOUND and tokens of every text that a search looks into: the table to store, by property, and search again.
+    """FOUND, text_id (of a property's rows) and tokens of every text that a search looks into.
 
     tables by role: courses, topics, outcomes, ... as in the star. file_name and page_number are null but for files.
     """
@@ -96,19 +96,19 @@ def vectors(tables: dict[str, DataFrame], stemmed: bool = False) -> DataFrame:
     files = t["course_material_files"].where("status = 'INDEXED'")
     chunks = t["course_material_chunks"].join(files, "course_material_file_id").join(t["course_materials"].select("course_material_id", "course_id"), "course_material_id")
     plans = {
-        "course": (t["courses"], F.concat_ws(" ", "course_code", "course_num", "course_title")),
-        "topic": (t["course_topics"], F.col("topic")),
-        "learning outcome": (t["learning_outcomes"], F.col("l_outcome")),
-        "assessment": (t["assessment_methods"], F.col("a_method")),
-        "description": (t["course_descriptions"], F.col("course_description")),
-        "material": (t["course_materials"], F.concat_ws(" ", "name", "type", "description")),
-        "material content": (chunks, F.col("content")),
+        "course": (t["courses"], F.concat_ws(" ", "course_code", "course_num", "course_title"), "course_id"),
+        "topic": (t["course_topics"], F.col("topic"), "course_topic_id"),
+        "learning outcome": (t["learning_outcomes"], F.col("l_outcome"), "l_outcome_id"),
+        "assessment": (t["assessment_methods"], F.col("a_method"), "a_method_id"),
+        "description": (t["course_descriptions"], F.col("course_description"), "course_id"),
+        "material": (t["course_materials"], F.concat_ws(" ", "name", "type", "description"), "course_material_id"),
+        "material content": (chunks, F.col("content"), "chunk_id"),
     }
 
-    def rows_of(name: str, rows: DataFrame, text: Column) -> DataFrame:
+    def rows_of(name: str, rows: DataFrame, text: Column, key: str) -> DataFrame:
         tokens = english.words(text)
         place = [(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in (("file_name", "string"), ("page_number", "long"))]
-        return rows.select("course_id", F.lit(name).alias("property"), text.alias("matched_text"), *place, (english.stems(tokens) if stemmed else tokens).alias("tokens"))
+        return rows.select("course_id", F.lit(name).alias("property"), text.alias("matched_text"), *place, F.col(key).cast("long").alias("text_id"), (english.stems(tokens) if stemmed else tokens).alias("tokens"))
 
     return reduce(lambda a, b: a.unionByName(b), [rows_of(p, *plans[p]) for p in plans])
 
@@ -128,8 +128,11 @@ def branches(tables: dict[str, DataFrame], request: Request) -> DataFrame:
 
 
 def with_snippets(matches: DataFrame, request: Request) -> DataFrame:
-    """matches with snippet: the matched words of the text, marked."""
-    return matches.withColumn("snippet", english.snippet(request.query, stemmed=request.stemmed)(F.col("matched_text")))
+    """matches with snippet: the parts of the text that hold most of the query's words, marked."""
+    tokens = english.words(F.col("matched_text"))
+    tokens = english.stems(tokens) if request.stemmed else tokens
+    rows = matches.withColumn("_tokens", tokens)
+    return rows.withColumn("snippet", english.headline(F.col("matched_text"), F.col("_tokens"), english.wanted_words(request.query, request.stemmed))).drop("_tokens")
 
 
 def scored(matches: DataFrame) -> DataFrame:

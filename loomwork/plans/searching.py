@@ -1,11 +1,15 @@
 """Queries on search (X-01 to X-16, U-01, A-32 to A-34, W-01 to W-03, J-20)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from loomwork.functions import english
 from loomwork.operators import search as S
 from loomwork.plans.registry import query
 from loomwork.plans.star import Star
+from loomwork.sources.search_index import SearchIndex
+from loomwork.sources.shared import shared_folder
 
 QUERY = 'climate the OR "small ring" -water'
 _TOKENS = "' ' || LOWER(REGEXP_REPLACE({x}, '[^\\pL\\pN]+', ' ', 'g')) || ' '"
@@ -120,3 +124,61 @@ def search_stemmed(t: Star):
     names = ("courses", "course_topics", "learning_outcomes", "assessment_methods", "course_descriptions", "course_materials", "course_material_files", "course_material_chunks")
     found = S.branches({n: t[n] for n in names}, S.Request("licensing terms OR climates", stemmed=True))
     return S.with_snippets(found, S.Request("licensing terms OR climates", stemmed=True)).drop("matched_text")
+
+
+_NAMES = ("courses", "course_topics", "learning_outcomes", "assessment_methods", "course_descriptions", "course_materials", "course_material_files", "course_material_chunks")
+
+
+def _index(t: Star, stemmed: bool = False) -> SearchIndex:
+    """All texts, stored as a search reads them."""
+    index = SearchIndex(t.spark, f"{shared_folder(t.spark)}/search-{uuid.uuid4().hex}", stemmed)
+    index.add(S.vectors({n: t[n] for n in _NAMES}, stemmed), 0)
+    return index
+
+
+@query(f"WITH {_MATCHES} SELECT * FROM matches")
+def search_index_matches(t: Star):
+    """search_matches from a stored index: its words, phrase, OR and NOT from lists of positions."""
+    return _index(t).matches(S.Request(QUERY))
+
+
+@query(f"WITH {_RANKED} SELECT * FROM ranked")
+def search_index_ranking(t: Star):
+    """search_ranking from the lists of positions alone; no text is read."""
+    return S.ranked(_index(t).hits(S.Request(QUERY))).withColumn("rank", F.col("rank").cast("long"))
+
+
+_CHANGED = "topics AS (SELECT course_topic_id, course_id, CASE WHEN course_topic_id % 3 = 1 THEN REPLACE(topic, 'climate', 'weather') ELSE topic END AS topic FROM {course_topics} WHERE course_topic_id % 3 > 0)"
+
+
+@query(f"WITH {_CHANGED} SELECT course_id, topic AS matched_text FROM topics WHERE topic LIKE '%climate%' AND NOT topic LIKE '%NOT SPECIFIED%'")
+def search_index_updated(t: Star):
+    """A third of the topics changed, a third gone: only these are stored anew."""
+    topics, index = t.course_topics, _index(t)
+    own = F.col("course_topic_id") % 3
+    vectors = S.vectors({n: t[n] for n in _NAMES} | {"course_topics": topics.where(own == 1).withColumn("topic", F.replace("topic", F.lit("climate"), F.lit("weather")))}).where("property = 'topic'")
+    gone = S.vectors({n: t[n] for n in _NAMES} | {"course_topics": topics.where(own == 0)}).where("property = 'topic'")
+    gone = gone.withColumns({"matched_text": F.lit(None).cast("string"), "tokens": F.array().cast("array<string>")})
+    index.add(vectors.unionByName(gone), 1)
+    return index.matches(S.Request('climate -"not specified"', properties=("topic",))).select("course_id", "matched_text")
+
+
+_HEAD_WORDS = ("license", "under", "the", "de")
+
+
+@query(rf"""WITH w AS (SELECT doc_id, text, REGEXP_EXTRACT_ALL(LOWER(text), '[\pL\pN]+') AS w, REGEXP_EXTRACT_ALL(text, '[\pL\pN]+|[^\pL\pN]+') AS q FROM {{documents}}),
+    h AS (SELECT *, LIST_FILTER(RANGE(1, LEN(w) + 1), LAMBDA i: LIST_CONTAINS({list(_HEAD_WORDS)!r}, w[i])) AS h FROM w),
+    c AS (SELECT doc_id, p, LIST_FILTER(h, LAMBDA x: x >= p AND x < p + 16) AS s, w, LEN(w) AS n FROM (SELECT doc_id, w, h, UNNEST(h) AS p FROM h) AS x),
+    d AS (SELECT doc_id, p, LEN(LIST_DISTINCT(LIST_TRANSFORM(s, LAMBDA x: w[x]))) AS kinds, LEN(s) AS k, n FROM c),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id ORDER BY kinds DESC, k DESC, p) AS r FROM d),
+    a AS (SELECT doc_id, GREATEST(1, p - 4) AS s, LEAST(n, GREATEST(1, p - 4) + 19) AS e FROM r WHERE r = 1),
+    x AS (SELECT d.doc_id, p, n, a.s AS s1, a.e AS e1, ROW_NUMBER() OVER (PARTITION BY d.doc_id ORDER BY kinds DESC, k DESC, p) AS r FROM d JOIN a ON a.doc_id = d.doc_id WHERE p > a.e OR p + 16 <= a.s),
+    y AS (SELECT *, GREATEST(CASE WHEN p > e1 THEN e1 + 1 ELSE 1 END, p - 4) AS s FROM x WHERE r = 1),
+    b AS (SELECT doc_id, s, LEAST(CASE WHEN p > e1 THEN n ELSE s1 - 1 END, s + 19) AS e, 1 AS r FROM y),
+    f AS (SELECT doc_id, s, e FROM a UNION ALL SELECT doc_id, s, e FROM b WHERE r = 1),
+    m AS (SELECT f.doc_id, f.s, LIST_TRANSFORM(RANGE(1, 2 * (e - f.s) + 2), LAMBDA i: {{'x': REPLACE(REPLACE(REPLACE(REPLACE(q[CASE WHEN REGEXP_MATCHES(q[1], '^[\pL\pN]') THEN 0 ELSE 1 END + 2 * (f.s - 1) + i], '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), 'hit': i % 2 = 1 AND LIST_CONTAINS(h, f.s + (i - 1) // 2)}}) AS parts FROM f JOIN h ON h.doc_id = f.doc_id)
+    SELECT doc_id, STRING_AGG(ARRAY_TO_STRING(LIST_TRANSFORM(parts, LAMBDA y: CASE WHEN y.hit THEN '<mark>' || y.x || '</mark>' ELSE y.x END), ''), ' ... ' ORDER BY s) AS snippet FROM m GROUP BY 1""")
+def search_headlines(t: Star):
+    """The best parts of each document for four words."""
+    rows = t.documents.select("doc_id", "text", english.words(F.col("text")).alias("tokens"))
+    return rows.select("doc_id", english.headline(F.col("text"), F.col("tokens"), list(_HEAD_WORDS)).alias("snippet")).where("snippet is not null")

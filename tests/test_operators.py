@@ -82,7 +82,7 @@ def test_stemmed_search_and_snippet(spark):
     rows = spark.createDataFrame([("The runner was running <b>far</b>",)], "t string")
     tokens = english.stems(english.words(F.col("t")))
     assert rows.select(english.matches(tokens, "runs", stemmed=True).alias("x")).first().x
-    assert rows.select(english.snippet("runs", stemmed=True)("t").alias("x")).first().x == "The runner was <mark>running</mark> &lt;b&gt;far&lt;/b"
+    assert rows.select(english.headline(F.col("t"), tokens, english.wanted_words("runs", stemmed=True)).alias("x")).first().x == "The runner was <mark>running</mark> &lt;b&gt;far&lt;/b"
 
 
 def test_ranks_over_ranges_of_ids(spark, monkeypatch):
