@@ -87,13 +87,6 @@ def options(column: Column) -> Column:
     return F.upper(F.trim(column))
 
 
-def page_of(rows: DataFrame, order: list[Column], number: int, size: int) -> tuple[DataFrame, int]:
-    """(rows of a page, its number): a page past the end becomes the last one, one below 1 the first. order is total."""
-    last = max(1, -(-rows.count() // size))
-    number = min(max(1, number), last)
-    return rows.orderBy(*order).offset((number - 1) * size).limit(size), number
-
-
 def scope_grants(holders: DataFrame, courses: DataFrame, scope: str, role_id: int) -> DataFrame:
     """user_id, course_id, role_id of role holders over the courses of their own scope column, such as a department.
 

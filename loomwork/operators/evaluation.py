@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators import paging
+
 LABELS = ("I", "R", "E")
 
 
@@ -49,12 +51,18 @@ def hamming_loss(rows: DataFrame, truth: str, guess: str) -> DataFrame:
 
 
 def balanced(rows: DataFrame, label: str, seed: int = 42) -> DataFrame:
-    """All positives and, by a seeded hash of the row, about as many negatives: each is kept or not on its own."""
-    n = rows.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
-    share = min(1.0, n.p / n.n) if n.n else 0.0
-    return rows.where(f"{label} = 1").unionByName(rows.where(f"{label} = 0").sample(False, share, seed))
+    """All positives and exactly as many negatives, or all of them: those whose seeded hash is lowest."""
+    positives = rows.where(F.col(label) == 1)
+    negatives = paging.hashed(rows.where(F.col(label) == 0), seed)
+    return positives.unionByName(paging.lowest(negatives, [(paging.HASH, False)], positives.count()).drop(paging.HASH))
 
 
 def split(rows: DataFrame, seed: int = 42) -> list[DataFrame]:
-    """80, 10 and 10 % of the rows, at random."""
-    return rows.randomSplit([0.8, 0.1, 0.1], seed)
+    """80, 10 and 10 % of the rows in the order of a seeded hash, exactly but for rounding down and equal rows."""
+    some = paging.parts(paging.hashed(rows, seed), [(paging.HASH, False)], [0.8, 0.1, 0.1])
+    return [p.drop(paging.HASH) for p in some]
+
+
+def shuffled(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """rows in the order of a seeded hash, sorted in ranges."""
+    return paging.hashed(rows, seed).orderBy(paging.HASH).drop(paging.HASH)

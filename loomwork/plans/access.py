@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomwork.operators import access as A
+from loomwork.operators import paging as P
 from loomwork.plans.registry import query
 from loomwork.plans.star import Star
 
@@ -142,7 +143,15 @@ def programs_by_name_or_course(t: Star):
 
 @query("SELECT course_id, course_code FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY year DESC, course_id) AS r, (SELECT COUNT(*) FROM {courses}) AS n FROM {courses}) AS x WHERE r > 15 * ((n - 1) // 15)")
 def dashboard_page_past_the_end(t: Star):
-    return A.page_of(t.courses, [F.desc("year"), F.col("course_id")], 10**9, 15)[0].select("course_id", "course_code")
+    return P.page_of(t.courses, [("year", True), ("course_id", False)], 10**9, 15)[0].select("course_id", "course_code")
+
+
+@query("SELECT request_id, course_id FROM (SELECT o_orderkey AS request_id, o_custkey AS course_id, ROW_NUMBER() OVER (ORDER BY o_orderpriority DESC, o_orderdate, o_orderkey DESC) AS r, (SELECT COUNT(*) FROM {orders}) AS n FROM {orders}) AS x WHERE r > n // 2 // 25 * 25 AND r <= n // 2 // 25 * 25 + 25")
+def deep_page(t: Star):
+    """A page in the middle of all orders, by text, date and number; found by counts of ranges, not by an offset."""
+    rows = t.orders.select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("course_id"), "o_orderpriority", "o_orderdate")
+    order = [("o_orderpriority", True), ("o_orderdate", False), ("request_id", True)]
+    return P.page_of(rows, order, rows.count() // 2 // 25 + 1, 25)[0].select("request_id", "course_id")
 
 
 _HOLDERS = "(SELECT DISTINCT user_id, 'Brand#' || CAST(user_id % 5 + 1 AS STRING) || CAST(user_id % 4 + 1 AS STRING) AS course_code FROM {program_users})"

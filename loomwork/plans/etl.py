@@ -1,5 +1,7 @@
 """Queries on writes, jobs and evaluation (E-01 to E-19, A-43 to A-47, R-04, R-05, S-05, S-10)."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from loomwork.operators import etl as E
@@ -7,6 +9,7 @@ from loomwork.operators import evaluation as V
 from loomwork.plans.registry import query
 from loomwork.plans.star import Star
 from loomwork.sources import files, sinks
+from loomwork.streaming import jobs as J
 
 _RESULTS = """results AS (SELECT l_orderkey % 3000 + 1 AS l_outcome_id, l_suppkey % 200 + 1 AS pl_outcome_id, MIN(l_linenumber) % 3 <> 0 AS is_mapped,
     CASE MIN(l_linenumber) % 4 WHEN 0 THEN 'I' WHEN 1 THEN 'I,D' WHEN 2 THEN 'X,A' ELSE 'N/A' END AS labels FROM {lineitem} GROUP BY 1, 2)"""
@@ -263,3 +266,42 @@ def course_copied_alignment(t: Star):
 def course_copied_activities(t: Star):
     names = ("learning_outcomes", "assessment_methods", "learning_activities", "outcome_assessments", "outcome_activities")
     return E.course_copied(7, 900, {n: t[n] for n in names}, dict.fromkeys(names[:3], 9_000_000))["learning_activities"].select("l_activity_id", "course_id", "l_activity")
+
+
+_SAMPLED = "p AS (SELECT COUNT(*) FILTER (WHERE l_returnflag = 'R') AS p, COUNT(*) FILTER (WHERE l_returnflag = 'A') AS n FROM {lineitem}), k AS (SELECT p + LEAST(p, n) AS n FROM p)"
+
+
+@query(f"WITH {_SAMPLED} SELECT 'positive' AS part, p AS n FROM p UNION ALL SELECT 'negative', LEAST(p, n) FROM p UNION ALL SELECT 'train', CAST(FLOOR(n * 0.8) AS BIGINT) FROM k UNION ALL SELECT 'validation', CAST(FLOOR(n * 0.1) AS BIGINT) FROM k UNION ALL SELECT 'test', n - CAST(FLOOR(n * 0.8) AS BIGINT) - CAST(FLOOR(n * 0.1) AS BIGINT) FROM k UNION ALL SELECT 'twice', 0")
+def sampled_sizes(t: Star):
+    """Sizes of an exact sample of returned and accepted lines, of its parts, and how many rows are in two of them."""
+    rows = t.lineitem.where("l_returnflag in ('R', 'A')").withColumn("y", (F.col("l_returnflag") == "R").cast("int"))
+    sample = V.balanced(rows, "y")
+    named = [("positive", sample.where("y = 1")), ("negative", sample.where("y = 0"))]
+    parts = V.split(sample)
+    named += zip(("train", "validation", "test"), parts, strict=True)
+    named.append(("twice", parts[0].intersect(parts[1].unionByName(parts[2]))))
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in named]
+    return reduce(lambda a, b: a.unionByName(b), counts)
+
+
+#: Days that a job may run in the log of jobs.
+_LIMIT = 30
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT o_custkey AS course_id, o_orderkey AS request_id, CAST(o_orderdate AS TIMESTAMP) + (o_orderkey * 37 % 86400) * INTERVAL 1 SECOND AS ts FROM {{orders}}),
+    f AS (SELECT *, CASE WHEN request_id % 5 > 0 THEN ts + (1 + request_id % 60) * INTERVAL 1 DAY + INTERVAL 1 SECOND END AS fin, ROW_NUMBER() OVER (PARTITION BY course_id ORDER BY ts, request_id) AS i FROM s),
+    r AS (SELECT course_id, i, request_id, ts, fin, TRUE AS taken, LEAST(COALESCE(fin, ts + INTERVAL {_LIMIT} DAY), ts + INTERVAL {_LIMIT} DAY) AS busy FROM f WHERE i = 1
+        UNION ALL SELECT f.course_id, f.i, f.request_id, f.ts, f.fin, f.ts >= r.busy, CASE WHEN f.ts >= r.busy THEN LEAST(COALESCE(f.fin, f.ts + INTERVAL {_LIMIT} DAY), f.ts + INTERVAL {_LIMIT} DAY) ELSE r.busy END FROM r JOIN f ON f.course_id = r.course_id AND f.i = r.i + 1),
+    e AS (SELECT course_id, GREATEST(MAX(ts), COALESCE(MAX(fin), MAX(ts))) AS last FROM f GROUP BY 1)
+    SELECT course_id, request_id, 'REJECTED' AS status, ts AS "at" FROM r WHERE NOT taken UNION ALL SELECT course_id, request_id, UNNEST(['PENDING', 'RUNNING']), ts FROM r WHERE taken
+    UNION ALL SELECT course_id, request_id, CASE WHEN request_id % 2 = 0 THEN 'AWAITING' ELSE 'AWAITING_FAILED' END, fin FROM r WHERE taken AND fin = busy AND fin < ts + INTERVAL {_LIMIT} DAY
+    UNION ALL SELECT r.course_id, request_id, 'TIMED_OUT', busy FROM r JOIN e ON e.course_id = r.course_id WHERE taken AND (fin IS NULL OR fin >= ts + INTERVAL {_LIMIT} DAY) AND busy <= last""")
+def job_machine(t: Star):
+    """What becomes of each order as a job: refused while another of its course is unfinished, ended, or out of time."""
+    c = F.col
+    start = F.timestamp_micros(F.unix_micros(c("o_orderdate").cast("timestamp")) + (c("o_orderkey") * 37 % 86400) * 1_000_000)
+    rows = t.orders.select(c("o_custkey").alias("course_id"), c("o_orderkey").alias("request_id"), F.lit(1).cast("long").alias("program_id"), start.alias("at"))
+    end = F.timestamp_micros(F.unix_micros("at") + ((1 + c("request_id") % 60) * 86_400 + 1) * 1_000_000)
+    ends = rows.where("request_id % 5 > 0").withColumns({"event": F.when(c("request_id") % 2 == 0, "Completed").otherwise("Failed"), "at": end})
+    events = rows.withColumn("event", F.lit("Submitted")).unionByName(ends).withColumn("queue", c("course_id"))
+    return J.job_log(events, "queue", _LIMIT * 86_400.0).withColumnRenamed("queue", "course_id")
