@@ -94,3 +94,12 @@ NOT_SPACE[[32, 9, 10, 11, 12, 13]] = False
 WORD_BYTES = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    """UTF-8 with the capitals of ASCII and Latin-1 as small letters; no character changes its length."""
+    out = LOWER[data]
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    second = second[(data[second] >= 0x80) & (data[second] <= 0x9E) & (data[second] != 0x97)]
+    out[second] += 0x20
+    return out
