@@ -191,9 +191,18 @@ def matches(tokens: Column, query: str, stemmed: bool = False) -> Column:
     return out
 
 
+#: A course's code and number at the start of a query, maybe run together (a fixed pattern).
+CODE_AND_NUMBER = r"^([A-Za-z]+(?:_[A-Za-z]+)?)\s*(\d+)\b"
+
+
 def course_code_query(text: str) -> str:
     """A query that starts with a code and number run together, with a blank between them."""
-    return re.sub(r"^([A-Za-z]+(?:_[A-Za-z]+)?)\s*(\d+)\b", r"\1 \2", text)
+    return re.sub(CODE_AND_NUMBER, r"\1 \2", text)
+
+
+def course_code_text(text: Column) -> Column:
+    """course_code_query() of a column of queries, such as a log of searches."""
+    return F.regexp_replace(text, CODE_AND_NUMBER, "$1 $2")
 
 
 def normalized(text: str | None) -> str:

@@ -49,6 +49,17 @@ class Request:
             raise ValueError("course levels are 100 to 600")
 
 
+def request_of_form(form: dict, codes: list[str], programs: list[int]) -> Request:
+    """The request of a form: query, view, and the lists of its property, course and program filters.
+
+    A list counts if the form says that its filter was applied (property_, course_ or program_filters_applied); else all
+    properties, levels, and the codes and programs that the user may see.
+    """
+    lists = {"properties": ("property", list(WEIGHTS)), "course_codes": ("course", codes), "course_levels": ("course", list(LEVELS)), "program_ids": ("program", programs)}
+    some = {name: tuple(chosen(form.get(name), bool(form.get(f"{kind}_filters_applied")), default)) for name, (kind, default) in lists.items()}
+    return Request(form.get("query") or "", form.get("view") or VIEWS[0], **some)
+
+
 def chosen(values: list | None, applied: bool, default: list) -> list:
     """The list that a form sent if its filter was applied, else the default; an applied filter may be empty."""
     return list(values or []) if applied else list(default)

@@ -42,10 +42,13 @@ def top_topics(t: Star):
     return T.top_topics(t.course_topics.withColumn("score", F.col("position")), ["course_id"], 3).select("course_id", "topic", F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query(r"""WITH w AS (SELECT doc_id, LIST_FILTER(STRING_SPLIT_REGEX(text, '[ \t\n\x0b\f\r]+'), LAMBDA x: x <> '') AS w FROM {documents}),
+    s AS (SELECT *, GREATEST(20, CAST(ROUND_EVEN(SQRT(LEN(w)), 0) AS INT)) AS size FROM w),
+    p AS (SELECT *, GREATEST(1, CAST(ROUND_EVEN(size * 0.75, 0) AS INT)) AS step FROM s WHERE LEN(w) > 0)
+    SELECT doc_id, UNNEST(RANGE(0, (LEN(w) - 1) // step + 1)) AS place, ARRAY_TO_STRING(w[UNNEST(RANGE(0, (LEN(w) - 1) // step + 1)) * step + 1 : UNNEST(RANGE(0, (LEN(w) - 1) // step + 1)) * step + size], ' ') AS "window" FROM p""")
 def text_windows(t: Star):
     """Windows of each document's words, in order."""
-    return t.documents.select("doc_id", F.posexplode(T.windows(F.col("text"))).alias("place", "window"))
+    return t.documents.select("doc_id", F.posexplode(T.windows(F.col("text"))).alias("place", "window")).withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT part, CASE WHEN n > 0 THEN CAST(SUBSTRING(num, 1, 3) AS INT) ELSE 999 END AS number FROM (SELECT course_id AS part, course_num AS num, COALESCE(LENGTH(course_num), 0) AS n FROM {courses}) AS x")
@@ -177,7 +180,7 @@ _DATED = ["may I ask", "Rainfall in", "Sept 3, 2021", "January 2022", "on news1
 _MONTH_ROWS = ", ".join(f"({i}, '\\b(?:{full}{'|' + short if short else ''})\\b')" for i, (full, short) in enumerate(Y.MONTH_NAMES.items(), 1))
 
 
-@query(f"""WITH d AS (SELECT p_partkey AS id, [{', '.join(chr(39) + x + chr(39) for x in _DATED)}] AS k FROM {{part}}),
+@query(rf"""WITH d AS (SELECT p_partkey AS id, [{', '.join(chr(39) + x + chr(39) for x in _DATED)}] AS k FROM {{part}}),
     t AS (SELECT id, k[id % 11 + 1] || '; ' || k[id // 11 % 11 + 1] || '; ' || k[id // 121 % 11 + 1] AS x FROM d),
     n AS (SELECT id, x, UPPER(REGEXP_EXTRACT(x, '(?i)(Fall[ _]?20\d{{2}}|Winter[ _]?Term[ _]?[12]|20\d{{2}}[ _]?[WS][ _]?[12]|Term[ ]?[12][ ]?20\d{{2}})')) AS named, REGEXP_EXTRACT_ALL(x, '20\d{{2}}') AS years FROM t),
     m AS (SELECT id, i, ROW_NUMBER() OVER (PARTITION BY id ORDER BY c DESC, i) AS r, c FROM (SELECT id, i, LEN(REGEXP_EXTRACT_ALL(x, p)) AS c FROM t, (VALUES {_MONTH_ROWS}) AS v(i, p)) AS q),

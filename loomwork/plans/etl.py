@@ -305,3 +305,20 @@ def job_machine(t: Star):
     ends = rows.where("request_id % 5 > 0").withColumns({"event": F.when(c("request_id") % 2 == 0, "Completed").otherwise("Failed"), "at": end})
     events = rows.withColumn("event", F.lit("Submitted")).unionByName(ends).withColumn("queue", c("course_id"))
     return J.job_log(events, "queue", _LIMIT * 86_400.0).withColumnRenamed("queue", "course_id")
+
+
+@query(f"WITH {_JOBS}, e AS (SELECT o_orderkey AS request_id, CASE o_orderkey % 3 WHEN 0 THEN 'Completed' WHEN 1 THEN 'Failed' ELSE 'InProgress' END AS job_status FROM {{orders}} WHERE o_orderkey % 4 > 0) SELECT jobs.request_id, CASE job_status WHEN 'Completed' THEN 'AWAITING' WHEN 'Failed' THEN 'AWAITING_FAILED' ELSE status END AS status FROM jobs LEFT JOIN e ON e.request_id = jobs.request_id WHERE status = 'RUNNING'")
+def jobs_by_name(t: Star):
+    """Running jobs after the ends that came by their names; some have none yet."""
+    name = lambda key: F.concat(F.lit("job-"), F.col(key).cast("string"))
+    state = F.element_at(F.array(F.lit("Completed"), F.lit("Failed"), F.lit("InProgress")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    ends = t.orders.where("o_orderkey % 4 > 0").select(name("o_orderkey").alias("job_name"), state.alias("job_status"))
+    running = _jobs(t).where("status = 'RUNNING'").withColumn("job_name", name("request_id"))
+    return E.job_states(E.job_of(running, ends)).select("request_id", "status")
+
+
+@query(f"WITH {_JOBS}, w AS (SELECT * FROM jobs WHERE status <> 'RUNNING'), f AS (SELECT request_id FROM w WHERE status = 'PENDING' ORDER BY created_at, request_id LIMIT 1) SELECT request_id, CASE WHEN request_id IN (SELECT request_id FROM f) THEN 'RUNNING' ELSE status END AS status FROM w")
+def jobs_next_started(t: Star):
+    """All jobs but those that ran, the oldest one that waits started."""
+    free = _jobs(t).where("status <> 'RUNNING'")
+    return E.next_started(free, F.lit("2999-01-01").cast("timestamp")).select("request_id", "status")

@@ -92,9 +92,14 @@ def search_shared_cap_with_named(t: Star):
     return out.withColumns({"rank": F.col("rank").cast("long"), "spent": F.col("spent").cast("long")})
 
 
-@query(f"WITH m AS (SELECT course_id, LEFT(course_code, 5) || course_num AS asked FROM {{courses}} WHERE course_num IS NOT NULL), w AS (SELECT REGEXP_REPLACE('FRST100 fire', '^([A-Za-z]+)([0-9].*)$', '\\1 \\2') AS q) SELECT course_id, q FROM m, w")
+_ASKED = "CASE course_id % 5 WHEN 0 THEN LEFT(course_code, 5) || course_num || ' ' || course_title WHEN 1 THEN LEFT(course_code, 5) || '_A' || course_num WHEN 2 THEN course_title || ' ' || LEFT(course_code, 5) || course_num WHEN 3 THEN LEFT(course_code, 5) || '  ' || course_num ELSE course_num || LEFT(course_code, 5) END"
+
+
+@query(f"SELECT course_id, REGEXP_REPLACE({_ASKED}, '^([A-Za-z]+(_[A-Za-z]+)?)\\s*([0-9]+)\\b', '\\1 \\3') AS q FROM {{courses}} WHERE course_num IS NOT NULL")
 def search_code_queries(t: Star):
-    return t.courses.where("course_num is not null").select("course_id", F.lit(english.course_code_query("FRST100 fire")).alias("q"))
+    """Queries that name each course's code and number, run together, apart, and elsewhere than at the start."""
+    rows = t.courses.where("course_num is not null")
+    return rows.select("course_id", english.course_code_text(F.expr(_ASKED)).alias("q"))
 
 
 @query(f"WITH {_MATCHES}, {_ALLOWED} SELECT * FROM matches WHERE course_id IN (SELECT course_id FROM allowed)")

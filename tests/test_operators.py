@@ -105,6 +105,13 @@ def test_bad_requests(bad):
         search.Request(**bad)
 
 
+def test_request_of_a_form():
+    form = {"query": " soil ", "properties": ["topic"], "course_codes": [], "course_levels": [100], "course_filters_applied": True, "program_ids": [2]}
+    asked = search.request_of_form(form, ["FRST"], [1, 2])
+    assert (asked.query, asked.view, asked.properties, asked.course_codes, asked.course_levels, asked.program_ids) == ("soil", "courses", tuple(search.WEIGHTS), (), (100,), (1, 2))
+    assert search.request_of_form({}, ["FRST"], []).course_codes == ("FRST",)
+
+
 def test_code_query():
     assert english.course_code_query("FRST100 fire") == "FRST 100 fire"
 
