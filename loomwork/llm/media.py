@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Payloads are padded to a positive multiple of FRAME bytes with PAD.
@@ -108,14 +109,33 @@ def media_digests(media: DataFrame) -> DataFrame:
     return _mapped(media.select("doc_id", "n_bytes", "media", "fingerprint"), rows, types, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+#: Bytes and rows that are worked on at once; a larger row is a run of its own.
+RUN_BYTES, RUN_ROWS = 1_000_000, 128
+
+
+def _runs(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose texts, media and lists have RUN_BYTES together, about."""
+    size = np.zeros(part.num_rows, np.int64)
+    for column in part.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        elif pa.types.is_list(column.type):
+            size += 8 * pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    upto, at = np.cumsum(size), 0
+    while at < part.num_rows:
+        before = upto[at - 1] if at else 0
+        end = min(at + RUN_ROWS, max(at + 1, int(np.searchsorted(upto, before + RUN_BYTES, "right"))))
+        yield part.slice(at, end - at)
+        at = end
+
+
 def _mapped(df: DataFrame, rows, types: list[pa.DataType], schema: str) -> DataFrame:
-    """rows of each row's values; few rows at once, as media are large."""
+    """rows of each row's values; few bytes at once, as media are large."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for at in range(0, part.num_rows, 128):
-                some = part.slice(at, 128)
+            for some in _runs(part):
                 found = zip(*(rows(*r) for r in zip(*(c.to_pylist() for c in some.columns), strict=True)), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(found, types, strict=True)], names)
 

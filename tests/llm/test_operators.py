@@ -458,6 +458,29 @@ def test_token_shards_do_not_hang_on_partitions(spark, tmp_path, monkeypatch):
     assert [p.read_bytes() for p in shards_of(tmp_path, "a")] != data and sum(map(len, data)) == sum(p.stat().st_size for p in shards_of(tmp_path, "a"))
 
 
+def test_media_features_against_plain_loops(spark):
+    """Peaks frame by frame, by sums of products, and every pair of them; runs are cut by bytes."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect() if len(r.text or "") < 1500}
+    found = {r.doc_id: r.feature for r in queries.op10_media_columns(spark, SMALL).collect()}
+    assert len(texts) > 20
+    turns = np.exp(-2j * np.pi * np.outer(np.arange(media.FRAME), np.arange(media.FRAME // 2 + 1)) / media.FRAME)
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / media.FRAME) for i in range(media.FRAME)]
+    for doc_id, text in list(texts.items())[:25]:
+        payload = text.encode()
+        payload += b"\xff" * ((-len(payload)) % 576 or (0 if payload else 576))
+        tops = []
+        for at in range(0, len(payload) - 575, 288):
+            spectrum = np.array([(b - 128) * w for b, w in zip(payload[at : at + 576], window, strict=True)]) @ turns
+            power = np.rint(spectrum.real**2 + spectrum.imag**2)
+            tops.append([max(range(low, high), key=lambda b: (power[b], -b)) for low, high in media.BANDS])
+        codes = [t << 24 | top[b] << 13 | top[b + 1] << 3 for t, top in enumerate(tops) for b in (0, 1)]
+        codes += [t << 24 | tops[t][b] << 13 | tops[t + ahead][b] << 3 | ahead for t in range(len(tops)) for ahead in (1, 2, 3) if t + ahead < len(tops) for b in range(3)]
+        digest = hashlib.sha256(np.array(sorted(codes), "<i8").tobytes()).hexdigest()
+        assert found[doc_id] == f"{len(tops)} frames, {len(codes)} pairs, {digest}"
+    batch = pa.RecordBatch.from_arrays([pa.array(["a" * n for n in (10, 2_000_000, 5, 600_000, 600_000)] + [None] * 300)], ["text"])
+    assert [r.num_rows for r in media._runs(batch)] == [1, 1, 2, 128, 128, 45]
+
+
 def test_media(spark, odd, nothing):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
     for r in queries.op10_media_columns(spark, SMALL).collect():
