@@ -20,15 +20,19 @@ NGRAM = 4
 #: Bound of the labelled table: the rows whose host and path hash lowest.
 LABELLED_ROWS = 512
 #: Gradient steps with momentum; RATE is stable as each n-gram vector has length 1 or so.
-STEPS, RATE, MOMENTUM, L2 = 30, 10.0, 0.9, 1e-5
+STEPS, RATE, MOMENTUM, L2 = 60, 10.0, 0.9, 1e-5
 #: Words of unwanted sites (gambling, adult, pharmacy spam, scams, advertising) and of ordinary ones. Each stands in
-#: hosts with NEUTRAL words, top-level domains and paths that both kinds share, so those say nothing.
+#: hosts with NEUTRAL words, top-level domains and paths that both kinds share, so those say nothing, and in TELLING
+#: more hosts with paths that tell their kind, whatever the host's word.
 BLOCK_WORDS = "casino poker bets jackpot lottery slots adult porn escorts sexcams viagra pills pharmacy steroids spam phishing malware warez payday replica adserver track popups clickbait".split()
 ALLOW_WORDS = "library school museum garden weather recipes travel history science music health clinic bakery university archive council theatre market kitchen cycling football gallery village station hospital journal review courier herald gazette printing carpentry plumbing housing farming fishing sailing hiking painting knitting reading teaching physics chemistry biology algebra geometry grammar".split()
 NEUTRAL = "online site world best zone my top hub".split()
-FORMS = 4
+FORMS, TELLING = 4, 2
 DOMAINS, PATHS = ("com", "net", "org", "info"), ("/", "/en/12", "/index.html", "/fr/7/", "/news/3301", "/de/page.html", "/es/45")
 
+BLOCK_PATHS = ("/bonus/free-spins/claim", "/buy-cheap-meds-online.php", "/xxx/live-cams/18", "/win-big-prize/click.php", "/download/crack-keygen.exe", "/verify-account/login.php?", "/hot-deals/click-here", "/free-bonus/claim-prize.php", "/cheap-meds/buy-now", "/live-cams/free")
+ALLOW_PATHS = ("/articles/2021/06/", "/about/contact-us", "/docs/guide/chapter-3", "/lessons/unit-2/", "/opening-hours", "/events/calendar/2022", "/research/papers/", "/members/minutes/2019", "/collections/catalogue", "/visit/plan-your-day")
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -90,15 +94,17 @@ def block_probability(buckets: Column, weights: list[float], bias: float) -> Col
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """host, path, block of the labelled table: a host of each of FORMS for each word."""
+    """host, path, block of the labelled table: a host of each of FORMS, and of TELLING more, for each word."""
     kinds = ((1.0, BLOCK_WORDS), (0.0, ALLOW_WORDS))
     words = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(block).alias("block"), F.lit(i).alias("i")) for block, some in kinds for i, w in enumerate(some)])
     one = lambda some, i: F.get(F.array(*map(F.lit, some)), i % len(some))
-    each = spark.range(1).select(F.inline(words)).select("*", F.explode(F.sequence(F.lit(0), F.lit(FORMS - 1))).alias("form"))
+    each = spark.range(1).select(F.inline(words)).select("*", F.explode(F.sequence(F.lit(0), F.lit(FORMS + TELLING - 1))).alias("form"))
     n = F.col("i") * FORMS + F.col("form")
     near = one(NEUTRAL, n)
-    name = F.get(F.array(F.concat(F.lit("www."), "word", F.lit("-"), near), F.concat(near, "word"), F.concat(near, F.lit("-"), "word"), F.concat("word", near)), F.col("form"))
-    return each.select(F.concat(name, F.lit("."), one(DOMAINS, n)).alias("host"), one(PATHS, n).alias("path"), "block")
+    name = F.get(F.array(F.concat(F.lit("www."), "word", F.lit("-"), near), F.concat(near, "word"), F.concat(near, F.lit("-"), "word"), F.concat("word", near), F.concat("word", F.lit("24")), F.concat(F.lit("the"), "word")), F.col("form"))
+    telling = F.when(F.col("block") > 0, one(BLOCK_PATHS, F.col("i") + F.col("form"))).otherwise(one(ALLOW_PATHS, F.col("i") + F.col("form")))
+    path = F.when(F.col("form") < FORMS, one(PATHS, n)).otherwise(telling)
+    return each.select(F.concat(name, F.lit("."), one(DOMAINS, n)).alias("host"), path.alias("path"), "block")
 
 
 def train(labelled: DataFrame) -> tuple[list[float], float]:

@@ -224,6 +224,17 @@ def test_url_model_on_held_out_hosts(spark):
     assert odd.count("block") >= 0.9 * len(odd) and plain.count("allow") >= 0.95 * len(plain)
 
 
+def test_url_paths_on_held_out_words(spark):
+    """Hosts of words that training has not seen in any form: their telling paths decide."""
+    rows = [tuple(r) for r in urls.labelled_urls(spark).collect()]
+    words = sorted(urls.BLOCK_WORDS + urls.ALLOW_WORDS, key=len, reverse=True)
+    fold = [zlib.crc32(next(w for w in words if w in h).encode()) % 4 == 0 for h, _, _ in rows]
+    w, b = brute_train([r for r, p in zip(rows, fold, strict=True) if not p])
+    told = [r for r, p in zip(rows, fold, strict=True) if p and r[1] in urls.BLOCK_PATHS + urls.ALLOW_PATHS]
+    right = [(b + sum(w[i] for i in grams_of(h, q)) / np.sqrt(len(grams_of(h, q))) > 0) == (y == 1) for h, q, y in told]
+    assert len(right) > 20 and sum(right) >= 0.9 * len(right)
+
+
 def test_urls_on_odd_rows(spark):
     long = "http://casino.example.net/" + "a/" * 100_000
     rows = [(None, "http://x.net/a"), (1, None), (2, ""), (3, "://"), (4, long), (5, "http://x.net/a"), (5, "http://x.net/a")]
