@@ -38,3 +38,32 @@ def test_whole_tables(name, spark):
     found = Counter(map(tuple, frame.collect()))
     expected = duck.execute(f"SELECT {', '.join(frame.columns)} FROM ({registry.oracle_sql()[name]}) AS x").fetchall()
     assert found == Counter(expected) and expected
+
+
+SHARED = [(1, 1), (1, 2), (2, 2), (2, 1), (2, 1), (3, 2), (4, None), (5, 9)]
+COURSES = [(10, 1), (10, 2), (11, 1), (12, 2), (13, None), (13, 3), (10, 1)]
+
+
+@pytest.fixture
+def roles(spark):
+    return spark.createDataFrame(SHARED, "user_id long, program_id long"), spark.createDataFrame(COURSES, "course_id long, program_id long")
+
+
+def expected_pairs():
+    return {(u, c) for u, p in SHARED for c, q in COURSES if p is not None and p == q}
+
+
+def test_pairs_are_not_shuffled(roles):
+    """Pairs are distinct without an aggregation over them, in tasks whose number does not hang on the bytes that meet."""
+    grants = access.role_grants(*roles, ["program_id"], 2)
+    assert sorted(map(tuple, grants.collect())) == sorted((*p, 2) for p in expected_pairs())
+    assert grants.rdd.getNumPartitions() == access.BLOCKS
+    top = grants._jdf.queryExecution().optimizedPlan().toString().partition("Join")[0]
+    assert "Aggregate" not in top and "Distinct" not in top
+
+
+def test_scope_grants_share_the_step(roles):
+    holders, courses = roles
+    grants = access.scope_grants(holders, courses, "program_id", 4)
+    assert sorted(map(tuple, grants.collect())) == sorted((*p, 4) for p in expected_pairs())
+    assert grants.rdd.getNumPartitions() == access.BLOCKS
