@@ -54,12 +54,12 @@ def balanced(rows: DataFrame, label: str, seed: int = 42) -> DataFrame:
     """All positives and exactly as many negatives, or all of them: those whose seeded hash is lowest."""
     positives = rows.where(F.col(label) == 1)
     negatives = paging.hashed(rows.where(F.col(label) == 0), seed)
-    return positives.unionByName(paging.lowest(negatives, [(paging.HASH, False)], positives.count()).drop(paging.HASH))
+    return positives.unionByName(paging.lowest(negatives, positives.count()).drop(paging.HASH))
 
 
 def split(rows: DataFrame, seed: int = 42) -> list[DataFrame]:
     """80, 10 and 10 % of the rows in the order of a seeded hash, exactly but for rounding down and equal rows."""
-    some = paging.parts(paging.hashed(rows, seed), [(paging.HASH, False)], [0.8, 0.1, 0.1])
+    some = paging.parts(paging.hashed(rows, seed), [0.8, 0.1, 0.1])
     return [p.drop(paging.HASH) for p in some]
 
 

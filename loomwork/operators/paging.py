@@ -91,32 +91,85 @@ def hashed(rows: DataFrame, seed: int) -> DataFrame:
     return rows.withColumn(HASH, F.xxhash64(F.lit(seed), *[F.col(c) for c in rows.columns]))
 
 
-def lowest(rows: DataFrame, order: Order, n: int) -> DataFrame:
-    """Exactly the first n rows in an order, all if they are fewer; of rows that tie at its end as many as fit."""
+#: Digits of 12 bits that a hash has for counts, the first of them signed.
+DIGITS = (52, 40, 28, 16, 4)
+
+
+def hash_at(rows: DataFrame, places: list[int]) -> list[int | None]:
+    """The hashes at places (from 0) in their order, null where there is none; all places are found in the same passes.
+
+    A pass counts the rows by the next 12 bits, in the ranges that still hold a place: 4096 counts a place at most. Hashes
+    are spread evenly, so a range is FEW rows after a pass or two.
+    """
+    c = F.col(HASH)
+    found: dict[int, int | None] = {}
+    open_ = {place: (-(1 << 63), (1 << 63) - 1, place) for place in places}  # the range of a place, and what is left in it
+    for shift in DIGITS:
+        ranges = sorted({(low, high) for low, high, _ in open_.values()})
+        if not ranges:
+            break
+        held = reduce(lambda a, b: a | b, [c.between(low, high) for low, high in ranges])
+        counts = sorted(map(tuple, rows.where(held).groupBy(F.shiftright(c, shift).alias("d")).count().collect()))
+        small: dict[int, tuple[int, int, int]] = {}
+        for place, (low, high, left) in list(open_.items()):
+            del open_[place]
+            found[place] = None
+            for d, n in counts:
+                if not low <= d << shift <= high:
+                    continue
+                if left < n:
+                    into = small if n <= FEW else open_
+                    into[place] = (d << shift, (d + 1 << shift) - 1, left)
+                    break
+                left -= n
+        if small:
+            some = sorted({(low, high) for low, high, _ in small.values()})
+            near = reduce(lambda a, b: a | b, [c.between(low, high) for low, high in some])
+            hashes = sorted(r[0] for r in rows.where(near).select(HASH).collect())  # FEW rows a place at most
+            for place, (low, high, left) in small.items():
+                found[place] = [h for h in hashes if low <= h <= high][left]
+    for place, (low, high, left) in open_.items():  # more than FEW rows within 4 bits: counts of single hashes
+        for h, n in sorted(map(tuple, rows.where(c.between(low, high)).groupBy(HASH).count().collect())):
+            if left < n:
+                found[place] = h
+                break
+            left -= n
+    return [found[p] if p >= 0 else None for p in places]
+
+
+def lowest(rows: DataFrame, n: int) -> DataFrame:
+    """Exactly the n rows of hashed() whose hash is lowest, all if they are fewer; of rows that tie at its end as many as fit."""
     if n <= 0:
         return rows.limit(0)
-    key = key_at(rows, order, n - 1)
+    key = hash_at(rows, [n - 1])[0]
     if key is None:
         return rows
-    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.lit(key[c])) for c, _ in order])
-    before = rows.where(~_from(order, key, own=True))
-    return before.unionByName(rows.where(same).limit(n - before.count()))
+    c = F.col(HASH)
+    before = rows.where(c < key)
+    left, same = n - before.count(), rows.where(c == key)
+    if left == same.count():
+        return rows.where(c <= key)  # one scan, no limit
+    return before.unionByName(same.limit(left))
 
 
-def parts(rows: DataFrame, order: Order, shares: list[float]) -> list[DataFrame]:
-    """The rows in runs of an order, each with floor(its share of all rows) of them, but the last has the rest.
+def parts(rows: DataFrame, shares: list[float]) -> list[DataFrame]:
+    """hashed() rows in runs of their hash, each with floor(its share of all rows) of them, but the last has the rest.
 
-    Rows that tie in all columns of the order stay in one part, so then sizes are off by the ties.
+    Rows that tie stay in one part, so then sizes are off by the ties.
     """
-    n, out, rest = rows.count(), [], rows
-    upto = 0
+    n, upto = rows.count(), 0
+    ends = []
     for share in shares[:-1]:
         upto += int(n * share)
-        key = key_at(rows, order, upto)
-        if key is None:
-            out.append(rest)
-            rest = rest.limit(0)
+        ends.append(upto)
+    c, out, low = F.col(HASH), [], None
+    within = lambda low, high: (F.lit(True) if low is None else c >= low) & (F.lit(True) if high is None else c < high)
+    for key in hash_at(rows, ends):
+        if key is None:  # nothing is left for the later parts
+            key = (1 << 63) - 1
+            out.append(rows.where(within(low, None)))
+            rows, low = rows.limit(0), key
             continue
-        out.append(rest.where(~_from(order, key, own=True)))
-        rest = rest.where(_from(order, key, own=True))
-    return [*out, rest]
+        out.append(rows.where(within(low, key)))
+        low = key
+    return [*out, rows.where(within(low, None))]
