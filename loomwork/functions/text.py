@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,3 +61,8 @@ def preset(text: Column) -> Column:
     some = lambda c, kind: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast(f"array<{kind}>"))))
     codes = F.transform(some(p["course_codes"], "string"), lambda c: F.upper(F.trim(c)))
     return F.struct(F.coalesce(p["view"], F.lit("courses")).alias("view"), some(p["properties"], "string").alias("properties"), F.array_sort(F.array_distinct(codes)).alias("course_codes"), some(p["course_levels"], "int").alias("course_levels"), some(p["program_ids"], "bigint").alias("program_ids"))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: within functions over arrays Spark repeats an expression that stands there."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomwork.functions.english import STOP_WORDS
+from loomwork.functions.text import let
 
 MAX_TITLE_WORDS, HEADING_SIZE, MAX_TOPIC_WORDS = 15, 10.0, 8
 MIN_WINDOW, WINDOW_STEP = 20, 0.75
@@ -87,11 +88,12 @@ def united(lists: list[DataFrame], key: list[str]) -> DataFrame:
 
 def windows(text: Column) -> Column:
     """Overlapping windows of words: as many words as the root of their number, MIN_WINDOW at least."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    size = F.greatest(F.lit(MIN_WINDOW), F.bround(F.sqrt(F.size(words))).cast("int"))
-    step = F.greatest(F.lit(1), F.bround(size * WINDOW_STEP).cast("int"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words)), step)
-    return F.when(F.size(words) > 0, F.transform(starts, lambda i: F.array_join(F.slice(words, i, size), " "))).otherwise(F.array().cast("array<string>"))
+    size = lambda words: F.greatest(F.lit(MIN_WINDOW), F.bround(F.sqrt(F.size(words))).cast("int"))
+    step = lambda size: F.greatest(F.lit(1), F.bround(size * WINDOW_STEP).cast("int"))
+    starts = lambda words, size: F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words)), step(size))
+    cut = lambda words, size: F.transform(starts(words, size), lambda i: F.array_join(F.slice(words, i, size), " "))
+    some = lambda words: F.when(F.size(words) > 0, let(size(words), lambda n: cut(words, n))).otherwise(F.array().cast("array<string>"))
+    return let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), some)
 
 
 def filtered(topics: DataFrame, key: list[str], *, least_chars: int = 5, threshold: float = 0.5, cased: bool = False, ends_well: Callable[[Column], Column] | None = None, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:

@@ -10,7 +10,7 @@ from loomwork.operators import outline as O
 from loomwork.operators import syllabus as Y
 from loomwork.operators import topics as T
 from loomwork.plans.registry import query
-from loomwork.plans.star import Star
+from loomwork.plans.star import Star, spread
 
 
 @query("SELECT doc_id, CASE WHEN STRPOS(text, 'License') > 0 THEN 'y' ELSE 'n' END AS has, LENGTH(text) - LENGTH(REPLACE(text, 'e', '')) AS n FROM {documents}")
@@ -48,7 +48,7 @@ def top_topics(t: Star):
     SELECT doc_id, UNNEST(RANGE(0, (LEN(w) - 1) // step + 1)) AS place, ARRAY_TO_STRING(w[UNNEST(RANGE(0, (LEN(w) - 1) // step + 1)) * step + 1 : UNNEST(RANGE(0, (LEN(w) - 1) // step + 1)) * step + size], ' ') AS "window" FROM p""")
 def text_windows(t: Star):
     """Windows of each document's words, in order."""
-    return t.documents.select("doc_id", F.posexplode(T.windows(F.col("text"))).alias("place", "window")).withColumn("place", F.col("place").cast("long"))
+    return spread(t.documents.select("doc_id", "text")).select("doc_id", F.posexplode(T.windows(F.col("text"))).alias("place", "window")).withColumn("place", F.col("place").cast("long"))
 
 
 @query("SELECT part, CASE WHEN n > 0 THEN CAST(SUBSTRING(num, 1, 3) AS INT) ELSE 999 END AS number FROM (SELECT course_id AS part, course_num AS num, COALESCE(LENGTH(course_num), 0) AS n FROM {courses}) AS x")
@@ -195,7 +195,7 @@ def syllabus_named_terms(t: Star):
     parts = F.array(*map(F.lit, _DATED))
     pick = lambda by: F.get(parts, (F.call_function("div", "p_partkey", F.lit(by)) % len(_DATED)).cast("int"))
     text = F.concat_ws("; ", pick(1), pick(11), pick(121))
-    return t.part.select(F.col("p_partkey").alias("id"), Y.term_of_pages(F.lit("syllabus.pdf"), F.array(text)).alias("t")).select("id", "t.term", "t.year")
+    return spread(t.part).select(F.col("p_partkey").alias("id"), Y.term_of_pages(F.lit("syllabus.pdf"), F.array(text)).alias("t")).select("id", "t.term", "t.year")
 
 
 @query("SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'Syllabus of ' || p_brand ELSE p_name END AS title FROM {part}")
@@ -206,7 +206,7 @@ def syllabus_titles(t: Star):
     none = F.concat(F.lit("\n12\n Syllabus of "), "p_brand", F.lit(" \nmore"))
     kind = F.col("p_partkey") % 3
     text = F.when(kind == 0, none).when(kind == 1, named).otherwise(dashed)
-    return t.part.select(F.col("p_partkey").alias("id"), Y.course_title(text, F.lit("FRST"), F.lit("200")).alias("title"))
+    return spread(t.part).select(F.col("p_partkey").alias("id"), Y.course_title(text, F.lit("FRST"), F.lit("200")).alias("title"))
 
 
 @query("SELECT conv_id AS document_id, UPPER(role) AS value FROM (SELECT conv_id, role, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY COUNT(*) DESC, MIN(turn)) AS r FROM {conversations} GROUP BY conv_id, role) AS x WHERE r = 1")
@@ -286,7 +286,7 @@ def syllabus_materials(t: Star):
 def syllabus_term_and_year(t: Star):
     month = F.element_at(F.array(*[F.lit(m.capitalize()) for m in Y.MONTHS]), (F.col("p_partkey") % 12 + 1).cast("int"))
     text = F.concat(month, F.lit(" 3, "), (F.col("p_partkey") % 5 + 2020).cast("string"), F.lit(" and "), month, F.lit(" 9; August 1999"))
-    return t.part.select(F.col("p_partkey").alias("id"), Y.term_and_year(F.lit("syllabus.pdf"), text).alias("t")).select("id", "t.term", "t.year")
+    return spread(t.part).select(F.col("p_partkey").alias("id"), Y.term_and_year(F.lit("syllabus.pdf"), text).alias("t")).select("id", "t.term", "t.year")
 
 
 @query("SELECT course_id, TRIM(topic) AS topic FROM (SELECT DISTINCT course_id, CASE WHEN course_topic_id % 3 = 0 THEN topic ELSE SUBSTRING(topic, 1, LENGTH(topic) - 1) END AS topic FROM {course_topics}) AS x")
