@@ -9,7 +9,8 @@ import re
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -131,10 +132,16 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def stems(tokens: pd.Series) -> pd.Series:
-    """Stems of words in order, an empty string in the place of a stop word."""
-    return tokens.map(lambda ws: ["" if w in STOP_WORDS else stem(w) for w in ws])
+@F.arrow_udf(ArrayType(StringType()))
+def stems(tokens: pa.Array) -> pa.Array:
+    """Stems of words in order, an empty string in the place of a stop word.
+
+    Only the distinct words of a batch become Python strings, so memory follows Arrow's columns, not the words.
+    """
+    words = tokens.flatten().dictionary_encode()
+    known = pa.array(["" if w in STOP_WORDS else stem(w) for w in words.dictionary.to_pylist()], pa.string())
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(tokens), 0))
+    return pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], ends.type), ends]), known.take(words.indices))
 
 
 @dataclass(frozen=True)
