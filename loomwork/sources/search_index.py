@@ -32,8 +32,9 @@ class SearchIndex:
         A generation that is added again is overwritten. A text with null matched_text is removed from the index.
         """
         rows = vectors.select(*TEXT, "course_id", F.posexplode("tokens").alias("position", "token")).where("token <> ''")
-        postings = rows.groupBy("token", *TEXT, "course_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
-        postings.repartitionByRange("token", *TEXT).sortWithinPartitions("token", *TEXT).write.mode("overwrite").parquet(f"{self.path}/postings/generation={generation}")
+        ranges = rows.repartitionByRange("token", *TEXT)  # the lists are made within these ranges: one shuffle
+        postings = ranges.groupBy("token", *TEXT, "course_id").agg(F.array_sort(F.collect_list("position")).alias("positions"))
+        postings.sortWithinPartitions("token", *TEXT).write.mode("overwrite").parquet(f"{self.path}/postings/generation={generation}")
         vectors.select("property", "text_id", *[c for c in FOUND if c != "property"]).write.mode("overwrite").parquet(f"{self.path}/texts/generation={generation}")
 
     def _read(self, name: str) -> DataFrame:
