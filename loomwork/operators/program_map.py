@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomwork.operators.blocks import evenly
+
 #: Colour of a tied cell.
 TIE_COLOUR = "#FFFFFF"
 #: Abbreviations from weak to strong, by kind of scale (fixed values).
@@ -18,9 +20,12 @@ GRADUATE = ("5", "6")
 
 
 def program_pairs(maps: DataFrame, clos: DataFrame, plos: DataFrame, course_programs: DataFrame) -> DataFrame:
-    """program_id, pl_outcome_id, course_id, course_required, l_outcome_id, map_scale_id of current program courses."""
+    """program_id, pl_outcome_id, course_id, course_required, l_outcome_id, map_scale_id of current program courses.
+
+    Rows of a program and course are in one of TASKS tasks, so cells are counted and ranked where they meet.
+    """
     rows = maps.join(clos.select("l_outcome_id", "course_id"), "l_outcome_id").join(plos.select("pl_outcome_id", "program_id"), "pl_outcome_id")
-    return rows.join(course_programs.select("program_id", "course_id", "course_required"), ["program_id", "course_id"])
+    return evenly(rows, course_programs.select("program_id", "course_id", "course_required"), ["program_id", "course_id"])
 
 
 def one_level(pairs: DataFrame) -> DataFrame:
@@ -168,10 +173,12 @@ def outcome_map_sheet(cells: DataFrame, plos: DataFrame, categories: DataFrame,
     """
     keys = ["program_id", "pl_outcome_id"]
     row = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("course_id", F.col(label).alias("label")))).alias("cells"))
-    rows = plos.join(categories.select("plo_category_id", "plo_category"), "plo_category_id", "left").join(row, keys, "left")
     order = Window.partitionBy("program_id").orderBy(F.col("plo_category_id").asc_nulls_last(), "pl_outcome_id")
     opens = F.row_number().over(Window.partitionBy("program_id", "plo_category_id").orderBy("pl_outcome_id")) == 1
-    return rows.select("program_id", F.row_number().over(order).alias("place"), "pl_outcome_id", F.coalesce("plo_category", F.lit(UNCATEGORIZED)).alias("category"), opens.alias("heading"), F.coalesce("cells", F.array().cast("array<struct<course_id:bigint,label:string>>")).alias("cells"))
+    named = plos.join(categories.select("plo_category_id", "plo_category"), "plo_category_id", "left")
+    # outcomes are numbered before they get their cells, which would all be sorted by program
+    rows = named.select(*keys, F.row_number().over(order).alias("place"), F.coalesce("plo_category", F.lit(UNCATEGORIZED)).alias("category"), opens.alias("heading")).join(row, keys, "left")
+    return rows.select("program_id", "place", "pl_outcome_id", "category", "heading", F.coalesce("cells", F.array().cast("array<struct<course_id:bigint,label:string>>")).alias("cells"))
 
 
 def weighted_heading(name: Column, weight: Column) -> Column:
