@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomwork.operators.blocks import evenly
+
 METRICS = ("mapped_clo_count", "covering_course_count", "required_course_count", "non_required_course_count")
 
 
@@ -31,7 +33,7 @@ def mapping_decisions(course_programs: DataFrame, clos: DataFrame, plos: DataFra
     """program_id, course_id, decisions: pairs with any level at all; several levels of a pair count once."""
     pairs = maps.select("l_outcome_id", "pl_outcome_id").distinct()
     pairs = pairs.join(clos.select("l_outcome_id", "course_id"), "l_outcome_id").join(plos.select("pl_outcome_id", "program_id"), "pl_outcome_id")
-    return pairs.join(course_programs.select("course_id", "program_id"), ["course_id", "program_id"]).groupBy("program_id", "course_id").agg(F.count("*").alias("decisions"))
+    return evenly(pairs, course_programs.select("course_id", "program_id"), ["course_id", "program_id"]).groupBy("program_id", "course_id").agg(F.count("*").alias("decisions"))
 
 
 def mapping_completeness(course_programs: DataFrame, courses: DataFrame, clos: DataFrame, plos: DataFrame, maps: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def mapping_facts(plos: DataFrame, maps: DataFrame, clos: DataFrame, course_prog
     in_program = course_programs.select("program_id", "course_id", F.lit(True).alias("current"), "course_required")
     configured = levels.where("map_scale_id <> 0").select("program_id", "map_scale_id", F.lit(True).alias("configured"))
     rows = plos.select("program_id", "pl_outcome_id").join(maps, "pl_outcome_id", "left").join(clos.select("l_outcome_id", "course_id"), "l_outcome_id", "left")
-    rows = rows.join(in_program, ["program_id", "course_id"], "left").join(configured, ["program_id", "map_scale_id"], "left")
+    rows = evenly(rows, in_program, ["program_id", "course_id"], "left").join(configured, ["program_id", "map_scale_id"], "left")
     return rows.withColumn("current", F.coalesce("current", F.lit(False))).withColumn("covered", F.col("current") & F.coalesce("configured", F.lit(False)))
 
 
@@ -77,16 +79,22 @@ def _counted(facts: DataFrame, keys: list[str]) -> DataFrame:
     return courses.groupBy(*keys).agg(total("covered", METRICS[0]), some("covered", METRICS[1]), some("required", METRICS[2]), some("other", METRICS[3]), total("n_a", "n_a_clo_count"), total("several", "multi_level_mapping_count"))
 
 
-def plo_coverage(facts: DataFrame) -> DataFrame:
-    """Distinct CLOs and courses that cover each PLO, CLOs mapped as N/A, and CLOs mapped at several levels."""
-    return _counted(facts, ["program_id", "pl_outcome_id"])
+def plo_coverage(facts: DataFrame, plos: DataFrame | None = None) -> DataFrame:
+    """Distinct CLOs and courses that cover each PLO, CLOs mapped as N/A, and CLOs mapped at several levels.
+
+    Only facts of current courses count, so no others are grouped. plos: the PLOs of the facts, where they are at hand.
+    """
+    keys = ["program_id", "pl_outcome_id"]
+    every = (facts if plos is None else plos).select(*keys).distinct()
+    counts = _counted(facts.where("current and l_outcome_id is not null"), keys)  # so outer joins become inner ones
+    return every.join(counts, keys, "left").na.fill(0, counts.columns[len(keys) :])
 
 
 def histogram(plos: DataFrame, levels: DataFrame, facts: DataFrame) -> DataFrame:
     """METRICS of each PLO and configured level of its program, zeros too, with the level's position."""
     grid = plos.select("program_id", "pl_outcome_id").join(levels.where("map_scale_id <> 0").select("program_id", "map_scale_id", "position"), "program_id")
     keys = ["program_id", "pl_outcome_id", "map_scale_id"]
-    counts = _counted(facts.where("covered"), keys).select(*keys, *METRICS)
+    counts = _counted(facts.where("covered and l_outcome_id is not null"), keys).select(*keys, *METRICS)
     return grid.join(counts, keys, "left").na.fill(0, list(METRICS))
 
 

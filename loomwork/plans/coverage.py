@@ -80,7 +80,7 @@ def mapping_completeness(t: Star):
     x AS (SELECT program_id, pl_outcome_id, {_COUNTS}, COUNT(DISTINCT CASE WHEN current AND map_scale_id = 0 THEN l_outcome_id END) AS n_a_clo_count FROM facts GROUP BY 1, 2)
     SELECT x.*, COALESCE(n, 0) AS multi_level_mapping_count FROM x LEFT JOIN multi USING (program_id, pl_outcome_id)""")
 def plo_coverage(t: Star):
-    return C.plo_coverage(_facts(t))
+    return C.plo_coverage(_facts(t), t.program_learning_outcomes)
 
 
 @query(f"WITH {_HIST} SELECT * FROM hist")
