@@ -70,12 +70,14 @@ def fit(score: Callable[[np.ndarray], np.ndarray], gradient: Callable[[np.ndarra
         ahead, back = _messages(scores, starts, lengths, steps)
         p = ahead * back / np.maximum(ahead * back + (1 - ahead) * (1 - back), 1e-300)
         unary, m = np.exp(np.clip(scores, -30, 30)), np.exp(steps)
-        pair = np.empty((4, len(left)))
-        for i, a in enumerate((1 - ahead[left], ahead[left])):
-            for j, b in enumerate((1 - back[left + 1], unary[left + 1] * back[left + 1])):
-                pair[i * 2 + j] = a * m[i, j] * b
-        pair /= np.maximum(pair.sum(axis=0), 1e-300)
-        g = np.concatenate((gradient(labels - p), seen - pair.sum(axis=1))) / n - l2 * params
+        a, b = ahead[left], back[left + 1]
+        one, zero = unary[left + 1] * b, 1 - b
+        pairs = [lambda a=x, m=m[i, j], b=y: a() * m * b for i, x in enumerate((lambda: 1 - a, lambda: a)) for j, y in enumerate((zero, one))]  # made one by one
+        total = pairs[0]()
+        for pair in pairs[1:]:
+            total += pair()
+        np.maximum(total, 1e-300, out=total)
+        g = np.concatenate((gradient(labels - p), seen - np.array([(pair() / total).sum() for pair in pairs]))) / n - l2 * params
         first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
         params = params + rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-9)
     return params[:size], params[size:].reshape(2, 2)

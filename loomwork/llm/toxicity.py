@@ -32,6 +32,8 @@ OFFENDS = 0.5
 BIAS = -4.0
 #: Rounds of the search for toxic tokens, and clean documents that make a word clean if no more toxic ones hold it.
 SEARCHES, CLEAN_DOCS = 6, 2
+#: Tokens whose part of the gradient is added at once.
+GRADIENT_ROWS = 1 << 16
 #: How often a bucket must stand in a document to count; each is a count of its own.
 OFTEN = (1, 2)
 
@@ -173,14 +175,25 @@ def train_field(rows: pa.Table) -> Tagger:
     found, y, window = found[keep], y[keep], window[keep]
     starts = np.flatnonzero(np.diff(window, prepend=-1))
     lengths = np.diff(np.append(starts, len(window)))
-    used, index = np.unique(found, return_inverse=True)
-    index = index.reshape(found.shape)
+    # the driver has little memory: places of weights are small integers, and nothing three times as long as the tokens is made
+    used = np.flatnonzero(np.bincount(found.ravel(), minlength=1 << BITS))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    index = place[found]
+    del found, text, window, keep, cut, place
 
     def score(w: np.ndarray) -> np.ndarray:
-        return w[index].sum(axis=1) + w[-1] + BIAS
+        out = w[index[:, 0]]
+        for i in range(1, index.shape[1]):
+            out += w[index[:, i]]
+        return out + w[-1] + BIAS
 
     def gradient(r: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(index.ravel(), weights=np.repeat(r, index.shape[1]), minlength=len(used)), r.sum())
+        out = np.zeros(len(used) + 1)
+        for at in range(0, len(r), GRADIENT_ROWS):
+            np.add.at(out, index[at : at + GRADIENT_ROWS], r[at : at + GRADIENT_ROWS, None])
+        out[-1] = r.sum()
+        return out
 
     w, steps = crf.fit(score, gradient, len(used) + 1, y, starts, lengths, rounds=ROUNDS, rate=RATE, l2=L2)
     weights = np.zeros((1 << BITS) + 1, np.float32)
