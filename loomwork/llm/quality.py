@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomwork.llm import crf
-from loomwork.llm.labelled import training_rows
+from loomwork.llm.labelled import fitted
 from loomwork.llm.textbytes import NOT_SPACE, Hashes, spans, text_slices
 
 ROUNDS, RATE, L2 = 150, 0.1, 1e-4
@@ -161,7 +161,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     others. Repeated rows and null doc_ids are scored, other columns are left out, an empty table gives no rows.
     Without labels of both kinds every score is PRIOR.
     """
-    model = train(training_rows(docs, labels, "quality"))
+    model = fitted(docs, labels, "quality", train)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -179,7 +179,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def with_quality(docs: DataFrame, labels: DataFrame, good_from: float) -> DataFrame:
     """Rows of docs, with all their columns, whose score is good_from or more; scores as in score_quality."""
-    model = train(training_rows(docs, labels, "quality"))
+    model = fitted(docs, labels, "quality", train)
     text_at = docs.columns.index("text")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

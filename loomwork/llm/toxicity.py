@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from loomwork.llm import crf
-from loomwork.llm.labelled import training_rows
+from loomwork.llm.labelled import fitted
 from loomwork.llm.textbytes import WORD_BYTES, Hashes, lowered, mix, spans, text_slices
 
 BITS = 18
@@ -175,7 +175,7 @@ def train_field(rows: pa.Table) -> Tagger:
     found, y, window = found[keep], y[keep], window[keep]
     starts = np.flatnonzero(np.diff(window, prepend=-1))
     lengths = np.diff(np.append(starts, len(window)))
-    # the driver has little memory: places of weights are small integers, and nothing three times as long as the tokens is made
+    # memory is scarce: places of weights are small integers, and nothing three times as long as the tokens is made
     used = np.flatnonzero(np.bincount(found.ravel(), minlength=1 << BITS))
     place = np.zeros(1 << BITS, np.int32)
     place[used] = np.arange(len(used))
@@ -224,7 +224,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     null doc_ids are scored like others, other columns are left out, an empty table gives no rows. Without labels of
     both kinds all tokens score alike, low.
     """
-    tagger = train(training_rows(docs, labels, "toxic"))
+    tagger = fitted(docs, labels, "toxic", train)
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,7 +243,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, toxic_from: float) -> DataFrame:
     """Rows of docs, with all their columns, whose score is below toxic_from; scores as in score_toxicity."""
-    tagger = train(training_rows(docs, labels, "toxic"))
+    tagger = fitted(docs, labels, "toxic", train)
     text_at = docs.columns.index("text")
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
